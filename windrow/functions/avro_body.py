@@ -4,13 +4,20 @@ The installed Spark has no Avro connector, so bytes are read and written by Arro
 functions that work on whole columns with numpy; nothing is done row by row.
 """
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from windrow.schemas import leaves
 
+# The functions travel to the executors with the job, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _VARINT_BYTES = 10  # a 64-bit number has at most ten groups of seven bits
 
 
@@ -160,7 +167,7 @@ def _encode(columns, kinds):
         out[_spans(at, size)] = flat
         at = at + size
     bodies = _binary(out, np.cumsum(total) - total, total)
-    return pa.compute.if_else(pa.array(present), bodies, pa.scalar(None, pa.binary()))
+    return pc.if_else(pa.array(present), bodies, pa.scalar(None, pa.binary()))
 
 
 def body_encoder(schema: T.StructType):
@@ -169,8 +176,6 @@ def body_encoder(schema: T.StructType):
 
     @arrow_udf("binary")
     def encode(*columns: pa.Array) -> pa.Array:
-        import pyarrow.compute  # noqa: F401
-
         return _encode(columns, kinds)
 
     return encode

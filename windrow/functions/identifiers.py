@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 # Hex digits per group of a canonical UUID.
 GROUP_WIDTHS = (8, 4, 4, 4, 12)
 
-_CANONICAL = "^" + "-".join(f"[0-9a-f]{{{w}}}" for w in GROUP_WIDTHS) + "$"
-_ACCEPTED = "^" + "-".join(f"[0-9a-fA-F]{{1,{w}}}" for w in GROUP_WIDTHS) + "$"
+_CANONICAL = "^" + "-".join(f"[0-9a-f]{{{w}}}" for w in GROUP_WIDTHS) + r"\z"
+_ACCEPTED = "^" + "-".join(f"[0-9a-fA-F]{{1,{w}}}" for w in GROUP_WIDTHS) + r"\z"
 
 
 def normalize_uuid(text: Column) -> Column:

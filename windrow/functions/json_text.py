@@ -1,6 +1,6 @@
 """Sensor readings as JSON text, with column expressions only."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions.identifiers import normalize_uuid
@@ -19,21 +19,24 @@ _PLAIN = _schema("string", "bigint", "double")
 _TYPED = _schema("variant", "variant", "variant")
 
 
-def _parse(text: Column, schema: str) -> Column:
-    """The one document in ``text``, or NULL.
+def _wrapped(text: Column, schema: str) -> Column:
+    """Parse of ``[text]``.
 
-    ``from_json`` stops reading after the first value, so the text is parsed as the only element
-    of an array: anything after the document is then an error or a second element. Only a "]"
-    could close that array early; texts that hold one must also parse as the value of a key.
+    ``from_json`` stops reading after the first value. As the only element of an array, anything
+    after the document is an error or a second element.
+    """
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{schema}>", _OPTIONS)
+
+
+def _closes_early(text: Column) -> Column:
+    """True if a "]" after the document ended the array of ``_wrapped``, so that the rest went unread.
+
+    Only texts that hold a "]" are looked at; they must also parse as the value of a key.
     """
-    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{schema}>", _OPTIONS)
     keyed = F.from_json(
-        F.concat(F.lit('{"doc":'), text, F.lit("}")), f"struct<doc:{schema}>", _OPTIONS
-    )
-    first = F.get(listed, F.lit(0))
-    return F.when(F.instr(text, "]") == 0, F.when(F.size(listed) == 1, first)).otherwise(
-        F.when((F.size(listed) == 1) & keyed["doc"].isNotNull(), first)
+        F.concat(F.lit('{"doc":'), text, F.lit("}")), "struct<doc:struct<deviceId:string>>", _OPTIONS
     )
+    return F.when(F.instr(text, "]") > 0, keyed["doc"].isNull()).otherwise(F.lit(False))
 
 
 def _kind(value: Column) -> Column:
@@ -51,7 +54,7 @@ def _number(value: Column) -> Column:
     )
 
 
-def _reading(device: Column, millis: Column, numbers: list[Column]) -> Column:
+def _parts(device: Column, millis: Column, numbers: list[Column]) -> Column:
     measured = [n.alias(name) for n, name in zip(numbers, MEASUREMENT_NAMES)]
     return F.struct(
         normalize_uuid(device).alias("deviceId"),
@@ -60,29 +63,44 @@ def _reading(device: Column, millis: Column, numbers: list[Column]) -> Column:
     )
 
 
-def parse_reading(text: Column) -> Column:
-    """STRUCT<deviceId, millis, measurements> of a payload; parts that are not as required are NULL.
+def with_parsed_reading(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Add STRUCT<deviceId, millis, measurements>; parts that are not as required are NULL.
 
     Well-formed readings take the plain parse. Only when a part of it is missing is the text
     parsed again with the JSON type of each part, to tell an explicit null (NaN) from a missing or
-    wrongly typed value, and to cut a fractional time.
+    wrongly typed value, and to cut a fractional time. Each step is a column of its own, so that
+    no text is parsed twice by the same rule.
     """
-    plain = _parse(text, _PLAIN)
-    plain_numbers = [plain["measurements"][name] for name in MEASUREMENT_NAMES]
+    text = F.col(col)
+    plain, typed = F.col("_plain"), F.col("_typed")
+    plain_numbers = [plain["measurements"][part] for part in MEASUREMENT_NAMES]
     complete = plain["deviceId"].isNotNull() & plain["timestamp"].isNotNull()
     for number in plain_numbers:
         complete = complete & number.isNotNull()
-
-    typed = _parse(text, _TYPED)
     device = F.when(_kind(typed["deviceId"]) == "STRING", typed["deviceId"].try_cast("string"))
     millis = F.when(
         _is_number(typed["timestamp"]),
         typed["timestamp"].try_cast("decimal(38,6)").try_cast("bigint"),
     )
-    numbers = [_number(typed["measurements"][name]) for name in MEASUREMENT_NAMES]
-    return F.when(
-        complete, _reading(plain["deviceId"], plain["timestamp"], plain_numbers)
-    ).when(typed.isNotNull(), _reading(device, millis, numbers))
+    numbers = [_number(typed["measurements"][part]) for part in MEASUREMENT_NAMES]
+
+    def only(listed: Column) -> Column:
+        return F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
+
+    return (
+        df.withColumn("_listed", _wrapped(text, _PLAIN))
+        .withColumn("_plain", only(F.col("_listed")))
+        .withColumn("_complete", F.coalesce(complete, F.lit(False)))
+        .withColumn("_listed", F.when(~F.col("_complete"), _wrapped(text, _TYPED)))
+        .withColumn("_typed", only(F.col("_listed")))
+        .withColumn(
+            name,
+            F.when(_closes_early(text), F.lit(None))
+            .when(F.col("_complete"), _parts(plain["deviceId"], plain["timestamp"], plain_numbers))
+            .when(typed.isNotNull(), _parts(device, millis, numbers)),
+        )
+        .drop("_listed", "_plain", "_complete", "_typed")
+    )
 
 
 def reading_fault(parsed: Column) -> Column:
