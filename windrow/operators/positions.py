@@ -21,12 +21,19 @@ HOT_ROWS = 5_000_000
 MAX_HOT_KEYS = 100_000
 
 
-def with_position(df: DataFrame, order_by: list[str], name: str = "pos", start: int = 0) -> DataFrame:
+def with_position(
+    df: DataFrame,
+    order_by: list[str],
+    name: str = "pos",
+    start: int = 0,
+    path: str | None = None,
+) -> DataFrame:
     """Add the 0-based position of each row in the order of ``order_by``.
 
     One range shuffle sorts the rows over all tasks; the sorted rows, each with its row number in
     its partition, are written once. The rows before each partition then follow from the row counts
     per partition: one number per partition, which is all that reaches the driver and is broadcast.
+    ``path`` names the place of the written rows, otherwise they get a new one.
 
     The stored order is the last sort column, so that a key shared by very many rows is still
     divided over tasks. Input that is itself shuffled should have a unique ``order_by`` or be
@@ -34,7 +41,8 @@ def with_position(df: DataFrame, order_by: list[str], name: str = "pos", start:
     """
     stored = df.withColumn("_stored", F.monotonically_increasing_id())
     ordered = stored.sort(*order_by, "_stored").drop("_stored")
-    marked = materialize(ordered.withColumn("_row", F.monotonically_increasing_id()), "ordered")
+    numbered = ordered.withColumn("_row", F.monotonically_increasing_id())
+    marked = materialize(numbered, "ordered", path)
 
     part = F.shiftright("_row", _ROW_BITS)
     counts = marked.groupBy(part.alias("part")).agg(F.count("*").alias("rows")).collect()

@@ -26,12 +26,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/windrow/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def make_dir(spark: SparkSession, path: str) -> None:
+    """Create a folder on whatever file system the path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
+def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
     The written rows are fixed, so later passes agree with each other even if an executor is
     lost or the plan above was not deterministic, and each pass reads only the columns it needs.
+    A ``path`` that is given is overwritten, so that a stream needs room for one batch only.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    mode = "overwrite" if path else "errorifexists"
+    path = path or new_path(df.sparkSession, label)
+    df.write.mode(mode).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
