@@ -1,6 +1,6 @@
 """Writing topics."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,6 +31,12 @@ def spread(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n)
 
 
+def key_bytes(number: Column) -> Column:
+    """A 32-bit number as four bytes, most significant first."""
+    wide = F.lpad(F.hex(number.cast("int").cast("bigint")), 16, "0")
+    return F.unhex(F.substring(wide, 9, 8))
+
+
 def kafka_frame(df: DataFrame, value: str = "payload", key: str | None = None) -> DataFrame:
     """The key and value columns that the Kafka writer takes.
 
@@ -41,9 +47,8 @@ def kafka_frame(df: DataFrame, value: str = "payload", key: str | None = None) -
         return df.select(
             F.lit(None).cast("binary").alias("key"), F.col(value).cast("binary").alias("value")
         )
-    wide = F.lpad(F.hex(F.col(key).cast("int").cast("bigint")), 16, "0")
     return df.select(
-        F.unhex(F.substring(wide, 9, 8)).alias("key"), F.col(value).cast("string").alias("value")
+        key_bytes(F.col(key)).alias("key"), F.col(value).cast("string").alias("value")
     )
 
 

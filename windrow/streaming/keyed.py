@@ -23,6 +23,8 @@ def fold_windows(n, key, order_by, value):
             for i, column in enumerate(values[: full * n].reshape(full, n).T, 1):
                 mean = mean + (column - mean) / i
         state.update((window + full, [float(v) for v in values[full * n :]]))
+        if not full:
+            return
         number = window + np.arange(full)
         yield pd.DataFrame(
             {
