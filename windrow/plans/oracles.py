@@ -246,7 +246,7 @@ SQL = {
                lap + max("window" - lap) OVER (PARTITION BY lane ORDER BY lap) AS slot
         FROM lanes""",
     "assign_targets": """
-        SELECT event_id, 7000 + (row_number() OVER (ORDER BY ts, event_id) - 1) % 3 AS target
+        SELECT event_id, CAST(7000 + (row_number() OVER (ORDER BY ts, event_id) - 1) % 3 AS INT) AS target
         FROM events""",
     "hits_per_target": """
         WITH t AS (SELECT unnest([7000, 7001, 7002, 7003]) AS target),
@@ -256,7 +256,7 @@ SQL = {
         SELECT n_nationkey AS target, count(c_custkey) AS hits
         FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""",
     "spread_balance": """
-        SELECT 4 AS partitions, count(*) AS "rows", true AS balanced FROM events""",
+        SELECT CAST(4 AS BIGINT) AS partitions, count(*) AS "rows", true AS balanced FROM events""",
     "pipeline_counts": _FLOW_COUNTS,
     "pipeline_averages": f"{_ROTOR}, {_windows('rotorSpeed_valid')} {_AVERAGES}",
     "topic_roundtrip_stream": f"WITH {_METRICS} SELECT {_FLAT} FROM checked WHERE is_valid",
