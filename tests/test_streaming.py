@@ -6,13 +6,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrow.operators.codecs import decode_avro, encode_avro, to_sensor_json
-from windrow.operators.count_windows import count_windows
+from windrow.operators.count_windows import count_windows, demand_batches
 from windrow.operators.metrics import to_metrics, valid_metrics, validate
+from windrow.operators.quota import schedule_quota
+from windrow.operators.targets import assign_targets
 from windrow.plans.pipeline import INVALID, METRICS, READINGS, ROTOR, VALID, run_batch
 from windrow.sources.tables import EVENT_ORDER, sensor_from_events
 from windrow.sources.topics import topic_source
 from windrow.streaming import pipeline, windows
+from windrow.streaming.carry import read_carry, write_carry
 from windrow.streaming.pipeline import AVERAGES, REJECTS, ingest_stream, run_stream
+from windrow.streaming.positions import (
+    read_placed,
+    stream_assign_targets,
+    stream_demand_batches,
+    stream_schedule_quota,
+)
 from windrow.streaming.windows import read_windows, stream_count_windows, stream_windows_per_key
 
 UNEVEN = [1, 400, 7, 300, 3, 2, 287]  # rows per file
@@ -76,14 +85,12 @@ def test_windows_after_a_failure(spark, wind, tmp_path, monkeypatch, moment):
     """The run dies at batch 3, before or after its state is written; the restart repeats it."""
     source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
     write_files(wind, source, UNEVEN)
-    real = windows._carry_path
-    whole = windows.window_batch
+    real, whole = windows.write_carry, windows.window_batch
 
-    def dies_before_carry(carry, batch_id):
-        # asked for batch 3 only to write the state of batch 3
+    def dies_before_carry(rows, carry, batch_id):
         if batch_id == 3:
             raise RuntimeError("lost")
-        return real(carry, batch_id)
+        real(rows, carry, batch_id)
 
     def dies_after_all(batch, batch_id, **options):
         whole(batch, batch_id, **options)
@@ -96,7 +103,7 @@ def test_windows_after_a_failure(spark, wind, tmp_path, monkeypatch, moment):
 
     with monkeypatch.context() as patch:
         if moment == "before":
-            patch.setattr(windows, "_carry_path", dies_before_carry)
+            patch.setattr(windows, "write_carry", dies_before_carry)
         else:
             patch.setattr(windows, "window_batch", dies_after_all)
         with pytest.raises(Exception, match="lost"):
@@ -107,9 +114,65 @@ def test_windows_after_a_failure(spark, wind, tmp_path, monkeypatch, moment):
 
 
 def test_lost_state_is_an_error(spark, tmp_path):
-    spark.createDataFrame([(7, 5, None)], windows._CARRY).write.parquet(f"{tmp_path}/slot=1")
+    state = spark.createDataFrame([(5,)], "pos bigint")
+    write_carry(state, str(tmp_path), 7)
+    assert read_carry(spark, str(tmp_path), 7, "pos bigint") == [(5,)]
     with pytest.raises(RuntimeError):
-        windows._read_carry(spark, str(tmp_path), 9)
+        read_carry(spark, str(tmp_path), 9, "pos bigint")
+
+
+def test_positions_go_on_over_batches(spark, readings, tmp_path):
+    """Batch numbers, targets and slots of a stream in uneven batches are those of the table."""
+    source = str(tmp_path / "in")
+    rows = readings.select(*EVENT_ORDER, "timestamp")
+    write_files(rows, source, UNEVEN)
+    hour, quota, targets = 3_600_000, 10, [7, 8, 9]
+    runs = {
+        "batches": (stream_demand_batches, {}, demand_batches(rows, order_by=EVENT_ORDER)),
+        "targets": (stream_assign_targets, {"targets": targets}, assign_targets(rows, targets, order_by=EVENT_ORDER)),
+        "slots": (
+            stream_schedule_quota,
+            {"window_ms": hour, "quota": quota},
+            schedule_quota(rows, hour, quota, order_by=EVENT_ORDER),
+        ),
+    }
+    for name, (start, options, want) in runs.items():
+        out = str(tmp_path / name / "out")
+        stream = topic_source(spark, source, rows.schema, batch_limit=2)
+        start(stream, order_by=EVENT_ORDER, out=out, checkpoint=str(tmp_path / name / "checkpoint"), **options).awaitTermination()
+        got = read_placed(spark, out)
+        assert got.count() == want.count()
+        assert got.exceptAll(want.select(*got.columns)).count() == 0, name
+
+
+def test_pipeline_after_a_failure(spark, readings, tmp_path, monkeypatch):
+    """The fused dataflow dies in a batch when some of its topics are written."""
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    payloads = payload_table(readings, "avro")
+    write_files(payloads, source, UNEVEN)
+
+    def run():
+        stream = topic_source(spark, source, payloads.schema, batch_limit=2)
+        run_stream(stream, out=out, checkpoint=checkpoint, order_by=EVENT_ORDER)
+
+    def lost(batch, batch_id, **options):
+        if batch_id == 2:
+            raise RuntimeError("lost")
+        window_batch(batch, batch_id, **options)
+
+    window_batch = pipeline.window_batch
+    with monkeypatch.context() as patch:
+        patch.setattr(pipeline, "window_batch", lost)
+        with pytest.raises(Exception, match="lost"):
+            run()
+    run()
+    want = run_batch(payloads, "avro", order_by=EVENT_ORDER)
+    for topic in (READINGS, VALID, INVALID, ROTOR, REJECTS):
+        got = spark.read.parquet(f"{out}/{topic}").drop("batch")
+        assert got.count() == want[topic].count(), topic
+        assert got.exceptAll(want[topic].select(*got.columns)).count() == 0, topic
+    got = pipeline.averages(spark, out, checkpoint)
+    assert as_rows(got, *WINDOW) == as_rows(want[AVERAGES], *WINDOW)
 
 
 def test_windows_per_key(spark, wind, tmp_path):

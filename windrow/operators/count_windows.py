@@ -62,9 +62,13 @@ def count_windows(
     return windows if emit_partial else windows.filter(F.col("rows") == n)
 
 
-def demand_batches(df: DataFrame, n: int = 5, *, order_by: list[str]) -> DataFrame:
-    """Number the rows in batches of ``n``; ``asks_next`` marks the row that fills a batch."""
-    placed = with_position(df, order_by)
+def number_batches(placed: DataFrame, n: int = 5) -> DataFrame:
+    """Batch number of rows that have their position; ``asks_next`` marks the row that fills one."""
     return placed.withColumn("batch", floor_div(F.col("pos"), n)).withColumn(
         "asks_next", (F.col("pos") + 1) % n == 0
     )
+
+
+def demand_batches(df: DataFrame, n: int = 5, *, order_by: list[str]) -> DataFrame:
+    """Number the rows in batches of ``n``."""
+    return number_batches(with_position(df, order_by), n)

@@ -31,8 +31,10 @@ def to_metrics(df: DataFrame, names=None, keep=()) -> DataFrame:
 
 def validate(df: DataFrame, rule: Column | None = None, message: str = INVALID_MESSAGE) -> DataFrame:
     """Tag each metric with ``is_valid`` and, where it is not, the ``error`` text."""
-    ok = is_valid_value(F.col("value")) if rule is None else rule
-    ok = F.coalesce(ok, F.lit(False))
+    if rule is None:
+        ok = is_valid_value(F.col("value"))  # never NULL, and in a form that reaches the scan
+    else:
+        ok = F.coalesce(rule, F.lit(False))
     return df.withColumn(_TAG, ok).withColumn("error", F.when(~F.col(_TAG), F.lit(message)))
 
 

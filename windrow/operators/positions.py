@@ -21,23 +21,24 @@ HOT_ROWS = 5_000_000
 MAX_HOT_KEYS = 100_000
 
 
-def with_position(
+def place(
     df: DataFrame,
     order_by: list[str],
     name: str = "pos",
     start: int = 0,
     path: str | None = None,
-) -> DataFrame:
-    """Add the 0-based position of each row in the order of ``order_by``.
+) -> tuple[DataFrame, int]:
+    """The rows with their position in the order of ``order_by``, and the position after the last.
 
     One range shuffle sorts the rows over all tasks; the sorted rows, each with its row number in
     its partition, are written once. The rows before each partition then follow from the row counts
     per partition: one number per partition, which is all that reaches the driver and is broadcast.
-    ``path`` names the place of the written rows, otherwise they get a new one.
+    ``path`` names the place of the written rows, otherwise they get a new one. The input is read
+    twice, first to find the ranges: materialise it if it is costly to make.
 
     The stored order is the last sort column, so that a key shared by very many rows is still
     divided over tasks. Input that is itself shuffled should have a unique ``order_by`` or be
-    materialised first, as its stored order may change when a lost task is run again.
+    materialised, as its stored order may change when a lost task is run again.
     """
     stored = df.withColumn("_stored", F.monotonically_increasing_id())
     ordered = stored.sort(*order_by, "_stored").drop("_stored")
@@ -46,17 +47,23 @@ def with_position(
 
     part = F.shiftright("_row", _ROW_BITS)
     counts = marked.groupBy(part.alias("part")).agg(F.count("*").alias("rows")).collect()
-    offsets, before = [], start
+    offsets, end = [], start
     for row in sorted(counts):
-        offsets.append((row["part"], before))
-        before += row["rows"]
+        offsets.append((row["part"], end))
+        end += row["rows"]
     table = df.sparkSession.createDataFrame(offsets, "_part bigint, _before bigint")
     row_in_part = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
+    placed = (
         marked.join(F.broadcast(table), part == F.col("_part"))
         .withColumn(name, F.col("_before") + row_in_part)
         .drop("_row", "_part", "_before")
     )
+    return placed, end
+
+
+def with_position(df: DataFrame, order_by: list[str], name: str = "pos", start: int = 0) -> DataFrame:
+    """Add the 0-based position of each row in the order of ``order_by``; see ``place``."""
+    return place(df, order_by, name, start)[0]
 
 
 def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

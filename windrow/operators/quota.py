@@ -12,12 +12,10 @@ from windrow.storage import materialize
 QUOTA = 50
 WINDOW_MS = 1000
 
-# A table of one row per window is broadcast up to this many rows (24 bytes each, 48 MB).
+# A table of one row per window is broadcast up to this many rows (16 bytes each, 32 MB).
 BROADCAST_ROWS = 2_000_000
-# Beyond that, rows of one window are spread over this many join keys.
-SALTS = 64
-# Windows per block of the running minimum.
-_BLOCK = 4096
+# Beyond that, rows are looked at in blocks of this many positions.
+BLOCK_ROWS = 1_000_000
 
 
 def window_index(time: str, window_ms: int) -> Column:
@@ -40,31 +38,64 @@ def admit_quota(
     return ranked.withColumn("admitted", F.col("_rank") < quota).drop("_rank")
 
 
-def _lowest_so_far(windows: DataFrame) -> DataFrame:
-    """Running minimum of ``level`` over the window numbers.
+def _lowest_by_window(levels: DataFrame) -> DataFrame:
+    """Running minimum over a table of one row per window, at most BROADCAST_ROWS of them."""
+    so_far = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, 0)
+    return levels.select("window", F.min("level").over(so_far).alias("_lowest"))
 
-    Windows are unique, so a block of numbers has a bounded number of rows. The minimum runs within
-    each block in parallel, and over the blocks (one row per 4096 windows) to carry it on.
+
+def _lowest_by_block(placed: DataFrame, quota: int, block_rows: int) -> DataFrame:
+    """The same minimum row by row, for any number of windows.
+
+    Blocks of positions hold the same number of rows whatever the arrival times are. The minimum
+    runs within each block, and over the blocks (one row each) to carry it on.
     """
-    blocked = windows.withColumn("_block", floor_div(F.col("window"), _BLOCK))
-    within = Window.partitionBy("_block").orderBy("window").rowsBetween(Window.unboundedPreceding, 0)
+    blocked = placed.withColumn("_block", floor_div(F.col("pos"), block_rows)).withColumn(
+        "_level", F.col("pos") - quota * F.col("window")
+    )
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         blocked.groupBy("_block")
-        .agg(F.min("level").alias("_low"))
+        .agg(F.min("_level").alias("_low"))
         .select("_block", F.min("_low").over(before).alias("_carry"))
     )
-    lowest = F.least(F.min("level").over(within), F.col("_carry"))  # least() skips NULL
-    return blocked.join(carried, "_block").select("window", lowest.alias("_lowest"))
+    within = Window.partitionBy("_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lowest = blocked.withColumn("_within", F.min("_level").over(within)).join(carried, "_block")
+    # least() skips the NULL before the first block
+    return lowest.withColumn("_lowest", F.least("_within", "_carry")).drop(
+        "_block", "_level", "_within", "_carry"
+    )
 
 
-def _attach(rows: DataFrame, windows: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Join the per-window table to the rows: broadcast if it is small, else salted."""
-    if windows.count() <= broadcast_rows:
-        return rows.join(F.broadcast(windows), "window")
-    salted = windows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = rows.withColumn("_salt", (F.col("pos") % SALTS).cast("int"))
-    return spread.join(salted, ["window", "_salt"]).drop("_salt")
+def schedule_placed(
+    placed: DataFrame,
+    quota: int,
+    *,
+    lowest: int | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+    block_rows: int = BLOCK_ROWS,
+    path: str | None = None,
+) -> tuple[DataFrame, int | None]:
+    """Slots of rows that have their position and window, and the lowest level up to their end.
+
+    A row at position i that arrives in window a has slot floor((i - low) / quota), where low is
+    the lowest level over all windows up to a, the level of a window v with rows being (position of
+    its first row) - quota * v: it is lowest where nobody was left waiting. So only a table of one
+    row per window needs a running value, not the rows themselves. ``lowest`` is the lowest level
+    of earlier rows, and ``path`` the place of the table of levels, otherwise a new one.
+    """
+    levels = placed.groupBy("window").agg((F.min("pos") - quota * F.col("window")).alias("level"))
+    levels = materialize(levels, "levels", path)
+    windows, low = levels.agg(F.count("*"), F.min("level")).first()
+    if windows <= broadcast_rows:
+        timed = placed.join(F.broadcast(_lowest_by_window(levels)), "window", "left")
+    else:
+        timed = _lowest_by_block(placed, quota, block_rows)
+    if lowest is not None:
+        timed = timed.withColumn("_lowest", F.least("_lowest", F.lit(lowest)))
+        low = lowest if low is None else min(low, lowest)
+    slot = floor_div(F.col("pos") - F.col("_lowest"), quota)
+    return timed.withColumn("slot", slot).drop("_lowest"), low
 
 
 def schedule_quota(
@@ -74,22 +105,11 @@ def schedule_quota(
     *,
     time: str = "timestamp",
     order_by: list[str],
-    broadcast_rows: int = BROADCAST_ROWS,
+    **sizes,
 ) -> DataFrame:
     """The window in which each row gets in (``slot``) if rows wait first come, first served.
 
-    ``order_by`` must follow ``time``. A row at position i that arrives in window a has slot
-    floor((i - low) / quota), where low is the lowest value, over all windows v up to a with rows,
-    of (position of the first row of v) - quota * v: the last moment at which nobody was waiting.
-    So only a table of one row per window needs a running value, not the rows themselves.
+    ``order_by`` must follow ``time``.
     """
     placed = with_position(df.withColumn("window", window_index(time, window_ms)), order_by)
-    levels = (
-        placed.groupBy("window")
-        .agg(F.min("pos").alias("_first"))
-        .select("window", (F.col("_first") - quota * F.col("window")).alias("level"))
-    )
-    lowest = materialize(_lowest_so_far(materialize(levels, "levels")), "lowest")
-    timed = _attach(placed, lowest, broadcast_rows)
-    slot = floor_div(F.col("pos") - F.col("_lowest"), quota)
-    return timed.withColumn("slot", slot).drop("_lowest")
+    return schedule_placed(placed, quota, **sizes)[0]

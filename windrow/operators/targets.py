@@ -6,13 +6,17 @@ from pyspark.sql import functions as F
 from windrow.operators.positions import with_position
 
 
-def assign_targets(df: DataFrame, targets: list, *, order_by: list[str]) -> DataFrame:
-    """Give each row its target, in turn, in the order of ``order_by``."""
-    placed = with_position(df, order_by)
+def deal_targets(placed: DataFrame, targets: list) -> DataFrame:
+    """Give each row that has its position its target, in turn."""
     turn = (F.col("pos") % len(targets)).cast("int")
     return placed.withColumn("target", F.get(F.array(*[F.lit(t) for t in targets]), turn))
 
 
+def assign_targets(df: DataFrame, targets: list, *, order_by: list[str]) -> DataFrame:
+    """Give each row its target, in turn, in the order of ``order_by``."""
+    return deal_targets(with_position(df, order_by), targets)
+
+
 def hits_per_target(df: DataFrame, targets: DataFrame, col: str = "target") -> DataFrame:
     """Rows per target. Every target of ``targets`` is listed, also with no hits."""
     hits = df.groupBy(col).agg(F.count("*").alias("hits"))

@@ -272,3 +272,8 @@ SQL = {
         {_WIND}, {_windows('windSpeed_valid', key='deviceId', having='HAVING count(*) = 5')}
         SELECT "deviceId", "window", "rows", average FROM windows""",
 }
+
+# A stream must give the rows of the table.
+SQL["demand_batches_stream"] = SQL["demand_batches"]
+SQL["schedule_quota_stream"] = SQL["schedule_quota"]
+SQL["hits_per_target_stream"] = SQL["hits_per_target"]

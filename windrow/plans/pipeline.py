@@ -1,6 +1,7 @@
 """The whole dataflow on a table of payloads."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrow.operators.codecs import split_decoded, tag_avro, tag_json
@@ -48,12 +49,14 @@ def run_batch(
 ) -> dict[str, DataFrame]:
     """All topics and outputs by name.
 
-    All outputs hang on the decoded payloads. These are written once if ``materialize``; otherwise
-    each output that is used decodes anew, all in one stage with what follows.
+    All outputs hang on the decoded payloads. These are written once if ``materialize``, with the
+    raw payload of rejects only; otherwise each output that is used decodes anew, all in one stage
+    with what follows.
     """
     tagged = tag_payloads(payloads.select(*order_by, col), ingress, col)
     if materialize:
-        tagged = write_once(tagged, "decoded")
+        rejected = F.when(F.col("fault").isNotNull(), F.col(col))
+        tagged = write_once(tagged.withColumn(col, rejected), "decoded")
     readings, rejects = split_decoded(tagged, col)
     metrics = to_metrics(readings, keep=order_by)
     checked = validate(metrics)

@@ -31,6 +31,12 @@ from windrow.sources.tables import (
 from windrow.sources.topics import record_lines, topic_source, topic_table
 from windrow.storage import new_path
 from windrow.streaming import pipeline as stream_pipeline
+from windrow.streaming.positions import (
+    read_placed,
+    stream_assign_targets,
+    stream_demand_batches,
+    stream_schedule_quota,
+)
 from windrow.streaming.windows import read_windows, stream_count_windows, stream_windows_per_key
 
 HOUR_MS = 3_600_000
@@ -486,6 +492,34 @@ def stream_window_avg(spark, sf_dir):
     return read_windows(spark, out, checkpoint).select("window", "rows", "average")
 
 
+def _placed_in_thirds(spark, sf_dir, label, start, **options):
+    source, out, checkpoint = _folders(spark, label)
+    rows = _arrivals(spark, sf_dir)
+    for _ in _in_thirds(rows, source):
+        stream = topic_source(spark, source, rows.schema)
+        start(stream, order_by=EVENT_ORDER, out=out, checkpoint=checkpoint, **options).awaitTermination()
+    return read_placed(spark, out)
+
+
+def demand_batches_stream(spark, sf_dir):
+    placed = _placed_in_thirds(spark, sf_dir, "stream-batches", stream_demand_batches)
+    return placed.select("event_id", "pos", "batch", "asks_next")
+
+
+def schedule_quota_stream(spark, sf_dir):
+    placed = _placed_in_thirds(
+        spark, sf_dir, "stream-slots", stream_schedule_quota, window_ms=HOUR_MS, quota=HOURLY_QUOTA
+    )
+    return placed.select("event_id", "window", "slot")
+
+
+def target_hits_stream(spark, sf_dir):
+    """Hits per target of a stream, every target listed."""
+    placed = _placed_in_thirds(spark, sf_dir, "stream-targets", stream_assign_targets, targets=PORTS)
+    listed = spark.createDataFrame([(p,) for p in [*PORTS, 7003]], "target int")
+    return hits_per_target(placed, listed)
+
+
 def device_stream_window_avg(spark, sf_dir):
     """Full windows per device; open ones stay in the state."""
     source, out, checkpoint = _folders(spark, "device-windows")

@@ -7,27 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrow.operators.count_windows import gather_windows
-from windrow.operators.positions import with_position
+from windrow.operators.positions import place
 from windrow.storage import make_dir
+from windrow.streaming.carry import last_carry, read_carry, write_carry
 from windrow.streaming.keyed import fold_windows
 
-_CARRY = "batch bigint, pos bigint, value double"
-
-
-def _carry_path(carry: str, batch_id: int) -> str:
-    # Only the batch before is ever read again, so two places are enough.
-    return f"{carry}/slot={batch_id % 2}"
-
-
-def _read_carry(spark: SparkSession, carry: str, batch_id: int) -> list:
-    """Rows of the open window after ``batch_id``, then a row (next position, NULL)."""
-    if batch_id < 0:
-        return [(batch_id, 0, None)]
-    table = spark.read.schema(_CARRY).parquet(_carry_path(carry, batch_id))
-    rows = sorted((r["batch"], r["pos"], r["value"]) for r in table.collect())
-    if not rows or any(r[0] != batch_id for r in rows):
-        raise RuntimeError(f"{carry} does not hold the state after batch {batch_id}")
-    return rows
+# Rows of the open window, then a row (next position, NULL).
+_CARRY = "pos bigint, value double"
 
 
 def window_batch(
@@ -47,22 +33,18 @@ def window_batch(
     in ``carry``. A batch that is run again reads the same carry and replaces its own output.
     """
     spark = batch.sparkSession
-    before = _read_carry(spark, carry, batch_id - 1)
-    start = before[-1][1]
+    before = sorted(read_carry(spark, carry, batch_id - 1, _CARRY), key=lambda r: r[0])
+    start = before[-1][0] if before else 0
     slim = batch.select(*order_by, value)
-    placed = with_position(slim, order_by, start=start, path=f"{carry}/ordered")
-    placed = placed.select("pos", F.col(value).alias("value"))
-    end = start + placed.count()
-    left_over = spark.createDataFrame([r[1:] for r in before[:-1]], "pos bigint, value double")
-    rows = left_over.unionByName(placed)
+    placed, end = place(slim, order_by, start=start, path=f"{carry}/ordered")
+    left_over = spark.createDataFrame(before[:-1], _CARRY)
+    rows = left_over.unionByName(placed.select("pos", F.col(value).alias("value")))
 
     windows = gather_windows(rows, n, []).filter(F.col("rows") == n)
     windows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     open_rows = rows.filter(F.col("pos") >= end // n * n)
-    marker = spark.createDataFrame([(end, None)], "pos bigint, value double")
-    state = open_rows.unionByName(marker).select(F.lit(batch_id).cast("bigint").alias("batch"), "*")
-    state.coalesce(1).write.mode("overwrite").parquet(_carry_path(carry, batch_id))
+    write_carry(open_rows.unionByName(spark.createDataFrame([(end, None)], _CARRY)), carry, batch_id)
 
 
 def stream_count_windows(
@@ -96,9 +78,7 @@ def read_windows(
     windows = spark.read.parquet(out).select(*columns)
     if not emit_partial:
         return windows
-    state = spark.read.schema(_CARRY).parquet(f"{checkpoint}/carry/slot=*")
-    last = state.agg(F.max("batch")).first()[0]
-    open_rows = state.filter((F.col("batch") == last) & F.col("value").isNotNull())
+    open_rows = last_carry(spark, f"{checkpoint}/carry", _CARRY).filter(F.col("value").isNotNull())
     return windows.unionByName(gather_windows(open_rows, n, []))
 
 
