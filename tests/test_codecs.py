@@ -2,12 +2,15 @@
 
 import datetime as dt
 import math
+import random
 import struct
 
+import pyarrow as pa
 import pytest
 from helpers import plan_nodes
 from pyspark.sql import functions as F
 
+from windrow.functions import avro_body
 from windrow.functions.identifiers import normalize_uuid
 from windrow.operators.codecs import (
     decode_avro,
@@ -238,6 +241,49 @@ def test_avro_other_records(spark, schema):
     assert rejects.count() == 0
 
 
+@pytest.mark.parametrize("shape", ["even", "uneven"])
+def test_avro_random_batches(shape):
+    """Bodies of one length take a shorter way; both must read and write what a row-wise coder does."""
+    kinds = avro_body.wire_kinds(SENSOR_DATA)
+    rng = random.Random(shape)
+    whole = "truncated or malformed body"
+    for _ in range(300):
+        rows = []
+        for i in range(rng.randrange(1, 12)):
+            text = "x" * (36 if shape == "even" else rng.randrange(200))
+            ms = MS + i if shape == "even" else rng.choice([0, -1, 2**63 - 1, -(2**63), rng.randrange(-(2**63), 2**63)])
+            rows.append((text, ms, rng.random(), -0.0, math.inf))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.int64(), *[pa.float64()] * 3])]
+        bodies = [_body(*r) for r in rows]
+        assert avro_body._encode(columns, kinds).to_pylist() == bodies
+        want = [None] * len(rows)
+        for i in rng.sample(range(len(rows)), rng.randrange(len(rows) + 1)):
+            cut, more = rng.randrange(len(bodies[i])), bytes(rng.randrange(1, 9))
+            bodies[i], want[i] = rng.choice(
+                [(None, "null payload"), (bodies[i][:cut], whole), (bodies[i] + more, "trailing bytes")]
+            )
+        part = pa.array([None, *bodies, b"q"], pa.binary()).slice(1, len(rows))
+        values, faults = avro_body._decode(part, kinds)
+        assert faults.to_pylist() == want
+        for i, row in enumerate(rows):
+            if want[i] is None:
+                assert (values[0][i].as_py().decode(), *[v[i].as_py() for v in values[1:]]) == row
+
+
+def test_json_random_doubles(spark):
+    """decode(encode(x)) = x for any finite double, bit for bit."""
+    rng = random.Random(11)
+    doubles = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(6_000)]
+    doubles = [d for d in doubles if math.isfinite(d)][:5_400]
+    rows = [(i, *doubles[3 * i : 3 * i + 3]) for i in range(len(doubles) // 3)]
+    df = spark.createDataFrame(rows, "case int, power double, rotorSpeed double, windSpeed double").select(
+        "case", F.lit(ID).alias("deviceId"), F.timestamp_millis(F.col("case") * 1_000_003 - 10**9).alias("timestamp"),
+        F.struct("power", "rotorSpeed", "windSpeed").alias("measurements"),
+    )
+    back = _rows(decode_json(to_sensor_json(df))[0])
+    assert back == _rows(df) and len(back) == len(rows)
+
+
 def test_avro_null_field_gives_null_body(spark):
     df = spark.sql("select cast(null as string) deviceId, timestamp_millis(0) timestamp, named_struct('power', 1d, 'rotorSpeed', 1d, 'windSpeed', 2d) measurements")
     assert encode_avro(df).first()["payload"] is None

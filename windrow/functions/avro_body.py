@@ -36,6 +36,10 @@ def wire_kinds(schema: T.StructType) -> list[str]:
     return kinds
 
 
+def _uniform(values):
+    return len(values) > 0 and bool((values == values[0]).all())
+
+
 def _spans(starts, lengths):
     """Flat indices of all bytes of the spans, one span after the other."""
     shift = starts - (np.cumsum(lengths) - lengths)
@@ -70,12 +74,23 @@ def _column_bytes(column):
     return flat, offsets[:-1], offsets[1:]
 
 
-def _binary(data, starts, lengths):
+def _gather(data, starts, lengths):
+    """The bytes of all spans, one span after the other; at once if they are alike and evenly spaced."""
+    if _uniform(lengths) and len(starts) > 1 and _uniform(np.diff(starts)) and starts[1] > starts[0]:
+        stride = starts[1] - starts[0]
+        rows = np.lib.stride_tricks.as_strided(
+            data[starts[0] :], (len(starts), int(lengths[0])), (int(stride), 1), writeable=False
+        )
+        return rows.ravel()
+    return data[_spans(starts, lengths)]
+
+
+def _binary(flat, lengths):
+    """Arrow bytes of rows that lie one after the other."""
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    body = data[_spans(starts, lengths)]
     return pa.Array.from_buffers(
-        pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(body)]
+        pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]
     )
 
 
@@ -90,8 +105,11 @@ def _decode(column, kinds):
     for kind in kinds:
         if kind == "double":
             ok = pos + 8 <= end
-            raw = data.take(pos[:, None] + np.arange(8), mode="clip")
-            parts.append(pa.array(np.ascontiguousarray(raw).view("<f8").ravel()))
+            if ok.all():
+                raw = _gather(data, pos, np.full(len(pos), 8))
+            else:
+                raw = data.take(pos[:, None] + np.arange(8), mode="clip").ravel()
+            parts.append(pa.array(raw.view("<f8")))
             pos = pos + 8
         else:
             number, pos, ok = _take_varint(data, pos, end)
@@ -100,7 +118,7 @@ def _decode(column, kinds):
             else:
                 ok = ok & (number >= 0) & (number <= end - pos)
                 length = np.where(ok & good, number, 0)
-                parts.append(_binary(data, pos, length))
+                parts.append(_binary(_gather(data, pos, length), length))
                 pos = pos + length
         good &= ok
     whole = good & (pos == end)
@@ -130,18 +148,34 @@ def body_decoder(schema: T.StructType):
 
 def _varint_bytes(number):
     """Groups of seven bits as an (n, 10) matrix, and how many of them each row needs."""
-    zigzag = (number.astype(np.uint64) << np.uint64(1)) ^ (number >> np.int64(63)).astype(np.uint64)
-    groups = np.empty((len(number), _VARINT_BYTES), np.uint8)
+    rest = (number.astype(np.uint64) << np.uint64(1)) ^ (number >> np.int64(63)).astype(np.uint64)
+    groups = np.zeros((len(number), _VARINT_BYTES), np.uint8)
     size = np.ones(len(number), np.int64)
     for i in range(_VARINT_BYTES):
-        rest = zigzag >> np.uint64(7 * i)
         groups[:, i] = rest & np.uint64(0x7F)
-        if i:
-            size += rest > 0
+        rest = rest >> np.uint64(7)
+        if not rest.any():
+            break
+        size += rest > 0
     more = np.arange(_VARINT_BYTES) < (size - 1)[:, None]
     return groups | (more.astype(np.uint8) << 7), size
 
 
+def _concat(pieces):
+    """Bodies made of the pieces of each row, one after the other."""
+    total = sum(size for _, size in pieces)
+    if all(_uniform(size) for _, size in pieces):
+        rows = [flat.reshape(len(size), size[0]) for flat, size in pieces]
+        out = np.hstack(rows).ravel()
+    else:
+        out = np.empty(int(total.sum()), np.uint8)
+        at = np.cumsum(total) - total
+        for flat, size in pieces:
+            out[_spans(at, size)] = flat
+            at = at + size
+    return _binary(out, total)
+
+
 def _encode(columns, kinds):
     present = np.ones(len(columns[0]), bool)
     pieces = []  # (flat bytes, bytes per row)
@@ -157,16 +191,13 @@ def _encode(columns, kinds):
         else:
             number = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         groups, size = _varint_bytes(number)
-        pieces.append((groups[np.arange(_VARINT_BYTES) < size[:, None]], size))
+        if _uniform(size):
+            pieces.append((groups[:, : size[0]].ravel(), size))
+        else:
+            pieces.append((groups[np.arange(_VARINT_BYTES) < size[:, None]], size))
         if kind == "string":
-            pieces.append((data[_spans(start, number)], number))
-    total = sum(size for _, size in pieces)
-    out = np.empty(int(total.sum()), np.uint8)
-    at = np.cumsum(total) - total
-    for flat, size in pieces:
-        out[_spans(at, size)] = flat
-        at = at + size
-    bodies = _binary(out, np.cumsum(total) - total, total)
+            pieces.append((_gather(data, start, number), number))
+    bodies = _concat(pieces)
     return pc.if_else(pa.array(present), bodies, pa.scalar(None, pa.binary()))
 
 
