@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from windrow.operators.codecs import decode_avro, encode_avro, to_sensor_json
 from windrow.operators.count_windows import count_windows, demand_batches
 from windrow.operators.metrics import to_metrics, valid_metrics, validate
+from windrow.operators.positions import HOT_ROWS
 from windrow.operators.quota import schedule_quota
 from windrow.operators.targets import assign_targets
 from windrow.plans.pipeline import INVALID, METRICS, READINGS, ROTOR, VALID, run_batch
@@ -114,11 +115,35 @@ def test_windows_after_a_failure(spark, wind, tmp_path, monkeypatch, moment):
 
 
 def test_lost_state_is_an_error(spark, tmp_path):
-    state = spark.createDataFrame([(5,)], "pos bigint")
-    write_carry(state, str(tmp_path), 7)
-    assert read_carry(spark, str(tmp_path), 7, "pos bigint") == [(5,)]
-    with pytest.raises(RuntimeError):
-        read_carry(spark, str(tmp_path), 9, "pos bigint")
+    state = spark.createDataFrame([(5,)], "next_pos bigint")
+    for batch in range(4):
+        write_carry(state, str(tmp_path), batch)
+    assert read_carry(spark, str(tmp_path), 3, state.schema).first() == (5,)
+    assert read_carry(spark, str(tmp_path), 2, state.schema).first() == (5,)
+    for lost in (1, 4):
+        with pytest.raises(RuntimeError):
+            read_carry(spark, str(tmp_path), lost, state.schema)
+
+
+@pytest.mark.parametrize("hot_rows", [HOT_ROWS, 20])
+def test_windows_per_key_with_hot_keys(spark, wind, tmp_path, hot_rows):
+    """One device has a third of the rows, and one has no name."""
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    third = F.pmod("event_id", F.lit(3))
+    wind = wind.withColumn(
+        "deviceId", F.when(third == 0, "hot").when(third == 1, F.col("deviceId"))
+    )
+    write_files(wind, source, UNEVEN)
+    stream = topic_source(spark, source, wind.schema, batch_limit=2)
+    stream_count_windows(
+        stream, order_by=EVENT_ORDER, out=out, checkpoint=checkpoint, key="deviceId", hot_rows=hot_rows
+    ).awaitTermination()
+    columns = ["device", *WINDOW]
+    for partial in (True, False):
+        want = count_windows(wind, order_by=EVENT_ORDER, key="deviceId", emit_partial=partial)
+        got = read_windows(spark, out, checkpoint, emit_partial=partial)
+        named = [df.withColumn("device", F.coalesce("deviceId", F.lit("none"))) for df in (got, want)]
+        assert as_rows(named[0], *columns) == as_rows(named[1], *columns)
 
 
 def test_positions_go_on_over_batches(spark, readings, tmp_path):

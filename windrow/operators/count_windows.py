@@ -11,17 +11,15 @@ from windrow.operators.positions import HOT_ROWS, rank_within, with_position
 _MAX_SLOTS = 32
 
 
-def gather_windows(
+def group_rows(
     placed: DataFrame, n: int, keys: list[str], value: str = "value", pos: str = "pos"
 ) -> DataFrame:
-    """Windows from rows that have their position: key, window, rows, average, last_pos.
+    """Windows of rows that have their position: key, window, rows, values in order, last_pos.
 
     Each value has a fixed place in its window, so a window is gathered with one max() per place.
     Unlike a list, these are plain numbers that the hash aggregate combines before the shuffle.
     """
-    grouped = placed.withColumn("window", floor_div(F.col(pos), n)).groupBy(
-        *keys, "window"
-    )
+    grouped = placed.withColumn("window", floor_div(F.col(pos), n)).groupBy(*keys, "window")
     rows = F.count("*").alias("rows")
     last = F.max(pos).alias("last_pos")
     if n <= _MAX_SLOTS:
@@ -33,7 +31,14 @@ def gather_windows(
         listed = F.sort_array(F.collect_list(F.struct(pos, value))).alias("_list")
         windows = grouped.agg(rows, last, listed)
         values = F.col("_list")[value]
-    return windows.select(*keys, "window", "rows", incremental_mean(values).alias("average"), "last_pos")
+    return windows.select(*keys, "window", "rows", values.alias("values"), "last_pos")
+
+
+def average_of(windows: DataFrame) -> DataFrame:
+    """The incremental mean in place of the values."""
+    return windows.withColumn("values", incremental_mean(F.col("values"))).withColumnRenamed(
+        "values", "average"
+    )
 
 
 def count_windows(
@@ -58,7 +63,7 @@ def count_windows(
         placed = rank_within(slim, keys, order_by, hot_rows=hot_rows)
     else:
         placed = with_position(slim, order_by)
-    windows = gather_windows(placed, n, keys, value)
+    windows = average_of(group_rows(placed, n, keys, value))
     return windows if emit_partial else windows.filter(F.col("rows") == n)
 
 

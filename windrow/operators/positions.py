@@ -77,12 +77,14 @@ def rank_within(
     order_by: list[str],
     name: str = "pos",
     hot_rows: int = HOT_ROWS,
+    path: str | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row among the rows of its key.
 
     A count per key (combined before the shuffle) finds the keys too large for one task. Their rows
     are sorted over all tasks by ``with_position``, and the position of the first row of the key is
-    taken off; all other keys take a plain window.
+    taken off; all other keys take a plain window. ``path`` names a folder for what is written on
+    the way, otherwise it gets a new one.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     largest, total = counts.agg(F.max("_rows"), F.sum("_rows")).first()
@@ -91,13 +93,15 @@ def rank_within(
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
 
     limit = max(hot_rows, total // MAX_HOT_KEYS)
-    hot = materialize(counts.filter(F.col("_rows") > limit).drop("_rows"), "hot-keys")
+    hot = counts.filter(F.col("_rows") > limit).drop("_rows")
+    hot = materialize(hot, "hot-keys", path and f"{path}/hot-keys")
     on_hot = same_key(df, hot, keys)
     calm = df.join(F.broadcast(hot), on_hot, "left_anti")
     calm = calm.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
 
-    placed = with_position(
-        df.join(F.broadcast(hot), on_hot, "left_semi"), [*keys, *order_by], "_at"
+    hot_rows_only = df.join(F.broadcast(hot), on_hot, "left_semi")
+    placed, _ = place(
+        hot_rows_only, [*keys, *order_by], "_at", path=path and f"{path}/hot-ordered"
     )
     first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
     first = first.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")

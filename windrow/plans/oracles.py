@@ -277,3 +277,4 @@ SQL = {
 SQL["demand_batches_stream"] = SQL["demand_batches"]
 SQL["schedule_quota_stream"] = SQL["schedule_quota"]
 SQL["hits_per_target_stream"] = SQL["hits_per_target"]
+SQL["device_stream_all_windows"] = SQL["device_window_avg"]

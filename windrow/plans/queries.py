@@ -520,6 +520,18 @@ def target_hits_stream(spark, sf_dir):
     return hits_per_target(placed, listed)
 
 
+def device_stream_all_windows(spark, sf_dir):
+    """Windows per device, the open ones too, with hot devices divided over tasks."""
+    source, out, checkpoint = _folders(spark, "device-all-windows")
+    wind = _valid_of(spark, sf_dir, "windSpeed")
+    for _ in _in_thirds(wind, source):
+        stream = topic_source(spark, source, wind.schema)
+        stream_count_windows(
+            stream, order_by=EVENT_ORDER, out=out, checkpoint=checkpoint, key="deviceId"
+        ).awaitTermination()
+    return read_windows(spark, out, checkpoint).drop("last_pos")
+
+
 def device_stream_window_avg(spark, sf_dir):
     """Full windows per device; open ones stay in the state."""
     source, out, checkpoint = _folders(spark, "device-windows")

@@ -26,10 +26,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/windrow/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def make_dir(spark: SparkSession, path: str) -> None:
-    """Create a folder on whatever file system the path names."""
+def _file_system(spark: SparkSession, path: str):
+    """The file system a path names, and the path in its terms."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    files, folder = _file_system(spark, path)
+    files.mkdirs(folder)
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this package has written, if it is there."""
+    files, folder = _file_system(spark, path)
+    files.delete(folder, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    files, folder = _file_system(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(folder)]
 
 
 def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:

@@ -1,33 +1,35 @@
 """What one micro-batch leaves to the next, kept beside the checkpoint on shared storage."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from windrow.storage import child_names, remove_dir
 
-def _place_of(carry: str, batch_id: int) -> str:
-    # Only the batch before is ever read again, so two places are enough.
-    return f"{carry}/slot={batch_id % 2}"
+_BATCH = "batch="
 
 
-def read_carry(spark: SparkSession, carry: str, batch_id: int, schema: str) -> list[tuple]:
-    """The rows left by ``batch_id``, none for the batch before the first."""
+def read_carry(spark: SparkSession, carry: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """The rows left by ``batch_id``, none by the batch before the first."""
     if batch_id < 0:
-        return []
-    table = spark.read.schema(f"batch bigint, {schema}").parquet(_place_of(carry, batch_id))
-    rows = [tuple(r) for r in table.collect()]
-    if not rows or any(r[0] != batch_id for r in rows):
-        raise RuntimeError(f"{carry} does not hold the state after batch {batch_id}")
-    return [r[1:] for r in rows]
+        return spark.createDataFrame([], schema)
+    try:
+        return spark.read.schema(schema).parquet(f"{carry}/{_BATCH}{batch_id}")
+    except AnalysisException as missing:
+        raise RuntimeError(f"{carry} does not hold the state after batch {batch_id}") from missing
 
 
 def write_carry(rows: DataFrame, carry: str, batch_id: int) -> None:
-    """Keep the rows (a handful) for the next batch. A batch that is run again replaces its own."""
-    state = rows.select(F.lit(batch_id).cast("bigint").alias("batch"), "*")
-    state.coalesce(1).write.mode("overwrite").parquet(_place_of(carry, batch_id))
+    """Keep the rows for the next batch. A batch that is run again replaces its own.
 
+    Only the batch before is ever read again, so older ones are removed.
+    """
+    rows.write.mode("overwrite").parquet(f"{carry}/{_BATCH}{batch_id}")
+    remove_dir(rows.sparkSession, f"{carry}/{_BATCH}{batch_id - 2}")
 
-def last_carry(spark: SparkSession, carry: str, schema: str) -> DataFrame:
+
+def last_carry(spark: SparkSession, carry: str) -> DataFrame:
     """The rows left by the last batch of a stream."""
-    state = spark.read.schema(f"batch bigint, {schema}").parquet(f"{carry}/slot=*")
-    last = state.agg(F.max("batch")).first()[0]
-    return state.filter(F.col("batch") == last).drop("batch")
+    names = [n for n in child_names(spark, carry) if n.startswith(_BATCH)]
+    last = max(int(n.removeprefix(_BATCH)) for n in names)
+    return spark.read.parquet(f"{carry}/{_BATCH}{last}")

@@ -6,6 +6,7 @@ Rows arrive batch by batch, and within a batch in the order of ``order_by``.
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from windrow.operators.count_windows import number_batches
 from windrow.operators.positions import place
@@ -14,7 +15,9 @@ from windrow.operators.targets import deal_targets
 from windrow.storage import make_dir
 from windrow.streaming.carry import read_carry, write_carry
 
-_CARRY = "pos bigint, lowest bigint"
+_CARRY = T.StructType(
+    [T.StructField("next_pos", T.LongType()), T.StructField("lowest", T.LongType())]
+)
 
 # From placed rows and the value kept by the batch before: the rows to write and the value to keep.
 Step = Callable[[DataFrame, int | None], tuple[DataFrame, int | None]]
@@ -26,12 +29,12 @@ def _stream_placed(
     carry = f"{checkpoint}/carry"
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        before = read_carry(batch.sparkSession, carry, batch_id - 1, _CARRY)
-        start, kept = before[0] if before else (0, None)
+        spark = batch.sparkSession
+        start, kept = read_carry(spark, carry, batch_id - 1, _CARRY).first() or (0, None)
         placed, end = place(batch, order_by, start=start, path=f"{carry}/ordered")
         rows, kept = step(placed, kept)
         rows.write.mode("overwrite").parquet(f"{out}/from={batch_id}")
-        write_carry(batch.sparkSession.createDataFrame([(end, kept)], _CARRY), carry, batch_id)
+        write_carry(spark.createDataFrame([(end, kept)], _CARRY), carry, batch_id)
 
     make_dir(df.sparkSession, out)
     writer = df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)

@@ -1,19 +1,43 @@
-"""Count windows on streams."""
+"""Count windows on streams.
 
-from functools import partial
+Rows arrive batch by batch, and within a batch in the order of ``order_by``.
+"""
+
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.operators.count_windows import gather_windows
-from windrow.operators.positions import place
-from windrow.storage import make_dir
+from windrow.operators.count_windows import average_of, group_rows
+from windrow.operators.positions import HOT_ROWS, place, rank_within
+from windrow.storage import make_dir, materialize
 from windrow.streaming.carry import last_carry, read_carry, write_carry
 from windrow.streaming.keyed import fold_windows
 
-# Rows of the open window, then a row (next position, NULL).
-_CARRY = "pos bigint, value double"
+
+def _state_schema(key_fields: list[T.StructField]) -> T.StructType:
+    """Per key: the next position, and the values of the open window (fewer than ``n``)."""
+    return T.StructType(
+        [
+            *key_fields,
+            T.StructField("next_pos", T.LongType()),
+            T.StructField("held", T.ArrayType(T.DoubleType())),
+        ]
+    )
+
+
+def _place_batch(slim, state, keys, order_by, scratch, hot_rows) -> DataFrame:
+    """Positions that go on where the state of the key, or of the stream, stopped."""
+    if not keys:
+        start = state.agg(F.max("next_pos")).first()[0] or 0
+        return place(slim, order_by, start=start, path=f"{scratch}/ordered")[0]
+    ranked = rank_within(slim, keys, order_by, hot_rows=hot_rows, path=scratch)
+    known = state.select(*[F.col(k).alias(f"_{k}") for k in keys], "next_pos")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return ranked.join(known, same, "left").withColumn(
+        "pos", F.col("pos") + F.coalesce("next_pos", F.lit(0))
+    )
 
 
 def window_batch(
@@ -24,27 +48,44 @@ def window_batch(
     carry: str,
     n: int,
     order_by: list[str],
+    key: str | None = None,
     value: str = "value",
+    hot_rows: int = HOT_ROWS,
 ) -> None:
-    """One micro-batch of a count window over all rows of a stream; for ``foreachBatch``.
+    """One micro-batch of a count window over all rows of a stream or per key; for ``foreachBatch``.
 
-    Positions go on where the batch before stopped. Windows that are full are written to
-    ``out/batch=<id>``; the fewer than ``n`` rows of the open window and the next position are kept
-    in ``carry``. A batch that is run again reads the same carry and replaces its own output.
+    Windows that are full are written to ``out/batch=<id>``; the values of the open windows and the
+    next positions are kept in ``carry``. A batch that is run again reads the same state and
+    replaces its own output.
     """
-    spark = batch.sparkSession
-    before = sorted(read_carry(spark, carry, batch_id - 1, _CARRY), key=lambda r: r[0])
-    start = before[-1][0] if before else 0
-    slim = batch.select(*order_by, value)
-    placed, end = place(slim, order_by, start=start, path=f"{carry}/ordered")
-    left_over = spark.createDataFrame(before[:-1], _CARRY)
-    rows = left_over.unionByName(placed.select("pos", F.col(value).alias("value")))
-
-    windows = gather_windows(rows, n, []).filter(F.col("rows") == n)
-    windows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    open_rows = rows.filter(F.col("pos") >= end // n * n)
-    write_carry(open_rows.unionByName(spark.createDataFrame([(end, None)], _CARRY)), carry, batch_id)
+    keys = [key] if key else []
+    scratch = f"{carry}/scratch"
+    slim = batch.select(*dict.fromkeys([*keys, *order_by, value]))
+    schema = _state_schema([slim.schema[k] for k in keys])
+    state = read_carry(batch.sparkSession, carry, batch_id - 1, schema)
+
+    placed = _place_batch(slim, state, keys, order_by, scratch, hot_rows)
+    held = state.select(
+        *keys, (F.col("next_pos") - F.size("held")).alias("_first"), F.posexplode("held")
+    )
+    held = held.select(*keys, (F.col("_first") + F.col("pos")).alias("pos"), F.col("col").alias("value"))
+    rows = held.unionByName(placed.select(*keys, "pos", F.col(value).alias("value")))
+    windows = materialize(group_rows(rows, n, keys), "windows", f"{scratch}/windows")
+
+    full = F.col("rows") == n
+    average_of(windows.filter(full)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    nothing = F.array().cast("array<double>")
+    now = windows.select(
+        *keys,
+        (F.col("last_pos") + 1).alias("next_pos"),
+        F.when(full, nothing).otherwise(F.col("values")).alias("held"),
+    )
+    latest = state.unionByName(now).groupBy(*keys).agg(
+        F.coalesce(F.max("next_pos"), F.lit(0)).cast("bigint").alias("next_pos"),
+        F.coalesce(F.max_by("held", "next_pos"), nothing).alias("held"),
+    )
+    write_carry(latest, carry, batch_id)
 
 
 def stream_count_windows(
@@ -54,16 +95,25 @@ def stream_count_windows(
     order_by: list[str],
     out: str,
     checkpoint: str,
+    key: str | None = None,
     value: str = "value",
+    hot_rows: int = HOT_ROWS,
     trigger: dict | None = None,
 ):
-    """Average of every ``n`` consecutive rows of a stream, in order of arrival.
+    """Average of every ``n`` consecutive rows of a stream, over all rows or per ``key``.
 
-    Rows arrive batch by batch, and within a batch in the order of ``order_by``. The state is kept
-    beside the checkpoint.
+    The state is kept beside the checkpoint and written anew by each batch: one row in all, or one
+    per key. Keys with very many rows in a batch are divided over tasks.
     """
     work = partial(
-        window_batch, out=out, carry=f"{checkpoint}/carry", n=n, order_by=order_by, value=value
+        window_batch,
+        out=out,
+        carry=f"{checkpoint}/carry",
+        n=n,
+        order_by=order_by,
+        key=key,
+        value=value,
+        hot_rows=hot_rows,
     )
     make_dir(df.sparkSession, out)
     writer = df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
@@ -73,23 +123,34 @@ def stream_count_windows(
 def read_windows(
     spark: SparkSession, out: str, checkpoint: str, n: int = 5, emit_partial: bool = True
 ) -> DataFrame:
-    """Windows written so far. ``emit_partial`` adds the open window of a stream that has ended."""
-    columns = ["window", "rows", "average", "last_pos"]
-    windows = spark.read.parquet(out).select(*columns)
+    """Windows written so far. ``emit_partial`` adds the open ones of a stream that has ended."""
+    windows = spark.read.parquet(out).drop("batch")
     if not emit_partial:
         return windows
-    open_rows = last_carry(spark, f"{checkpoint}/carry", _CARRY).filter(F.col("value").isNotNull())
-    return windows.unionByName(gather_windows(open_rows, n, []))
+    held = F.size("held").cast("bigint")
+    open_windows = last_carry(spark, f"{checkpoint}/carry").filter(held > 0)
+    keys = [c for c in open_windows.columns if c not in ("next_pos", "held")]
+    return windows.unionByName(
+        average_of(
+            open_windows.select(
+                *keys,
+                F.call_function("div", F.col("next_pos") - held, F.lit(n)).alias("window"),
+                held.alias("rows"),
+                F.col("held").alias("values"),
+                (F.col("next_pos") - 1).alias("last_pos"),
+            )
+        )
+    )
 
 
 def stream_windows_per_key(
     df: DataFrame, n: int = 5, *, key: str, order_by: list[str], value: str = "value"
 ) -> DataFrame:
-    """Average of every ``n`` consecutive rows of each key of a stream.
+    """The same per key with Spark's state store, which writes only the keys that change.
 
-    State per key: the number of the open window and its values, fewer than ``n``. The rows of a
-    key in one micro-batch are sorted in one task, so the source must limit the batch
-    (``batch_limit`` of ``topic_source``).
+    For very many keys and batches that the source limits (``batch_limit`` of ``topic_source``): the
+    rows of a key in one micro-batch are sorted in one task. Where one key may have very many rows
+    in a batch, use ``stream_count_windows`` with ``key``. The result is a stream of full windows.
     """
     slim = df.select(key, *[c for c in order_by if c != key], value)
     key_field = T.StructField(key, df.schema[key].dataType)
