@@ -39,6 +39,7 @@ def main():
     from windrow.operators import codecs, metrics
     from windrow.operators.count_windows import count_windows
     from windrow.plans import queries as q
+    from windrow.plans.pipeline import INVALID, VALID, run_batch
     from windrow.sources.tables import EVENT_ORDER, LINEITEM_ORDER, sensor_from_events, sensor_from_lineitem
     from windrow.sources.topics import topic_source
     from windrow.streaming.pipeline import run_stream
@@ -66,8 +67,10 @@ def main():
         return (codecs.decode_json if kind == "json" else codecs.decode_avro)(payloads)[0]
 
     def end_to_end(kind):
-        rotor = metrics.to_metrics(decoded(kind), ["rotorSpeed"], LINEITEM_ORDER)
-        discard(count_windows(metrics.valid_metrics(metrics.validate(rotor)), order_by=LINEITEM_ORDER))
+        """From payloads to averages, with the topics in between."""
+        payloads = spark.read.parquet(f"{base}/{kind}")
+        topics = run_batch(payloads, kind, order_by=LINEITEM_ORDER)
+        discard(topics[VALID], topics[INVALID], topics["averages"])
 
     def windows(**options):
         rotor = metrics.to_metrics(readings, ["rotorSpeed"], LINEITEM_ORDER)

@@ -37,6 +37,8 @@ KEPT = {
     "bracket in text": (GOOD.replace('"measurements"', '"x":"]","measurements"'), (ID, MS, 1.7, 3.9, 105.0)),
     "extra in measurements": (GOOD.replace('"power"', '"gust":"x","power"'), (ID, MS, 1.7, 3.9, 105.0)),
     "other order": (f'{{"measurements":{M},"timestamp":{MS},"deviceId":"{ID}"}}', (ID, MS, 1.7, 3.9, 105.0)),
+    "several lines": (GOOD.replace(",", ",\n    ").replace("{", "{\r\n\t"), (ID, MS, 1.7, 3.9, 105.0)),
+    "key twice": (GOOD.replace('"power":1.7', '"power":1.7,"power":2'), (ID, MS, 2.0, 3.9, 105.0)),
     "upper case": (GOOD.replace(ID, ID.upper()), (ID, MS, 1.7, 3.9, 105.0)),
     "short groups": (GOOD.replace(ID, "1-1-1-1-1"), ("00000001-0001-0001-0001-000000000001", MS, 1.7, 3.9, 105.0)),
     "fractional time": (GOOD.replace(str(MS), f"{MS}.9"), (ID, MS, 1.7, 3.9, 105.0)),
@@ -56,6 +58,7 @@ REJECTED = {
     "id object": (GOOD.replace(f'"{ID}"', '{"a":1}'), "bad deviceId"),
     "id group too long": (GOOD.replace(ID, "c75cb4481-df0e-4692-8e06-0321b7703992"), "bad deviceId"),
     "id four groups": (GOOD.replace(ID, "c75cb448-df0e-4692-8e06"), "bad deviceId"),
+    "other case of key": (GOOD.replace("deviceId", "DeviceId"), "bad deviceId"),
     "time as text": (GOOD.replace(str(MS), f'"{MS}"'), "bad timestamp"),
     "time missing": (GOOD.replace(f'"timestamp":{MS},', ""), "bad timestamp"),
     "time null": (GOOD.replace(str(MS), "null"), "bad timestamp"),

@@ -22,6 +22,7 @@ from windrow.operators.positions import rank_within, with_position
 from windrow.operators.quota import admit_quota, schedule_quota
 from windrow.operators.targets import assign_targets, hits_per_target
 from windrow.schemas import INVALID_MESSAGE
+from windrow.sinks.topics import route_sink
 from windrow.sources.tables import EVENT_ORDER, sensor_from_events
 
 
@@ -81,6 +82,15 @@ def test_flatten_and_route(spark, sf_dir):
     assert "Expand" not in plan_nodes(to_metrics(readings, ["rotorSpeed"]))
 
 
+def test_route_in_one_pass(spark, sf_dir, tmp_path):
+    tagged = validate(to_metrics(sensor_from_events(spark, sf_dir)))
+    for routed, want in zip(route_sink(tagged, str(tmp_path / "topics")), (valid_metrics(tagged), invalid_metrics(tagged))):
+        assert routed.columns == want.columns and routed.count() == want.count()
+        assert routed.exceptAll(want).count() == 0
+        plan = routed._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(is_valid" in plan
+
+
 def test_flatten_order_within_reading(spark):
     one = spark.sql("select 'd' deviceId, timestamp_millis(0) timestamp, named_struct('power', 1d, 'rotorSpeed', 2d, 'windSpeed', 3d) measurements")
     assert [(r["name"], r["value"]) for r in to_metrics(one).collect()] == [("power", 1.0), ("rotorSpeed", 2.0), ("windSpeed", 3.0)]

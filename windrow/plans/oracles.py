@@ -136,6 +136,10 @@ SQL = {
         FROM checked WHERE NOT is_valid""",
     "validation_summary": f"""
         WITH {_METRICS} SELECT name, is_valid, count(*) AS metrics FROM checked GROUP BY ALL""",
+    "routed_topics": f"""
+        WITH {_METRICS}
+        SELECT {_FLAT}, CASE WHEN is_valid THEN 'valid-metics' ELSE 'invalid-metics' END AS topic
+        FROM checked""",
     "balance_validation": """
         WITH accounts AS (
           SELECT 'customer' AS owner, c_custkey AS id, c_acctbal AS value FROM customer

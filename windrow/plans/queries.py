@@ -17,7 +17,7 @@ from windrow.operators.targets import assign_targets, hits_per_target
 from windrow.plans import pipeline
 from windrow.schemas import METRIC
 from windrow.sinks.lines import average_lines, invalid_lines, valid_lines
-from windrow.sinks.topics import kafka_frame, key_bytes, spread, topic_sink
+from windrow.sinks.topics import kafka_frame, key_bytes, route_sink, spread, topic_sink
 from windrow.sources.ingest import ingest_avro, ingest_json
 from windrow.sources.synthetic import synthetic_readings
 from windrow.sources.tables import (
@@ -42,7 +42,6 @@ from windrow.streaming.windows import read_windows, stream_count_windows, stream
 HOUR_MS = 3_600_000
 HOURLY_QUOTA = 10
 PORTS = [7000, 7001, 7002]
-METRIC_COLUMNS = ["deviceId", "timestamp_ms", "name", "value"]
 
 
 def _flat_metrics(df: DataFrame) -> DataFrame:
@@ -97,6 +96,15 @@ def validation_summary(spark, sf_dir):
     return metrics.validation_summary(_checked(spark, sf_dir))
 
 
+def routed_topics(spark, sf_dir):
+    """Both topics as they are after one pass over the readings."""
+    topics = route_sink(_checked(spark, sf_dir), new_path(spark, "routed"))
+    valid, invalid = topics[0], topics[1].select("metric.*")
+    both = [_flat_metrics(valid).withColumn("topic", F.lit(pipeline.VALID))]
+    both.append(_flat_metrics(invalid).withColumn("topic", F.lit(pipeline.INVALID)))
+    return reduce(DataFrame.unionByName, both)
+
+
 def balance_validation(spark, sf_dir):
     tables = [balances(spark, sf_dir, t).withColumn("owner", F.lit(t)) for t in ("customer", "supplier")]
     tagged = metrics.validate(reduce(DataFrame.unionByName, tables))
@@ -432,7 +440,7 @@ def limited_ingest_stream(spark, sf_dir):
     """Avro payloads, two files at a time."""
     source, out, checkpoint = _folders(spark, "ingest")
     payloads = _avro_payloads(spark, sf_dir)
-    topic_sink(spread(payloads, 8), source)
+    topic_sink(spread(payloads, spark.sparkContext.defaultParallelism), source)
     stream_pipeline.ingest_stream(
         spark, source, payloads.schema, out=out, checkpoint=checkpoint, batch_limit=2
     ).awaitTermination()

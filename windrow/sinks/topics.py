@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from windrow.operators.metrics import invalid_metrics, valid_metrics
+
 # Writer settings for Kafka.
 KAFKA_WRITER = {"kafka.acks": "all", "kafka.max.in.flight.requests.per.connection": "128"}
 
@@ -26,6 +28,17 @@ def topic_sink(
     return writer.trigger(**(trigger or {"availableNow": True})).start(path)
 
 
+def route_sink(tagged: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write validated metrics to their two topics in one pass, and return both.
+
+    The tag becomes a folder, so that each topic reads its own files only. Two separate writes would
+    flatten and validate everything twice.
+    """
+    tagged.write.mode("append").partitionBy("is_valid").parquet(path)
+    table = tagged.sparkSession.read.schema(tagged.schema).parquet(path)
+    return valid_metrics(table), invalid_metrics(table)
+
+
 def spread(df: DataFrame, n: int) -> DataFrame:
     """Even out the rows over ``n`` partitions, whatever their key."""
     return df.repartition(n)

@@ -1,5 +1,8 @@
 """The whole dataflow on a stream of payloads."""
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -56,8 +59,13 @@ def _fused(ingress: str, out: str, checkpoint: str, order_by: list[str], n: int,
                 INVALID: invalid_metrics(checked),
                 ROTOR: valid_metrics(validate(to_metrics(readings, [ROTOR_METRIC], keep=order_by))),
             }
-            for name, rows in topics.items():
-                rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+
+            def write(name: str) -> None:
+                topics[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+
+            # side by side, so that the tail of one write does not hold up the next
+            with ThreadPoolExecutor(len(topics)) as pool:
+                list(pool.map(inheritable_thread_target(write), topics))
             window_batch(
                 topics[ROTOR],
                 batch_id,
