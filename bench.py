@@ -7,7 +7,6 @@ Each query is run twice on a warm session and the faster run counts. Results are
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -42,9 +41,10 @@ def main():
     from windrow.plans.pipeline import INVALID, VALID, run_batch
     from windrow.sources.tables import EVENT_ORDER, LINEITEM_ORDER, sensor_from_events, sensor_from_lineitem
     from windrow.sources.topics import topic_source
+    from windrow.storage import new_path
     from windrow.streaming.pipeline import run_stream
 
-    base = tempfile.mkdtemp(prefix="windrow-bench-")
+    base = new_path(spark, "bench")
 
     def discard(*tables):
         for table in tables:

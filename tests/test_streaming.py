@@ -9,13 +9,14 @@ from windrow.operators.codecs import decode_avro, encode_avro, to_sensor_json
 from windrow.operators.count_windows import count_windows, demand_batches
 from windrow.operators.metrics import to_metrics, valid_metrics, validate
 from windrow.operators.positions import HOT_ROWS
-from windrow.operators.quota import schedule_quota
+from windrow.operators.quota import admit_quota, schedule_quota
 from windrow.operators.targets import assign_targets
 from windrow.plans.pipeline import INVALID, METRICS, READINGS, ROTOR, VALID, run_batch
 from windrow.sources.tables import EVENT_ORDER, sensor_from_events
 from windrow.sources.topics import topic_source
 from windrow.streaming import pipeline, windows
-from windrow.streaming.carry import read_carry, write_carry
+from windrow.streaming.admission import stream_admit_quota
+from windrow.streaming.carry import last_carry, read_carry, write_carry
 from windrow.streaming.pipeline import AVERAGES, REJECTS, ingest_stream, run_stream
 from windrow.streaming.positions import (
     read_placed,
@@ -170,6 +171,39 @@ def test_positions_go_on_over_batches(spark, readings, tmp_path):
         assert got.exceptAll(want.select(*got.columns)).count() == 0, name
 
 
+@pytest.mark.parametrize("late_windows", [None, 3])
+def test_admission_goes_on_over_batches(spark, readings, tmp_path, late_windows):
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    day, quota = 86_400_000, 25
+    rows = readings.select(*EVENT_ORDER, "timestamp")
+    write_files(rows, source, UNEVEN)
+    stream = topic_source(spark, source, rows.schema, batch_limit=1)
+    stream_admit_quota(
+        stream, day, quota, order_by=EVENT_ORDER, out=out, checkpoint=checkpoint, late_windows=late_windows, hot_rows=30
+    ).awaitTermination()
+    want = admit_quota(rows, day, quota, order_by=EVENT_ORDER)
+    got = read_placed(spark, out)
+    assert got.count() == want.count() and want.filter("not admitted").count() > 0
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    kept = last_carry(spark, f"{checkpoint}/carry").count()
+    assert kept == (late_windows or want.select("window").distinct().count())
+
+
+def test_rows_beyond_the_late_windows(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    batches = [[0, 0], [10, 9, 8], [0, 8, 9, 7]]  # window numbers
+    for i, windows_ in enumerate(batches):
+        rows = [(i * 10 + j, w) for j, w in enumerate(windows_)]
+        df = spark.createDataFrame(rows, "id int, w bigint").select("id", F.timestamp_millis(F.col("w") * 1000).alias("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(source)
+    stream = topic_source(spark, source, df.schema, batch_limit=1)
+    stream_admit_quota(
+        stream, 1000, 1, order_by=["id"], out=out, checkpoint=checkpoint, late_windows=3
+    ).awaitTermination()
+    got = {r["id"]: r["admitted"] for r in read_placed(spark, out).collect()}
+    assert got == {0: True, 1: False, 10: True, 11: True, 12: True, 20: False, 21: False, 22: False, 23: False}
+
+
 def test_pipeline_after_a_failure(spark, readings, tmp_path, monkeypatch):
     """The fused dataflow dies in a batch when some of its topics are written."""
     source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))

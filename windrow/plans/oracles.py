@@ -279,6 +279,7 @@ SQL = {
 
 # A stream must give the rows of the table.
 SQL["demand_batches_stream"] = SQL["demand_batches"]
+SQL["admit_quota_stream"] = SQL["admit_quota"]
 SQL["schedule_quota_stream"] = SQL["schedule_quota"]
 SQL["hits_per_target_stream"] = SQL["hits_per_target"]
 SQL["device_stream_all_windows"] = SQL["device_window_avg"]

@@ -31,6 +31,7 @@ from windrow.sources.tables import (
 from windrow.sources.topics import record_lines, topic_source, topic_table
 from windrow.storage import new_path
 from windrow.streaming import pipeline as stream_pipeline
+from windrow.streaming.admission import stream_admit_quota
 from windrow.streaming.positions import (
     read_placed,
     stream_assign_targets,
@@ -514,6 +515,13 @@ def demand_batches_stream(spark, sf_dir):
     return placed.select("event_id", "pos", "batch", "asks_next")
 
 
+def admit_quota_stream(spark, sf_dir):
+    placed = _placed_in_thirds(
+        spark, sf_dir, "stream-quota", stream_admit_quota, window_ms=HOUR_MS, quota=HOURLY_QUOTA
+    )
+    return placed.select("event_id", "window", "admitted")
+
+
 def schedule_quota_stream(spark, sf_dir):
     placed = _placed_in_thirds(
         spark, sf_dir, "stream-slots", stream_schedule_quota, window_ms=HOUR_MS, quota=HOURLY_QUOTA
