@@ -71,6 +71,15 @@ def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def _look_up(df: DataFrame, table: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Add the other columns of ``table`` (one row per key) to the rows of ``df``."""
+    others = [c for c in table.columns if c not in keys]
+    table = table.select(*[F.col(k).alias(f"_{k}") for k in keys], *others)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    joined = df.join(F.broadcast(table) if small else table, same, "left")
+    return joined.drop(*[f"_{k}" for k in keys])
+
+
 def rank_within(
     df: DataFrame,
     keys: list[str],
@@ -78,35 +87,47 @@ def rank_within(
     name: str = "pos",
     hot_rows: int = HOT_ROWS,
     path: str | None = None,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row among the rows of its key.
 
     A count per key (combined before the shuffle) finds the keys too large for one task. Their rows
-    are sorted over all tasks by ``with_position``, and the position of the first row of the key is
-    taken off; all other keys take a plain window. ``path`` names a folder for what is written on
-    the way, otherwise it gets a new one.
+    are sorted over all tasks by ``place``, and the position of the first row of the key is taken
+    off; all other keys take a plain window. ``path`` names a folder for what is written on the
+    way, otherwise it gets a new one. ``start`` is a table of keys and a column ``start``: the
+    position of the first row of the key where that is not 0.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     largest, total = counts.agg(F.max("_rows"), F.sum("_rows")).first()
     window = Window.partitionBy(*keys).orderBy(*order_by)
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        ranked = rows.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
+        if start is None:
+            return ranked
+        begun = _look_up(ranked, start, keys, small=False)
+        return begun.withColumn(name, F.col(name) + F.coalesce("start", F.lit(0))).drop("start")
+
     if (largest or 0) <= hot_rows:
-        return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
+        return windowed(df)
 
     limit = max(hot_rows, total // MAX_HOT_KEYS)
     hot = counts.filter(F.col("_rows") > limit).drop("_rows")
     hot = materialize(hot, "hot-keys", path and f"{path}/hot-keys")
     on_hot = same_key(df, hot, keys)
-    calm = df.join(F.broadcast(hot), on_hot, "left_anti")
-    calm = calm.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
+    calm = windowed(df.join(F.broadcast(hot), on_hot, "left_anti"))
 
-    hot_rows_only = df.join(F.broadcast(hot), on_hot, "left_semi")
     placed, _ = place(
-        hot_rows_only, [*keys, *order_by], "_at", path=path and f"{path}/hot-ordered"
+        df.join(F.broadcast(hot), on_hot, "left_semi"),
+        [*keys, *order_by],
+        "_at",
+        path=path and f"{path}/hot-ordered",
     )
     first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
-    first = first.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")
-    on_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    ranked = placed.join(F.broadcast(first), on_key).withColumn(
-        name, F.col("_at") - F.col("_first")
-    )
+    if start is not None:
+        begun = start.join(F.broadcast(hot), same_key(start, hot, keys), "left_semi")
+        first = _look_up(first, begun, keys, small=True)
+        first = first.withColumn("_first", F.col("_first") - F.coalesce("start", F.lit(0))).drop("start")
+    ranked = _look_up(placed, first, keys, small=True)
+    ranked = ranked.withColumn(name, F.col("_at") - F.col("_first"))
     return calm.unionByName(ranked.select(*calm.columns))

@@ -29,13 +29,14 @@ def admit_batch(
     """One micro-batch; a row counts after the rows of its window in earlier batches."""
     seen = read_carry(batch.sparkSession, carry, batch_id - 1, _SEEN)
     newest = seen.agg(F.max("window")).first()[0]
-    ranked = rank_within(batch, ["window"], order_by, "_rank", hot_rows, f"{carry}/scratch")
-    before = seen.select(F.col("window").alias("_window"), "seen")
-    known = ranked.join(before, F.col("window") == F.col("_window"), "left")
-    admitted = F.col("_rank") + F.coalesce("seen", F.lit(0)) < quota
+    before = seen.select("window", F.col("seen").alias("start"))
+    ranked = rank_within(
+        batch, ["window"], order_by, "_rank", hot_rows, f"{carry}/scratch", start=before
+    )
+    admitted = F.col("_rank") < quota
     if late_windows is not None and newest is not None:
         admitted = admitted & (F.col("window") > newest - late_windows)
-    rows = known.withColumn("admitted", admitted).drop("_rank", "_window", "seen")
+    rows = ranked.withColumn("admitted", admitted).drop("_rank")
     rows.write.mode("overwrite").parquet(f"{out}/from={batch_id}")
 
     arrived = batch.groupBy("window").agg(F.count("*").alias("seen"))

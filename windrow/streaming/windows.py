@@ -3,7 +3,7 @@
 Rows arrive batch by batch, and within a batch in the order of ``order_by``.
 """
 
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +32,8 @@ def _place_batch(slim, state, keys, order_by, scratch, hot_rows) -> DataFrame:
     if not keys:
         start = state.agg(F.max("next_pos")).first()[0] or 0
         return place(slim, order_by, start=start, path=f"{scratch}/ordered")[0]
-    ranked = rank_within(slim, keys, order_by, hot_rows=hot_rows, path=scratch)
-    known = state.select(*[F.col(k).alias(f"_{k}") for k in keys], "next_pos")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return ranked.join(known, same, "left").withColumn(
-        "pos", F.col("pos") + F.coalesce("next_pos", F.lit(0))
-    )
+    known = state.select(*keys, F.col("next_pos").alias("start"))
+    return rank_within(slim, keys, order_by, hot_rows=hot_rows, path=scratch, start=known)
 
 
 def window_batch(
