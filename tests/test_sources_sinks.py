@@ -7,11 +7,17 @@ from helpers import plan_nodes
 from pyspark.sql import functions as F
 
 from windrow import storage
+from windrow.operators.codecs import decode_json, to_sensor_json
+from windrow.operators.count_windows import count_windows
+from windrow.operators.metrics import to_metrics
 from windrow.plans.pipeline import run_batch
 from windrow.sinks.lines import average_lines, invalid_lines, valid_lines
 from windrow.sinks.topics import kafka_frame, spread, topic_sink
+from windrow.sources.ingest import ingest_json
 from windrow.sources.synthetic import synthetic_readings
+from windrow.sources.tables import EVENT_ORDER, sensor_from_events
 from windrow.sources.topics import KAFKA_RECORD, kafka_options, kafka_source, record_lines, topic_source
+from windrow.streaming.pipeline import averages, run_stream
 
 
 def test_kafka_options():
@@ -105,6 +111,47 @@ def test_shared_folder_is_the_one_of_the_cluster(spark):
     assert storage.new_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def kafka_rows(spark, readings):
+    """Readings as JSON in Kafka records, each an hour after it was measured."""
+    return to_sensor_json(readings, "value").select(
+        F.lit(None).cast("binary").alias("key"),
+        F.col("value").cast("binary").alias("value"),
+        F.lit("t").alias("topic"),
+        F.pmod("event_id", F.lit(3)).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"),
+        (F.col("ts").cast("timestamp") + F.expr("interval 1 hour")).alias("timestamp"),
+    )
+
+
+def test_kafka_records_go_through(spark, sf_dir, tmp_path):
+    """The record's own time does not hide the time of the reading, also when rows are ordered by it."""
+    readings = sensor_from_events(spark, sf_dir)
+    records = kafka_rows(spark, readings)
+    decoded = decode_json(records, "value")[0]
+    assert decoded.columns == ["key", "topic", "partition", "offset", "record_timestamp", "deviceId", "timestamp", "measurements"]
+    got = ingest_json(records, "value")
+    late = got.filter(F.col("record_timestamp") - F.col("timestamp") >= F.expr("interval 1 hour"))
+    assert late.count() == got.count() == readings.count()
+
+    order = ["timestamp", "offset"]
+    want = count_windows(to_metrics(readings, ["rotorSpeed"], EVENT_ORDER), order_by=EVENT_ORDER)
+    batch = run_batch(records, "json", order_by=order, col="value")["averages"]
+    assert sorted(batch.collect()) == sorted(want.collect())
+
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    records.write.parquet(source)
+    stream = topic_source(spark, source, records.schema)
+    run_stream(stream, out=out, checkpoint=checkpoint, order_by=order, ingress="json", col="value")
+    assert sorted(averages(spark, out, checkpoint).collect()) == sorted(want.collect())
+
+
+def test_order_by_the_readings_own_time(spark, sf_dir):
+    metrics = to_metrics(sensor_from_events(spark, sf_dir), keep=["timestamp", "event_id"])
+    assert metrics.columns == ["deviceId", "timestamp", "event_id", "name", "value"]
+    with pytest.raises(ValueError):
+        to_metrics(sensor_from_events(spark, sf_dir), keep=["value"])
+
+
 def test_unknown_ingress(spark):
     with pytest.raises(ValueError):
         run_batch(spark.sql("select 1 id, 'x' payload"), "xml", order_by=["id"])

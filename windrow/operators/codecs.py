@@ -54,8 +54,12 @@ def encode_avro(
 
 
 def tag_json(df: DataFrame, col: str = "payload") -> DataFrame:
-    """Strict decode of JSON text: all fields required, unknown keys ignored."""
-    parsed = with_parsed_reading(df, col, "_parsed")
+    """Strict decode of JSON text or UTF-8 bytes: all fields required, unknown keys ignored."""
+    if isinstance(df.schema[col].dataType, T.BinaryType):
+        text = df.withColumn("_text", F.make_valid_utf8(F.col(col).cast("string")))
+        parsed = with_parsed_reading(text, "_text", "_parsed").drop("_text")
+    else:
+        parsed = with_parsed_reading(df, col, "_parsed")
     tagged = parsed.withColumn("fault", reading_fault(F.col("_parsed")))
     reading = F.when(F.col("fault").isNull(), reading_of(F.col("_parsed")))
     return tagged.withColumn("reading", reading).drop("_parsed")
@@ -85,6 +89,14 @@ def tag_avro(
     return tagged.withColumn("reading", record).drop("_body")
 
 
+def carried_names(columns: list[str], schema: T.StructType = SENSOR_DATA) -> list[str]:
+    """Names that columns of a payload table have beside the decoded record.
+
+    One that is also a field of the record, as the time of a Kafka record, becomes ``record_...``.
+    """
+    return [f"record_{c}" if c in schema.fieldNames() else c for c in columns]
+
+
 def split_decoded(tagged: DataFrame, col: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Readings (record columns plus pass-through columns) and rejects (raw payload, reason).
 
@@ -93,8 +105,10 @@ def split_decoded(tagged: DataFrame, col: str = "payload") -> tuple[DataFrame, D
     both are used, materialise it first.
     """
     others = [c for c in tagged.columns if c not in (col, "reading", "fault")]
+    names = carried_names(others, tagged.schema["reading"].dataType)
+    beside = [F.col(c).alias(name) for c, name in zip(others, names)]
     whole = F.col("fault").isNull()
-    kept = tagged.select(*others, F.inline(F.when(whole, F.array("reading"))))
+    kept = tagged.select(*beside, F.inline(F.when(whole, F.array("reading"))))
     rejects = tagged.select(*others, F.inline(F.when(~whole, F.array(F.struct(col, "fault")))))
     return kept, rejects
 

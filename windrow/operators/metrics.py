@@ -20,7 +20,9 @@ def to_metrics(df: DataFrame, names=None, keep=()) -> DataFrame:
     unknown = set(names or ()) - set(MEASUREMENT_NAMES)
     if unknown or not wanted:
         raise ValueError(f"no such measurement: {sorted(unknown) or names}")
-    kept = ["deviceId", "timestamp", *keep]
+    if {"name", "value"} & set(keep):
+        raise ValueError("columns to keep must not be called name or value")
+    kept = list(dict.fromkeys(["deviceId", "timestamp", *keep]))
     flat = df.select(*kept, *[F.col(f"measurements.{n}").alias(n) for n in wanted])
     if len(wanted) == 1:
         return flat.select(

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.operators.codecs import split_decoded, tag_avro, tag_json
+from windrow.operators.codecs import carried_names, split_decoded, tag_avro, tag_json
 from windrow.operators.count_windows import count_windows
 from windrow.operators.metrics import (
     invalid_metrics,
@@ -47,7 +47,7 @@ def run_batch(
     n: int = 5,
     materialize: bool = True,
 ) -> dict[str, DataFrame]:
-    """All topics and outputs by name.
+    """All topics and outputs by name. ``order_by`` names columns of the payload table.
 
     All outputs hang on the decoded payloads. These are written once if ``materialize``, with the
     raw payload of rejects only; otherwise each output that is used decodes anew, all in one stage
@@ -58,12 +58,13 @@ def run_batch(
         rejected = F.when(F.col("fault").isNotNull(), F.col(col))
         tagged = write_once(tagged.withColumn(col, rejected), "decoded")
     readings, rejects = split_decoded(tagged, col)
-    metrics = to_metrics(readings, keep=order_by)
+    order = carried_names(order_by)
+    metrics = to_metrics(readings, keep=order)
     checked = validate(metrics)
     valid, invalid = valid_metrics(checked), invalid_metrics(checked)
     # same rows as keep_metric(valid, ...), without building the other metrics first
-    rotor = valid_metrics(validate(to_metrics(readings, [ROTOR_METRIC], keep=order_by)))
-    averages = count_windows(rotor, n, order_by=order_by)
+    rotor = valid_metrics(validate(to_metrics(readings, [ROTOR_METRIC], keep=order)))
+    averages = count_windows(rotor, n, order_by=order)
     return {
         READINGS: readings,
         METRICS: metrics,

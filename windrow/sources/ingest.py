@@ -1,7 +1,6 @@
 """From payload rows to readings. Undecodable payloads are left out; ``split_decoded`` keeps them."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrow.operators.codecs import decode_avro, decode_json
@@ -10,8 +9,6 @@ from windrow.schemas import SENSOR_DATA
 
 def ingest_json(df: DataFrame, col: str = "payload") -> DataFrame:
     """Readings of payloads that hold one JSON document each, as text or as UTF-8 bytes."""
-    if isinstance(df.schema[col].dataType, T.BinaryType):
-        df = df.withColumn(col, F.make_valid_utf8(F.col(col).cast("string")))
     return decode_json(df, col)[0]
 
 

@@ -6,7 +6,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from windrow.operators.codecs import split_decoded
+from windrow.operators.codecs import carried_names, split_decoded
 from windrow.operators.metrics import invalid_metrics, to_metrics, valid_metrics, validate
 from windrow.plans.pipeline import (
     INVALID,
@@ -47,17 +47,19 @@ def ingest_stream(
 
 
 def _fused(ingress: str, out: str, checkpoint: str, order_by: list[str], n: int, col: str):
+    order = carried_names(order_by)
+
     def work(batch: DataFrame, batch_id: int) -> None:
         tagged = tag_payloads(batch.select(*order_by, col), ingress, col).persist()
         try:
             readings, rejects = split_decoded(tagged, col)
-            checked = validate(to_metrics(readings, keep=order_by))
+            checked = validate(to_metrics(readings, keep=order))
             topics = {
                 READINGS: readings,
                 REJECTS: rejects,
                 VALID: valid_metrics(checked),
                 INVALID: invalid_metrics(checked),
-                ROTOR: valid_metrics(validate(to_metrics(readings, [ROTOR_METRIC], keep=order_by))),
+                ROTOR: valid_metrics(validate(to_metrics(readings, [ROTOR_METRIC], keep=order))),
             }
 
             def write(name: str) -> None:
@@ -65,14 +67,14 @@ def _fused(ingress: str, out: str, checkpoint: str, order_by: list[str], n: int,
 
             # side by side, so that the tail of one write does not hold up the next
             with ThreadPoolExecutor(len(topics)) as pool:
-                list(pool.map(inheritable_thread_target(write), topics))
+                list(pool.map(inheritable_thread_target(batch.sparkSession)(write), topics))
             window_batch(
                 topics[ROTOR],
                 batch_id,
                 out=f"{out}/{AVERAGES}",
                 carry=f"{checkpoint}/carry",
                 n=n,
-                order_by=order_by,
+                order_by=order,
             )
         finally:
             tagged.unpersist()
@@ -116,7 +118,7 @@ def run_stream(
         started(writer.trigger(**trigger).start())
         return queries
 
-    schemas = {}
+    schemas, order = {}, carried_names(order_by)
 
     def hop(name: str, rows: DataFrame) -> None:
         schemas[name] = rows.schema
@@ -129,7 +131,7 @@ def run_stream(
     readings, rejects = split_decoded(tag_payloads(payloads.select(*order_by, col), ingress, col), col)
     hop(READINGS, readings)
     hop(REJECTS, rejects)
-    hop(METRICS, to_metrics(topic(READINGS), keep=order_by))
+    hop(METRICS, to_metrics(topic(READINGS), keep=order))
     checked = validate(topic(METRICS))
     hop(VALID, valid_metrics(checked))
     hop(INVALID, invalid_metrics(checked))
@@ -138,7 +140,7 @@ def run_stream(
         stream_count_windows(
             topic(ROTOR),
             n,
-            order_by=order_by,
+            order_by=order,
             out=f"{out}/{AVERAGES}",
             checkpoint=f"{checkpoint}/{AVERAGES}",
             trigger=trigger,
