@@ -14,6 +14,7 @@ from windrow.operators.targets import assign_targets
 from windrow.plans.pipeline import INVALID, METRICS, READINGS, ROTOR, VALID, run_batch
 from windrow.sources.tables import EVENT_ORDER, sensor_from_events
 from windrow.sources.topics import topic_source
+from windrow.storage import make_dir
 from windrow.streaming import pipeline, windows
 from windrow.streaming.admission import stream_admit_quota
 from windrow.streaming.carry import last_carry, read_carry, write_carry
@@ -297,6 +298,36 @@ def test_pipeline_equals_batch_over_restarts(spark, readings, tmp_path, ingress,
     assert as_rows(got, *WINDOW) == as_rows(want[AVERAGES], *WINDOW)
 
 
+def test_steps_run_side_by_side(spark, readings, tmp_path):
+    """With a clock as the trigger all steps run at the same time, and start before there is input."""
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    payloads = payload_table(readings, "avro")
+    make_dir(spark, source)
+    queries = run_stream(
+        topic_source(spark, source, payloads.schema),
+        out=out,
+        checkpoint=checkpoint,
+        order_by=EVENT_ORDER,
+        materialize=True,
+        trigger={"processingTime": "0 seconds"},
+    )
+    try:
+        assert all(q.isActive for q in queries)
+        payloads.coalesce(1).write.mode("append").parquet(source)
+        for query in queries:
+            query.processAllAvailable()
+    finally:
+        for query in queries:
+            query.stop()
+    want = run_batch(payloads, "avro", order_by=EVENT_ORDER)
+    for topic in (READINGS, METRICS, VALID, INVALID, ROTOR, REJECTS):
+        got = spark.read.parquet(f"{out}/{topic}")
+        assert got.exceptAll(want[topic].select(*got.columns)).count() == 0, topic
+        assert got.count() == want[topic].count(), topic
+    got = pipeline.averages(spark, out, checkpoint, materialize=True)
+    assert as_rows(got, *WINDOW) == as_rows(want[AVERAGES], *WINDOW)
+
+
 def test_limited_ingest(spark, readings, tmp_path):
     source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
     payloads = payload_table(readings, "avro")

@@ -46,12 +46,14 @@ def run_batch(
     col: str = "payload",
     n: int = 5,
     materialize: bool = True,
+    with_averages: bool = True,
 ) -> dict[str, DataFrame]:
     """All topics and outputs by name. ``order_by`` names columns of the payload table.
 
     All outputs hang on the decoded payloads. These are written once if ``materialize``, with the
     raw payload of rejects only; otherwise each output that is used decodes anew, all in one stage
-    with what follows.
+    with what follows. The averages need the order of all rows, so their rows are sorted at once, by
+    this call; leave them out with ``with_averages=False``.
     """
     tagged = tag_payloads(payloads.select(*order_by, col), ingress, col)
     if materialize:
@@ -64,19 +66,20 @@ def run_batch(
     valid, invalid = valid_metrics(checked), invalid_metrics(checked)
     # same rows as keep_metric(valid, ...), without building the other metrics first
     rotor = valid_metrics(validate(to_metrics(readings, [ROTOR_METRIC], keep=order)))
-    averages = count_windows(rotor, n, order_by=order)
-    return {
+    outputs = {
         READINGS: readings,
         METRICS: metrics,
         VALID: valid,
         INVALID: invalid,
         ROTOR: rotor,
         "rejects": rejects,
-        "averages": averages,
         "valid-log": valid_lines(valid),
         "invalid-log": invalid_lines(invalid),
-        "average-log": average_lines(averages),
     }
+    if with_averages:
+        outputs["averages"] = count_windows(rotor, n, order_by=order)
+        outputs["average-log"] = average_lines(outputs["averages"])
+    return outputs
 
 
 def rotor_topic(valid: DataFrame) -> DataFrame:
