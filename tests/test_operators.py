@@ -194,6 +194,9 @@ def test_targets(spark):
     listed = spark.createDataFrame([(p,) for p in [*ports, 7003]], "target int")
     hits = {r["target"]: r["hits"] for r in hits_per_target(placed, listed).collect()}
     assert hits == {7000: 100, 7001: 100, 7002: 100, 7003: 0}
+    numbered = assign_targets(numbers(spark, range(10)), 4, order_by=["id"])
+    hits = {r["target"]: r["hits"] for r in hits_per_target(numbered, [0, 1, 2, 3, 4]).collect()}
+    assert hits == {0: 3, 1: 3, 2: 2, 3: 2, 4: 0}
 
 
 def arrivals(spark, times):

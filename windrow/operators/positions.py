@@ -38,7 +38,8 @@ def place(
 
     The stored order is the last sort column, so that a key shared by very many rows is still
     divided over tasks. Input that is itself shuffled should have a unique ``order_by`` or be
-    materialised, as its stored order may change when a lost task is run again.
+    materialised, as its stored order may change when a lost task is run again (the README names
+    the settings that make Spark notice).
     """
     stored = df.withColumn("_stored", F.monotonically_increasing_id())
     ordered = stored.sort(*order_by, "_stored").drop("_stored")

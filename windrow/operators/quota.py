@@ -1,4 +1,7 @@
-"""At most ``quota`` rows per time window: who gets in at once, and when the others do."""
+"""At most ``quota`` rows per time window: who gets in at once, and when the others do.
+
+Every window grants the full quota: rows that got in are done by the next window.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -361,8 +361,7 @@ def target_assignment(spark, sf_dir):
 
 def target_hits(spark, sf_dir):
     placed = assign_targets(_arrivals(spark, sf_dir), PORTS, order_by=EVENT_ORDER)
-    listed = spark.createDataFrame([(p,) for p in [*PORTS, 7003]], "target int")
-    return hits_per_target(placed, listed)
+    return hits_per_target(placed, [*PORTS, 7003])
 
 
 def nation_hits(spark, sf_dir):
@@ -532,8 +531,7 @@ def schedule_quota_stream(spark, sf_dir):
 def target_hits_stream(spark, sf_dir):
     """Hits per target of a stream, every target listed."""
     placed = _placed_in_thirds(spark, sf_dir, "stream-targets", stream_assign_targets, targets=PORTS)
-    listed = spark.createDataFrame([(p,) for p in [*PORTS, 7003]], "target int")
-    return hits_per_target(placed, listed)
+    return hits_per_target(placed, [*PORTS, 7003])
 
 
 def device_stream_all_windows(spark, sf_dir):
