@@ -1,11 +1,14 @@
 """Intermediate tables in the shared folder the cluster names in ``spark.checkpoint.dir``."""
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir = None
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,8 +25,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own for an intermediate table; the innermost :func:`intermediates` removes it."""
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/windrow/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/windrow/{app}/{label}-{uuid.uuid4().hex}"
+    if stack := getattr(_scopes, "stack", None):
+        stack[-1].paths.append(path)
+    return path
+
+
+class Scope:
+    """Paths that were handed out inside one :func:`intermediates` block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def release(self) -> None:
+        """Remove what has been written so far. Tables that still read it cannot be used any more."""
+        while self.paths:
+            remove_dir(self.spark, self.paths.pop())
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and remove what it was made of; the table lives on in the surrounding block, if any."""
+        path = new_path(self.spark, label)
+        self.paths.remove(path)
+        df.write.parquet(path)
+        outer = _scopes.stack[:-1]
+        if outer:
+            outer[-1].paths.append(path)
+        self.release()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Everything that is materialised inside the block, on this thread, is removed at its end.
+
+    Use the results (write or collect them) before the block ends: they may read what it removes.
+    """
+    stack = _scopes.__dict__.setdefault("stack", [])
+    scope = Scope(spark)
+    stack.append(scope)
+    try:
+        yield scope
+    finally:
+        scope.release()
+        stack.remove(scope)
 
 
 def _file_system(spark: SparkSession, path: str):
