@@ -1,0 +1,81 @@
+import hashlib
+import re
+from collections import Counter, defaultdict
+from math import floor
+
+import pytest
+
+from windrow.llm.mixing import mix_plan, mixed, source_targets
+
+from .conftest import edge_rows
+
+
+def water_fill(sizes, weights=(5, 2, 1), cap=3):
+    """As it is told: share, stop at the cap, share the excess among the others, until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * level > cap * sizes[s]}
+        if not full:
+            return target | {s: weight[s] * level for s in free}
+        target |= {s: cap * sizes[s] for s in full}
+        left -= sum(cap * sizes[s] for s in full)
+        free -= full
+    return target
+
+
+def brute(rows):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += size(r[1])
+    target = water_fill(sizes)
+    out = []
+    for r in rows:
+        rate = target[r[3]] / sizes[r[3]] if sizes[r[3]] else 1.0
+        u = int(hashlib.md5(f"mix:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        copies = floor(rate) + (u < rate - floor(rate))
+        out.append((r, size(r[1]), sizes[r[3]], target[r[3]], copies))
+    return out
+
+
+def test_plan_against_brute_force(edge_docs):
+    got = sorted(map(repr, ((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mix_plan(edge_docs).collect())))
+    assert got == sorted(repr((r[0], n, s, round(float(t), 6), n * c)) for r, n, s, t, c in brute(edge_rows()))
+
+
+def test_rows_of_the_mix(clashing_docs):
+    out = mixed(clashing_docs)
+    assert out.columns == clashing_docs.columns
+    want = Counter()
+    for r, _, _, _, c in brute(edge_rows()):
+        want[r[:4]] += c
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in out.collect()) == +want
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 5, "d": 1}, {"a": 0, "b": 7}, {"a": 0}, {None: 3, "z": 90, "y": 1, "x": 400, "w": 2}, {"a": 1, "b": 1, "c": 1, "d": 10**6}])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r.source: r.target for r in source_targets(df).collect()}
+    assert got == pytest.approx(water_fill(sizes))
+    assert sum(got.values()) == pytest.approx(sum(sizes.values()))
+
+
+def test_reruns_agree_and_near_target(spark, sf_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    one, two = (sorted(map(tuple, mix_plan(d).collect())) for d in (docs, docs.repartition(7)))
+    assert one == two
+    taken, target = Counter(), {}
+    by_id = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    for doc_id, size, _, t, n in one:
+        taken[by_id[doc_id]] += n
+        target[by_id[doc_id]] = t
+        assert n <= 3 * size
+    assert all(abs(taken[s] - target[s]) < 0.25 * target[s] for s in target)
+
+
+def test_empty(no_docs):
+    assert mix_plan(no_docs).count() == 0
+    assert mixed(no_docs).count() == 0
