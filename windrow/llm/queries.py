@@ -1,23 +1,40 @@
 """One query per numbered operator over its whole table, and SQL where SQL can express it."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from windrow.llm.common import read_table
 from windrow.llm.exact_dedup import dedup_groups
 from windrow.llm.mixing import mix_plan
+from windrow.llm.packing import pack_documents
+from windrow.llm.token_files import encode_and_read
+
+#: Tokenizer, the mark between pieces (one id next to anything), and the id that ends a document.
+BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), "\0", 0)
+WORD_BPE = (public_tokenizers.path("word_bpe_49k.json"), " 0 ", 1)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_read(read_table(spark, sf_dir, "documents"), *BYTE_BPE)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), *WORD_BPE)
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
+    "op8_packing": op8_packing,
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
