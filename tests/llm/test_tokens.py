@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,17 +13,17 @@ from windrow.llm.tokens import TextEncoder
 from .conftest import edge_rows
 
 TOKENIZERS = [BYTE_BPE, WORD_BPE]
-_BITS = [*"ab Z'.,0 19é\u0301ß\u0000\n\t\r\u00a0\u2003\U0001f600<|>/", "'s", "  ", " \n", "İ", "the ", "Σ", "\u0345"]
+_BITS = ["Àé", "ñoß,", "ab.", "ŉ", "ǅ", *"ab Z'.,0 19é\u0301ß\u0000\n\t\r\u00a0\u2003\U0001f600<|>/", "'s", "  ", " \n", "İ", "the ", "Σ", "\u0345"]
 texts = st.lists(st.sampled_from(_BITS), max_size=60).map("".join)
 
 
 @pytest.fixture(scope="module")
 def encoders():
     out = []
-    for path, mark, _ in TOKENIZERS:
+    for path, _ in TOKENIZERS:
         plain = Tokenizer.from_file(path)
         plain.encode_special_tokens = True
-        out.append((TextEncoder(path, mark), plain))
+        out.append((TextEncoder(path), plain))
     return out
 
 
@@ -76,8 +75,8 @@ def crc(ids):
 @pytest.mark.parametrize("segment", [200, token_files.SEGMENT_IDS])
 def test_files_against_plain_encoding(spark, clashing_docs, monkeypatch, segment):
     monkeypatch.setattr(token_files, "SEGMENT_IDS", segment)
-    path, mark, end = BYTE_BPE
-    got = sorted(token_files.encode_and_read(clashing_docs, path, mark, end).collect(), key=lambda r: r.start)
+    path, end = BYTE_BPE
+    got = sorted(token_files.encode_and_read(clashing_docs, path, end).collect(), key=lambda r: r.start)
     want = expected(path, end, edge_rows())
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted((i is None, i or 0, len(x), crc(x)) for i, x in want)
     assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
@@ -118,8 +117,8 @@ def test_best_fit_decreasing(lengths):
 
 @pytest.mark.parametrize("shard", [7, packing.SHARD_PIECES])
 def test_packed_documents(spark, clashing_docs, shard):
-    path, mark, end = WORD_BPE
-    packed = packing.pack_documents(clashing_docs, path, mark, end, window=64, shard_pieces=shard, with_ids=True).collect()
+    path, end = WORD_BPE
+    packed = packing.pack_documents(clashing_docs, path, end, window=64, shard_pieces=shard, with_ids=True).collect()
     rows = [tuple(r) for r in packed]
     want = sorted((i is None, i or 0, s, len(x[s : s + 64]), crc(x[s : s + 64]), len(x)) for i, x in expected(path, end, edge_rows()) for s in range(0, len(x), 64))
     assert sorted((r[0] is None, r[0] or 0, *r[1:5]) for r in rows) == want
@@ -141,8 +140,8 @@ def test_sequences_are_padded_but_at_a_power_of_two(spark):
 
 
 def test_little_padding(spark):
-    path, mark, end = WORD_BPE
-    packed = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), path, mark, end)
+    path, end = WORD_BPE
+    packed = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), path, end)
     used = [r.n for r in packed.groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()]
     assert sum(map(packing.padded_length, used)) <= 1.01 * sum(used)
 
@@ -150,9 +149,3 @@ def test_little_padding(spark):
 def test_empty(no_docs):
     assert token_files.encode_and_read(no_docs, *BYTE_BPE).count() == 0
     assert packing.pack_documents(no_docs, *WORD_BPE).count() == 0
-
-
-def test_marks_stand_alone():
-    assert public_tokenizers.path("byte_bpe_50k.json") == BYTE_BPE[0]
-    vocabulary = Tokenizer.from_file(BYTE_BPE[0]).get_vocab()
-    assert sum("Ā" in t for t in vocabulary) == 1

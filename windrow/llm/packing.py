@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import text_of
-from windrow.llm.tokens import ID, parts, text_encoder
+from windrow.llm.tokens import ID, text_encoder, text_slices
 from windrow.storage import materialize
 
 WINDOW = 2048
@@ -76,18 +76,17 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
     return number, offset
 
 
-def pieces(docs: DataFrame, tokenizer: str, mark: str, end_id: int, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Documents cut at every ``window`` ids: doc_id, start, length, ids_crc32, doc_tokens (and ids). No shuffle."""
     end = np.asarray([end_id], ID).tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def cut(batches):
-        encoder = text_encoder(tokenizer, mark)
+        encoder = text_encoder(tokenizer)
         for batch in batches:
-            doc_ids, texts = (batch.column(i).to_pylist() for i in range(2))
-            for i, j in parts(texts):
+            for doc_ids, texts in text_slices(batch):
                 rows = []
-                for doc_id, raw in zip(doc_ids[i:j], encoder.encode(texts[i:j])):
+                for doc_id, raw in zip(doc_ids, encoder.encode(texts)):
                     raw += end
                     n = len(raw) // ID.itemsize
                     for start in range(0, n, window):
@@ -120,13 +119,13 @@ def pack_pieces(cut: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, mark: str, end_id: int, window: int = WINDOW, shard_pieces: int = SHARD_PIECES, with_ids: bool = False
+    docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, shard_pieces: int = SHARD_PIECES, with_ids: bool = False
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     Runs jobs when called; its tables are removed by the surrounding ``intermediates`` block.
     """
-    return pack_pieces(materialize(pieces(docs, tokenizer, mark, end_id, window, with_ids), "pieces"), window, shard_pieces)
+    return pack_pieces(materialize(pieces(docs, tokenizer, end_id, window, with_ids), "pieces"), window, shard_pieces)
 
 
 def padded_length(used: int, window: int = WINDOW) -> int:

@@ -9,9 +9,9 @@ from windrow.llm.mixing import mix_plan
 from windrow.llm.packing import pack_documents
 from windrow.llm.token_files import encode_and_read
 
-#: Tokenizer, the mark between pieces (one id next to anything), and the id that ends a document.
-BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), "\0", 0)
-WORD_BPE = (public_tokenizers.path("word_bpe_49k.json"), " 0 ", 1)
+#: Tokenizer, and the id that ends a document.
+BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), 0)
+WORD_BPE = (public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,78 +21,84 @@ def _bit_lengths(values: np.ndarray) -> np.ndarray:
     return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, np.frexp(low.astype(np.float64))[1])
 
 
-def _widest_choice(lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For every position the selector that takes the most values from there to the end of the block."""
-    n = len(lengths)
-    at = np.arange(n)
-    choice = np.full(n, len(COUNTS) - 1, np.uint8)
+#: Blocks are laid out with this many empty places after each, so that no word of a block reaches into the next.
+_STRIDE = BLOCK + int(COUNTS[0])
+
+
+def _widest_choice(lengths: np.ndarray) -> np.ndarray:
+    """For every place the selector that takes the most values from there. Empty places have length 0."""
+    choice = np.full(len(lengths), len(COUNTS) - 1, np.uint8)
+    # the greatest length among so many values from each place on; every count is at most twice the one before
+    greatest, span = lengths, 1
     for selector in range(len(COUNTS) - 2, -1, -1):
-        too_wide = np.where(lengths > WIDTHS[selector], at, n)
-        until = np.minimum.accumulate(too_wide[::-1])[::-1]
-        fits = (until >= ends) | (until - at >= COUNTS[selector])
-        choice[fits] = selector
+        step = int(COUNTS[selector]) - span
+        greatest = np.maximum(greatest, np.concatenate([greatest[step:], np.zeros(step, np.uint8)]))
+        span += step
+        np.putmask(choice, greatest <= int(WIDTHS[selector]), selector)
     return choice
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, offset of each block in them, escaped values."""
-    values = np.ascontiguousarray(values, np.uint64)
-    n = len(values)
+    values = np.asarray(values).astype(np.uint64, copy=False)
+    n, n_blocks = len(values), -(-len(values) // BLOCK)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
     escaped = values >= ESCAPE
     escapes = values[escaped]
     if len(escapes):
         values = np.where(escaped, ESCAPE, values)
-    starts = np.arange(0, n, BLOCK)
-    ends_of_block = np.minimum(starts + BLOCK, n)
-    choice = _widest_choice(_bit_lengths(values), np.repeat(ends_of_block, ends_of_block - starts))
+    spread = np.zeros((n_blocks, _STRIDE), np.uint64)
+    whole = n // BLOCK
+    spread[:whole, :BLOCK] = values[: whole * BLOCK].reshape(whole, BLOCK)
+    spread[whole:, : n - whole * BLOCK] = values[whole * BLOCK :]
+    spread = spread.ravel()
+    choice = _widest_choice(_bit_lengths(spread).astype(np.uint8))
+    starts = np.arange(n_blocks, dtype=np.int64) * _STRIDE
+    ends = starts + np.minimum(n - np.arange(n_blocks) * BLOCK, BLOCK)
     # all blocks advance together, a word at a time
-    heads, blocks, place, open_blocks = [], [], starts.copy(), np.arange(len(starts))
+    heads, blocks, place, open_blocks = [], [], starts.copy(), np.arange(n_blocks)
     while len(open_blocks):
-        here = place[open_blocks]
-        heads.append(here)
+        heads.append(place)
         blocks.append(open_blocks)
-        place[open_blocks] = here + COUNTS[choice[here]]
-        open_blocks = open_blocks[place[open_blocks] < ends_of_block[open_blocks]]
-    if not heads:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), escapes
-    head = np.concatenate(heads)
-    order = np.argsort(head)
-    head, block = head[order], np.concatenate(blocks)[order]
-    offsets = np.searchsorted(block, np.arange(len(starts))).astype(np.uint32)
+        place = place + COUNTS[choice[place]]
+        left = place < ends[open_blocks]
+        place, open_blocks = place[left], open_blocks[left]
+    head, block = np.concatenate(heads), np.concatenate(blocks)
+    order = np.argsort(block, kind="stable")
+    head = head[order]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=n_blocks))[:-1]]).astype(np.uint32)
     selectors = choice[head]
     words = selectors.astype(np.uint64) << np.uint64(60)
+    spread = np.concatenate([spread, np.zeros(COUNTS[0], np.uint64)])
     for selector in np.unique(selectors):
-        if not WIDTHS[selector]:
-            continue
-        rows = np.flatnonzero(selectors == selector)
-        for k in range(COUNTS[selector]):
-            take = head[rows] + k
-            inside = take < ends_of_block[block[rows]]
-            words[rows[inside]] |= values[take[inside]] << np.uint64(k * WIDTHS[selector])
+        count, width = int(COUNTS[selector]), int(WIDTHS[selector])
+        if width:
+            rows = np.flatnonzero(selectors == selector)
+            taken = spread[head[rows][:, None] + np.arange(count)]
+            words[rows] |= np.bitwise_or.reduce(taken << (np.arange(count, dtype=np.uint64) * np.uint64(width)), axis=1)
     return words, offsets, escapes
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` values again, all blocks at once."""
-    selectors = (words >> np.uint64(60)).astype(np.int64)
+    if not n:
+        return np.zeros(0, np.uint64)
+    n_blocks = len(offsets)
+    selectors = (words >> np.uint64(60)).astype(np.uint8)
     counts = COUNTS[selectors]
-    before = np.concatenate([[0], np.cumsum(counts)])
     offsets = offsets.astype(np.int64)
+    before = np.cumsum(counts) - counts
     words_in = np.diff(np.append(offsets, len(words)))
-    starts = np.arange(len(offsets)) * BLOCK
-    head = before[:-1] - np.repeat(before[offsets], words_in) + np.repeat(starts, words_in)
-    limit = np.repeat(np.minimum(starts + BLOCK, n), words_in)
-    out = np.zeros(n, np.uint64)
+    head = before + np.repeat(np.arange(n_blocks) * _STRIDE - before[offsets], words_in)
+    spread = np.zeros(n_blocks * _STRIDE, np.uint64)
     for selector in np.unique(selectors):
-        width = int(WIDTHS[selector])
-        if not width:
-            continue
-        rows = np.flatnonzero(selectors == selector)
-        mask = np.uint64((1 << width) - 1)
-        for k in range(COUNTS[selector]):
-            to = head[rows] + k
-            inside = to < limit[rows]
-            out[to[inside]] = (words[rows[inside]] >> np.uint64(k * width)) & mask
+        count, width = int(COUNTS[selector]), int(WIDTHS[selector])
+        if width:
+            rows = np.flatnonzero(selectors == selector)
+            shifts = np.arange(count, dtype=np.uint64) * np.uint64(width)
+            spread[head[rows][:, None] + np.arange(count)] = (words[rows][:, None] >> shifts) & np.uint64((1 << width) - 1)
+    out = spread.reshape(n_blocks, _STRIDE)[:, :BLOCK].ravel()[:n]
     if len(escapes):
         out[out == ESCAPE] = escapes
     return out

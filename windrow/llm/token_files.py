@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from windrow.llm.common import text_of
 from windrow.llm.simple8b import pack, unpack
-from windrow.llm.tokens import ID, parts, text_encoder
+from windrow.llm.tokens import ID, text_encoder, text_slices
 from windrow.storage import materialize, new_path
 
 MAGIC = b"S8B1"
 HEADER = struct.Struct("<4sIIQQQ")
-SEGMENT_IDS = 500_000
+SEGMENT_IDS = 200_000
 SEPARATOR = "\n"
 
 
@@ -59,17 +59,16 @@ def read_segments(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray
         yield [None if z else i for i, z in zip(numbers.tolist(), nulls)], lengths.astype(np.int64), unpack(words, offsets, escapes, n_ids)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, mark: str, end_id: int, partitions: int | None = None) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None) -> None:
     """Encode every text, append ``end_id``, and write the files to ``path``. Only the sort by doc_id shuffles."""
     end = np.asarray([end_id], ID).tobytes()
 
     def encoded(batches):
-        encoder = text_encoder(tokenizer, mark)
+        encoder = text_encoder(tokenizer)
         doc_ids, ids, size = [], [], 0
         for batch in batches:
-            numbers, texts = (batch.column(i).to_pylist() for i in range(2))
-            for i, j in parts(texts):
-                for n, b in zip(numbers[i:j], encoder.encode(texts[i:j])):
+            for numbers, texts in text_slices(batch):
+                for n, b in zip(numbers, encoder.encode(texts)):
                     doc_ids.append(n)
                     ids.append(b + end)
                     size += len(ids[-1]) // ID.itemsize
@@ -127,8 +126,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_and_read(docs: DataFrame, tokenizer: str, mark: str, end_id: int) -> DataFrame:
+def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write the files among the intermediate tables and return what they hold."""
     path = new_path(docs.sparkSession, "token-files")
-    write_token_files(docs, path, tokenizer, mark, end_id)
+    write_token_files(docs, path, tokenizer, end_id)
     return token_index(docs.sparkSession, path)
