@@ -14,7 +14,12 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = np.uint64((1 << 60) - 1)
 
 
+_SHORT_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    if len(values) and values.max() < 1 << 16:
+        return _SHORT_LENGTHS[values.astype(np.uint16)]
     if len(values) and values.max() < 1 << 53:
         return np.frexp(values.astype(np.float64))[1]
     high, low = values >> np.uint64(32), values & np.uint64(0xFFFFFFFF)

@@ -12,33 +12,40 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b for b in _PRINTABLE} | {
     b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))
 }
+_BLANK = chr(_BYTE_CHARS[32])
 #: Letters up to here are the same in every version of Unicode.
 _LATIN_END = "\u0250"
 
 
 class _Pieces(dict):
-    """Ids (as bytes) of a piece that follows a blank, made when asked for; None if it can't be cut out of its text."""
+    """Ids (as bytes) of a piece after ``blank``, made when asked for; None if it can't be cut out of its text."""
 
-    def __init__(self, encoder: "TextEncoder"):
+    def __init__(self, encoder: "TextEncoder", blank: str):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.blank = encoder, blank
         self.older: dict[str, bytes | None] = {}
-        self.mark = {m: encoder.whole(m) for m in ".,"}
+        self.mark = {m: encoder.whole("a" + m)[len(encoder.whole("a")) :] for m in (",", ".", "\n")}
 
     def __missing__(self, piece: str) -> bytes | None:
         if piece in self.older:
             ids = self.older[piece]
+        elif (word := self.encoder.word(piece, self.blank)) is not None:
+            ids = word
         elif not piece or piece[0].isspace() or piece[-1].isspace():
             ids = None
-        elif piece[-1] in self.mark and self.encoder.is_word(piece[:-1]):
-            ids = self[piece[:-1]] + self.mark[piece[-1]]
-        elif self.encoder.is_word(piece):
-            ids = self.encoder.word(piece)
+        elif piece[-1] in self.mark and piece[-2:-1].isalpha() and piece[-2:-1] < _LATIN_END:
+            ids = self._joined(self[piece[:-1]], piece[-1], b"")
+        elif piece.count("\n") == 1:
+            head, tail = piece.split("\n")
+            ids = self._joined(self[head], "\n", self.encoder.starts[tail])
         else:
-            ids = self.encoder.whole(" " + piece)
+            ids = self.encoder.whole(self.blank + piece)
         self[piece] = ids
         return ids
 
+    def _joined(self, head: bytes | None, mark: str, tail: bytes | None) -> bytes | None:
+        return None if head is None or tail is None else head + self.mark[mark] + tail
+
     def forget(self) -> None:
         """Drop what has not been asked for since the last time."""
         self.older = dict(self)
@@ -48,14 +55,14 @@ class _Pieces(dict):
 class TextEncoder:
     """Ids of texts under one tokenizer file, as little-endian unsigned 32-bit integers.
 
-    The tokenizers in use never merge across a blank that stands alone between two other characters, nor across the
-    end of a run of letters. So a text is split at its blanks, and the ids of a piece are looked up. Of a piece not
-    seen yet, a Latin word goes straight to the library's BPE model, anything else through its whole pipeline. A text with
-    other white space beside a blank is encoded in one go.
+    The tokenizers in use never merge across a blank or a line feed that stands alone between two other characters, nor
+    across the end of a run of letters. So a text is split at its blanks, and the ids of a piece are looked up. Of a piece
+    not seen yet, a Latin word goes straight to the library's BPE model, a comma, full stop or line feed is taken off, and
+    anything else goes through the library's whole pipeline. A text with other white space beside a blank does so in one go.
     """
 
     #: When so many pieces are remembered, those not asked for since the last time are forgotten.
-    MAX_PIECES = 350_000
+    MAX_PIECES = 450_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,38 +73,40 @@ class TextEncoder:
         self.model = self.tokenizer.model
         # one kind keeps case and marks the blank before a word, the other folds case and marks the end of a word
         self.folds = self.tokenizer.normalizer is not None
-        self.blank = "" if self.folds else chr(_BYTE_CHARS[32])
-        self.pieces = _Pieces(self)
+        self.pieces = _Pieces(self, " ")
+        self.starts = self.pieces if self.folds else _Pieces(self, "")
         for word in ("a", "The", "Straße", "déjà"):
-            if self.word(word) != self.whole(" " + word):
+            if self.word(word, " ") != self.whole(" " + word) or self.word(word, "") != self.whole(word):
                 raise ValueError(f"words are cut in another way by {path}")
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def is_word(self, piece: str) -> bool:
-        return piece.isascii() and piece.isalpha() or piece.isalpha() and max(piece) < _LATIN_END and piece.lower().isalpha()
-
-    def word(self, piece: str) -> bytes:
-        """Ids of Latin letters after a blank."""
+    def word(self, piece: str, blank: str) -> bytes | None:
+        """Ids of Latin letters after ``blank``; None if it is something else."""
+        if not piece.isalpha():
+            return None
         if self.folds:
-            piece = piece.lower()
+            piece, blank = piece.lower(), ""
         if not piece.isascii():
+            if not piece.isalpha() or max(piece) >= _LATIN_END:
+                return None
             piece = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return array("I", [t.id for t in self.model.tokenize(self.blank + piece)]).tobytes()
+        if blank:
+            piece = _BLANK + piece
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             first, *rest = text.split(" ")
             try:
-                if not first or first[-1].isspace():
-                    raise TypeError
-                out.append(b"".join([self.whole(first), *map(self.pieces.__getitem__, rest)]))
+                out.append(b"".join([self.starts[first], *map(self.pieces.__getitem__, rest)]))
             except TypeError:  # a piece is None
                 out.append(self.whole(text))
-            if len(self.pieces) > self.MAX_PIECES:
-                self.pieces.forget()
+            for pieces in (self.pieces, self.starts):
+                if len(pieces) > self.MAX_PIECES:
+                    pieces.forget()
         return out
 
 
