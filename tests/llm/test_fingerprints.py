@@ -1,0 +1,69 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from windrow.llm.fingerprints import BINS, bin_minima, edited_text, fingerprint_chain, fingerprints, likeness
+
+from .conftest import DOCS, edge_rows, words
+from .test_near_dedup import shingles
+
+
+def brute(rows):
+    """Order among equal or missing ids aside: ids are made unique for this."""
+    rows = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: -r[0])
+    out = []
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+        e = edited_text(t, n)
+        f, g, h = fingerprints([t.encode(), e.encode(), n.encode()])
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), f.hex(), g.hex(), likeness(f, g), likeness(f, h)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("partitions", [None, 1, 7])
+def test_chain_against_brute_force(spark, partitions):
+    rows = [(k, *r[1:]) for k, r in enumerate(edge_rows())]
+    got = fingerprint_chain(spark.createDataFrame(rows, DOCS).repartition(3), partitions)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+
+
+def test_nulls_ties_and_clashing_names(clashing_docs):
+    got = [tuple(r) for r in fingerprint_chain(clashing_docs).collect()]
+    assert Counter((r[0], r[1]) for r in got) == Counter((r[0], len(r[1] or "")) for r in edge_rows())
+    assert sorted(map(repr, got)) == sorted(map(repr, (tuple(r) for r in fingerprint_chain(clashing_docs.repartition(5), 9).collect())))
+
+
+def test_one_row_and_none(spark, no_docs):
+    (row,) = fingerprint_chain(spark.createDataFrame([(5, "a b c d e f g", "", "", 0)], DOCS)).collect()
+    assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"a b c d ea b ").hexdigest()[:64] or row.n_chars == 13
+    assert fingerprint_chain(no_docs).count() == 0
+
+
+def test_equal_texts_and_empty_ones():
+    a, b, c, d = fingerprints([b"x y z", b"x y z", b"", b" \n"])
+    assert a == b and likeness(a, b) == 1.0
+    assert c == d == b"" and likeness(c, d) == 1.0 and likeness(a, c) == 0.0
+
+
+def test_likeness_is_unbiased():
+    rng = random.Random(11)
+    off = []
+    for n, edits in ((40, 2), (300, 5), (2000, 60), (2000, 400)):
+        for _ in range(12):
+            text = words(rng, n).split(" ")
+            other = list(text)
+            for _ in range(edits):
+                other[rng.randrange(n)] = words(rng, 1) + "x"
+            a, b = shingles(" ".join(text), 5), shingles(" ".join(other), 5)
+            f, g = fingerprints([" ".join(text).encode(), " ".join(other).encode()])
+            off.append(likeness(f, g) - len(a & b) / len(a | b))
+    assert abs(np.mean(off)) < 0.02 and np.abs(off).max() < 0.2
+
+
+def test_densified_bins_are_full_and_alike():
+    sets = [np.array([7], np.uint64), np.arange(5000, dtype=np.uint64)]
+    bins = bin_minima(sets)
+    assert bins.shape == (2, BINS) and (bins != 2**64 - 1).all()
+    assert np.array_equal(bins[0], bin_minima([sets[0]])[0])

@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from windrow.llm.common import read_table
 from windrow.llm.exact_dedup import dedup_groups
+from windrow.llm.fingerprints import fingerprint_chain
 from windrow.llm.mixing import mix_plan
+from windrow.llm.near_dedup import near_groups
 from windrow.llm.packing import pack_documents
 from windrow.llm.token_files import encode_and_read
 
@@ -18,6 +20,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read_table(spark, sf_dir, "documents"), words=4)
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_chain(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(read_table(spark, sf_dir, "documents"), *BYTE_BPE)
 
@@ -32,6 +42,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_fingerprints": op4_fingerprints,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op8_packing": op8_packing,
