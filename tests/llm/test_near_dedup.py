@@ -76,12 +76,13 @@ def test_edge_rows(clashing_docs, k):
     assert result(near_groups(clashing_docs, words=k)) == brute(edge_rows(), k)
 
 
-@pytest.mark.parametrize("rounds, block, chunk", [(3, 256, 256), (1, 5, 3), (0, 7, 4)])
-def test_families(spark, monkeypatch, rounds, block, chunk):
+@pytest.mark.parametrize("rounds, block, chunk, few", [(3, 256, 256, 12), (1, 5, 3, 12), (0, 7, 4, 1)])
+def test_families(spark, monkeypatch, rounds, block, chunk, few):
     """Hubs alone, blocks alone and both find the same groups."""
     monkeypatch.setattr(near_dedup, "HUB_ROUNDS", rounds)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "FEW", few)
     rows = family_rows()
     assert result(near_groups(spark.createDataFrame(rows, DOCS).repartition(5), words=4)) == brute(rows, 4)
 

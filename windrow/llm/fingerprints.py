@@ -60,7 +60,7 @@ def fingerprints(texts: list[bytes], words: int = WORDS) -> list[bytes]:
         sets = shingle_sets(texts[i:j], words)
         full = [s for s in sets if len(s)]
         low = (bin_minima(full) & U64((1 << BITS) - 1)).astype(np.uint8) if full else np.zeros((0, BINS), np.uint8)
-        packed = iter(np.bitwise_or.reduce(low.reshape(len(full), -1, per_byte) << shifts, axis=2).astype(np.uint8))
+        packed = iter(np.bitwise_or.reduce(low.reshape(len(full), BINS // per_byte, per_byte) << shifts, axis=2).astype(np.uint8))
         out += [next(packed).tobytes() if len(s) else b"" for s in sets]
     return out
 
@@ -80,14 +80,14 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _described(rows: list[tuple[int | None, str, str]], own: list[bytes], following: list[bytes]) -> list[tuple]:
     edited = [edited_text(t, n).encode() for _, t, n in rows]
     out = []
     for (doc_id, text, _), e, f, g, h in zip(rows, edited, own, fingerprints(edited), following):
-        out.append((doc_id, len(text), hashlib.sha256(e).hexdigest(), f.hex(), g.hex(), likeness(f, g), likeness(f, h)))
+        out.append((doc_id, len(text), hashlib.sha256(e).hexdigest(), f, g, likeness(f, g), likeness(f, h)))
     return out
 
 
@@ -107,7 +107,7 @@ def fingerprint_chain(docs: DataFrame, partitions: int | None = None) -> DataFra
 
         def emit(rows, kind, text=None):
             columns = [pa.array(c) for c in zip(*rows)]
-            types = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
             arrays = [c.cast(t) for c, t in zip(columns, types)]
             n = len(rows)
             arrays += [pa.array([kind] * n), pa.array([text] * n, pa.string()), pa.array([part] * n, pa.int64())]
@@ -121,7 +121,7 @@ def fingerprint_chain(docs: DataFrame, partitions: int | None = None) -> DataFra
                 prints = fingerprints([t.encode() for t in texts])
                 rows = list(zip(ids, texts, prints))
                 if last is None:
-                    yield emit([(ids[0], 0, "", prints[0].hex(), "", 0.0, 0.0)], "first", texts[0])
+                    yield emit([(ids[0], 0, "", prints[0], b"", 0.0, 0.0)], "first", texts[0])
                 else:
                     rows.insert(0, last)
                 last = rows[-1]
@@ -130,7 +130,7 @@ def fingerprint_chain(docs: DataFrame, partitions: int | None = None) -> DataFra
                     own, following = ([p[k][2] for p in pairs] for k in (0, 1))
                     yield emit(_described([(a[0], a[1], b[1]) for a, b in pairs], own, following), "row")
         if last is not None:
-            yield emit([(last[0], 0, "", last[2].hex(), "", 0.0, 0.0)], "last", last[1])
+            yield emit([(last[0], 0, "", last[2], b"", 0.0, 0.0)], "last", last[1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
@@ -155,10 +155,11 @@ def fingerprint_chain(docs: DataFrame, partitions: int | None = None) -> DataFra
     def finish(batches):
         for batch in batches:
             ids, texts, own, next_texts, following = (c.to_pylist() for c in batch.columns)
-            done = _described(list(zip(ids, texts, next_texts)), [bytes.fromhex(f) for f in own], [bytes.fromhex(f) for f in following])
+            done = _described(list(zip(ids, texts, next_texts)), own, following)
             if done:
-                types = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
+                types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
 
     closing = joined.mapInArrow(finish, _COLUMNS)
-    return out.filter("kind = 'row'").select(*names).unionByName(closing)
+    done = out.filter("kind = 'row'").select(*names).unionByName(closing)
+    return done.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})

@@ -6,7 +6,7 @@ make candidate buckets; a link at similarity 0.8 shares no bucket with a chance
 
 Documents of equal shingle sets are one class from the start. In a bucket of classes not all pairs are compared:
 
-1. every class with the hub of its bucket, for a few rounds with other hubs, as long as classes of the bucket are apart;
+1. every class with one hub of its buckets, for a few rounds with other hubs, as long as they are apart;
 2. then, in buckets whose classes are still apart, all pairs across different components, in blocks of ``BLOCK``.
 
 A pair that is already in one component needs no comparison, so a bucket of thousands of near copies costs little more
@@ -35,6 +35,8 @@ COORDINATES = BANDS * ROWS
 _SLACK = 5
 HUB_ROUNDS = 3
 BLOCK = 256
+#: Buckets of up to so many classes are joined with themselves, larger ones are compared in blocks.
+FEW = 12
 #: Texts compared with one hub in one task.
 CHUNK = 256
 
@@ -207,15 +209,15 @@ def _class_links(classes: DataFrame, buckets: DataFrame, docs: DataFrame, given:
             F.min(order).alias("hub"), F.count("*").alias("n_rows"), F.min("label").alias("low"), F.max("label").alias("high")
         )
         hubs = hubs.filter("low <> high").select("bucket", F.col("hub.cls").alias("a"), F.col("hub.label").alias("hub_label"), "n_rows")
-        if round_:  # two classes have been compared
-            hubs = hubs.filter("n_rows > 2")
         hubs = materialize(hubs, "near-hubs")
         total = hubs.agg(F.sum("n_rows")).first()[0]
         if total is None:
             return links
         rows = materialize(rows.join(small(hubs.select("bucket"), hubs.count()), "bucket", "left_semi"), "near-rows")
         pairs = attach(_labelled(rows, links if round_ else None), hubs, ["bucket"], total, "inner")
-        pairs = pairs.filter("label <> hub_label").select("a", F.col("cls").alias("b")).distinct()
+        # one hub for each class and round, the same in as many of its buckets as can be
+        first = F.min(F.struct(F.xxhash64("a", F.lit(round_)), "a")).alias("hub")
+        pairs = pairs.filter("label <> hub_label").groupBy("cls").agg(first).select("hub.a", F.col("cls").alias("b"))
         links = materialize(links.unionByName(_confirmed(_likely(pairs, classes, percent), classes, docs, words, percent)), "near-links")
     return links.unionByName(_across(classes, rows, links, docs, words, percent))
 
@@ -224,10 +226,14 @@ def _across(classes: DataFrame, rows: DataFrame, links: DataFrame, docs: DataFra
     """Links across components of one bucket, from all pairs of its classes, block by block."""
     spread = materialize(_labelled(rows, links), "near-labelled")
     apart = spread.groupBy("bucket").agg(F.count("*").alias("n_rows"), F.min("label").alias("low"), F.max("label").alias("high"))
-    # two classes have been compared, one as the hub
-    least_rows = 3 if HUB_ROUNDS else 2
-    apart = apart.filter("low <> high").filter(F.col("n_rows") >= least_rows)
+    apart = apart.filter("low <> high")
     apart = materialize(apart.select("bucket", "n_rows"), "near-apart")
+    few = F.col("n_rows") <= FEW
+    one = spread.join(apart.filter(few), "bucket").select("bucket", F.col("cls").alias("a"), "label")
+    two = one.select("bucket", F.col("a").alias("b"), F.col("label").alias("label_b"))
+    in_few = one.join(two, "bucket").filter("a < b AND label <> label_b").select("a", "b").distinct()
+    in_few = _likely(in_few, classes, percent)
+    apart = apart.filter(~few)
     total = apart.agg(F.sum("n_rows")).first()[0] or 0
     members = attach(spread, apart, ["bucket"], max(total, 1), "inner")
     blocks = F.ceil(F.col("n_rows") / BLOCK).cast("int")
@@ -260,8 +266,8 @@ def _across(classes: DataFrame, rows: DataFrame, links: DataFrame, docs: DataFra
             out += [(min(a, b), max(a, b)) for b in map(bytes, y["cls"].iloc[at])]
         return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
-    pairs = met.groupBy("bucket", "i", "j").applyInPandas(pairs_of, "a binary, b binary").distinct()
-    return _confirmed(pairs, classes, docs, words, percent)
+    pairs = met.groupBy("bucket", "i", "j").applyInPandas(pairs_of, "a binary, b binary")
+    return _confirmed(pairs.unionByName(in_few).distinct(), classes, docs, words, percent)
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -58,8 +58,8 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
         return []
     words, counts = word_hashes(texts)
     rolled = words.copy()
-    for i in range(1, k):
-        rolled[: len(rolled) - i] = rolled[: len(rolled) - i] * _STEP + words[i:]
+    for i in range(1, min(k, len(words))):
+        rolled[:-i] = rolled[:-i] * _STEP + words[i:]
     rolled = mix64(rolled)
     out, at = [], 0
     for n in counts.tolist():
