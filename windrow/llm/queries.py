@@ -2,20 +2,28 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from windrow.llm import chat, warc
 from windrow.llm.common import read_table
 from windrow.llm.exact_dedup import dedup_groups
 from windrow.llm.fingerprints import fingerprint_chain
 from windrow.llm.mixing import mix_plan
 from windrow.llm.near_dedup import near_groups
 from windrow.llm.packing import pack_documents
+from windrow.llm.secret_scan import secret_findings
 from windrow.llm.token_files import encode_and_read
+from windrow.llm.toxicity import toxicity
 
 #: Tokenizer, and the id that ends a document.
 BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), 0)
 WORD_BPE = (public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_groups(read_table(spark, sf_dir, "documents"))
 
@@ -36,17 +44,40 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finding itself as a digest: results should not spread secrets."""
+    found = secret_findings(read_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("secret").cast("binary"), 256).alias("secret_sha256")
+    return found.select("doc_id", "ordinal", "start", F.length("secret").alias("length"), digest, "label", "score", "is_secret")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), *WORD_BPE)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(read_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op10_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, whose texts are control strings."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.write_and_read(rows.unionByName(extra))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
+    "op7_secret_scan": op7_secret_scan,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
+    "op10_chat_trees": op10_chat_trees,
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -61,6 +92,15 @@ SQL = {
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages
+        )
+        SELECT page_id, payload_bytes, to_base32(unhex(digest)) AS payload_digest,
+               CASE WHEN page_id = max(page_id) OVER g THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
+        FROM p WINDOW g AS (PARTITION BY digest)
+    """,
     "op6_mixing": f"""
         WITH d AS (SELECT doc_id, source, {_WORDS} AS size FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
