@@ -27,7 +27,7 @@ DIMENSIONS = 8
 LENGTHS = (3, 4, 5, 6)
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
 MAX_TRAIN_CHARS = 20_000
-EPOCHS, BATCH, RATE = 8, 64, 0.3
+EPOCHS, BATCH, RATE = 10, 64, 0.6
 
 U32 = np.uint32
 
