@@ -11,7 +11,7 @@ Documents of equal shingle sets are one class from the start. In a bucket of cla
 
 A pair that is already in one component needs no comparison, so a bucket of thousands of near copies costs little more
 than its hubs, and no link between components is lost. Before texts are read, pairs are sorted out by the sizes of their
-sets and by the signature, at five standard errors below the threshold. Links are confirmed on the full sets.
+sets and by the signature, at 4.5 standard errors below the threshold. Links are confirmed on the full sets.
 
 Rows without words, or without a doc_id, are linked with nothing; the former have n_shingles 0, the latter component_id
 null, and both are kept. Rows that share a doc_id are one document: linked, and kept or dropped together.
@@ -30,9 +30,10 @@ from windrow.storage import intermediates, materialize
 #: Words in a shingle where nothing else is asked for, and percent of similarity.
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 24, 4
-COORDINATES = BANDS * ROWS
-#: Share of equal low bytes below which a pair at the threshold lies once in millions.
-_SLACK = 5
+#: Coordinates of a signature; the first ones make the bands, the low bytes of all tell pairs that can't be links.
+COORDINATES = 384
+#: Standard errors below the threshold where a link lies three times in a million.
+_SLACK = 4.5
 HUB_ROUNDS = 3
 BLOCK = 256
 #: Buckets of up to so many classes are joined with themselves, larger ones are compared in blocks.
@@ -86,7 +87,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     full = [s for s in sets if len(s)]
                     if full:
                         signed = signatures(full)
-                        bands = signed.reshape(len(full), BANDS, ROWS).astype(np.uint64)
+                        bands = signed[:, : BANDS * ROWS].reshape(len(full), BANDS, ROWS).astype(np.uint64)
                         key = np.zeros((len(full), BANDS), np.uint64)
                         for r in range(ROWS):
                             key = mix64(key * np.uint64(31) + bands[:, :, r])
@@ -238,11 +239,11 @@ def _across(classes: DataFrame, rows: DataFrame, links: DataFrame, docs: DataFra
     members = attach(spread, apart, ["bucket"], max(total, 1), "inner")
     blocks = F.ceil(F.col("n_rows") / BLOCK).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("cls"), F.col("blocks")))
-    members = members.join(classes.select("cls", "n_shingles", "low"), "cls")
+    members = members.join(classes.select("cls", "n_shingles", "low", "bands"), "cls")
     # a block meets every block of its bucket once: the pair of blocks is the group
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = members.select("bucket", "block", other, "cls", "label", "n_shingles", "low").select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "label", "n_shingles", "low"
+    met = members.select("bucket", "block", other, "cls", "label", "n_shingles", "low", "bands").select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "label", "n_shingles", "low", "bands"
     )
     p = percent / 100
     least = p - _SLACK * (p * (1 - p) / COORDINATES) ** 0.5
@@ -255,6 +256,8 @@ def _across(classes: DataFrame, rows: DataFrame, links: DataFrame, docs: DataFra
         out = []
         codes = pd.Series(pd.factorize(group["label"].map(bytes))[0], group.index)
         sizes = [s["n_shingles"].to_numpy() for s in (x, y)]
+        bands = [np.stack(s["bands"].to_list()) if len(s) else np.zeros((0, BANDS), np.int64) for s in (x, y)]
+        bucket = group["bucket"].iloc[0]
         for r in range(len(x)):
             fits = (codes[y.index] != codes[x.index[r]]).to_numpy()
             fits &= 100 * np.minimum(sizes[0][r], sizes[1]) >= percent * np.maximum(sizes[0][r], sizes[1])
@@ -262,6 +265,8 @@ def _across(classes: DataFrame, rows: DataFrame, links: DataFrame, docs: DataFra
                 fits[: r + 1] = False
             at = np.flatnonzero(fits)
             at = at[(low[1][at] == low[0][r]).mean(axis=1) >= least]
+            # a pair that shares several buckets is taken in the first of them
+            at = at[bands[0][r][(bands[1][at] == bands[0][r]).argmax(axis=1)] == bucket]
             a = bytes(x["cls"].iloc[r])
             out += [(min(a, b), max(a, b)) for b in map(bytes, y["cls"].iloc[at])]
         return pd.DataFrame(out, columns=["a", "b"], dtype=object)
