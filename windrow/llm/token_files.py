@@ -29,6 +29,8 @@ MAGIC = b"S8B1"
 HEADER = struct.Struct("<4sIIQQQ")
 SEGMENT_IDS = 200_000
 SEPARATOR = "\n"
+#: Pieces the encoder remembers here, where the library takes most of the time.
+MAX_PIECES = 450_000
 
 
 def segment_bytes(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -64,7 +66,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, p
     end = np.asarray([end_id], ID).tobytes()
 
     def encoded(batches):
-        encoder = text_encoder(tokenizer)
+        encoder = text_encoder(tokenizer, MAX_PIECES)
         doc_ids, ids, size = [], [], 0
         for batch in batches:
             for numbers, texts in text_slices(batch):

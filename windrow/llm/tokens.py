@@ -62,11 +62,12 @@ class TextEncoder:
     """
 
     #: When so many pieces are remembered, those not asked for since the last time are forgotten.
-    MAX_PIECES = 450_000
+    MAX_PIECES = 200_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_pieces: int | None = None):
         from tokenizers import Tokenizer
 
+        self.max_pieces = max_pieces or self.MAX_PIECES
         self.tokenizer = Tokenizer.from_file(path)
         # the strings of special tokens inside a text are ordinary text
         self.tokenizer.encode_special_tokens = True
@@ -105,15 +106,15 @@ class TextEncoder:
             except TypeError:  # a piece is None
                 out.append(self.whole(text))
             for pieces in (self.pieces, self.starts):
-                if len(pieces) > self.MAX_PIECES:
+                if len(pieces) > self.max_pieces:
                     pieces.forget()
         return out
 
 
 @lru_cache(maxsize=4)
-def text_encoder(path: str) -> TextEncoder:
+def text_encoder(path: str, max_pieces: int | None = None) -> TextEncoder:
     """One for each Python worker; it lives on from task to task."""
-    return TextEncoder(path)
+    return TextEncoder(path, max_pieces)
 
 
 def text_slices(batch, rows: int = 256):
