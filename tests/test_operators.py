@@ -239,7 +239,7 @@ def test_quota(spark, crowd, quota):
     assert [(r["window"], r["admitted"]) for r in got] == list(zip(windows, admitted))
 
     # with the table of windows broadcast, and too large for that
-    for sizes in ({}, {"broadcast_rows": 0, "block_rows": 40}):
+    for sizes in ({}, {"block_rows": 40}):
         timed = schedule_quota(df, 1000, quota, order_by=["timestamp", "id"], **sizes)
         got = timed.sort("id").collect()
         assert [r["window"] for r in got] == windows
@@ -250,3 +250,14 @@ def test_no_window_over_all_rows(spark, sf_dir):
     metrics = to_metrics(sensor_from_events(spark, sf_dir), ["rotorSpeed"], keep=EVENT_ORDER)
     nodes = plan_nodes(count_windows(metrics, order_by=EVENT_ORDER))
     assert "Window" not in nodes and "Sort" not in nodes
+
+
+def test_schedule_lets_nobody_overtake(spark):
+    """Arrivals at 5, 1, 5, 9 s in that order, then a row without a time; also with the first rows unknown."""
+    rows = [(0, 5), (1, 1), (2, 5), (3, 9), (4, None)]
+    df = spark.createDataFrame(rows, "n int, s int").selectExpr("n", "timestamp_seconds(s) AS timestamp")
+    for sizes in ({}, {"block_rows": 2}):
+        got = schedule_quota(df, 1000, 1, order_by=["n"], **sizes).orderBy("n").collect()
+        assert [r.slot for r in got] == [5, 6, 7, 9, 10]
+    late = df.selectExpr("4 - n AS n", "timestamp")
+    assert [r.slot for r in schedule_quota(late, 1000, 1, order_by=["n"]).orderBy("n").collect()] == [None, 9, 10, 11, 12]

@@ -18,8 +18,3 @@ def millis_to_ts(millis: Column) -> Column:
 
 def ts_to_millis(ts: Column) -> Column:
     return F.unix_millis(ts)
-
-
-def epoch_ms(ts: Column) -> Column:
-    """Epoch milliseconds of a zone-less timestamp read as UTC (the session runs in UTC)."""
-    return F.unix_millis(ts.cast("timestamp"))

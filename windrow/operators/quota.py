@@ -9,15 +9,12 @@ from pyspark.sql.window import Window
 
 from windrow.functions.integers import floor_div
 from windrow.operators.positions import HOT_ROWS, rank_within, with_position
-from windrow.storage import materialize
 
 # Rows granted per window, and the length of a window.
 QUOTA = 50
 WINDOW_MS = 1000
 
-# A table of one row per window is broadcast up to this many rows (16 bytes each, 32 MB).
-BROADCAST_ROWS = 2_000_000
-# Beyond that, rows are looked at in blocks of this many positions.
+# Rows are looked at in blocks of this many positions.
 BLOCK_ROWS = 1_000_000
 
 
@@ -41,14 +38,8 @@ def admit_quota(
     return ranked.withColumn("admitted", F.col("_rank") < quota).drop("_rank")
 
 
-def _lowest_by_window(levels: DataFrame) -> DataFrame:
-    """Running minimum over a table of one row per window, at most BROADCAST_ROWS of them."""
-    so_far = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, 0)
-    return levels.select("window", F.min("level").over(so_far).alias("_lowest"))
-
-
 def _lowest_by_block(placed: DataFrame, quota: int, block_rows: int) -> DataFrame:
-    """The same minimum row by row, for any number of windows.
+    """Running minimum of the levels, row by row, for any number of rows and windows.
 
     Blocks of positions hold the same number of rows whatever the arrival times are. The minimum
     runs within each block, and over the blocks (one row each) to carry it on.
@@ -75,25 +66,17 @@ def schedule_placed(
     quota: int,
     *,
     lowest: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
     block_rows: int = BLOCK_ROWS,
-    path: str | None = None,
 ) -> tuple[DataFrame, int | None]:
     """Slots of rows that have their position and window, and the lowest level up to their end.
 
-    A row at position i that arrives in window a has slot floor((i - low) / quota), where low is
-    the lowest level over all windows up to a, the level of a window v with rows being (position of
-    its first row) - quota * v: it is lowest where nobody was left waiting. So only a table of one
-    row per window needs a running value, not the rows themselves. ``lowest`` is the lowest level
-    of earlier rows, and ``path`` the place of the table of levels, otherwise a new one.
+    A row at position i has slot floor((i - low) / quota), where low is the lowest level of the rows up to
+    it, and the level of a row is position - quota * window: it is lowest where nobody was left waiting. No row
+    overtakes one before it, whatever their times are. A row without a time arrives with the row before it; if
+    there is none with a time, it has no slot. ``lowest`` is the lowest level of earlier rows.
     """
-    levels = placed.groupBy("window").agg((F.min("pos") - quota * F.col("window")).alias("level"))
-    levels = materialize(levels, "levels", path)
-    windows, low = levels.agg(F.count("*"), F.min("level")).first()
-    if windows <= broadcast_rows:
-        timed = placed.join(F.broadcast(_lowest_by_window(levels)), "window", "left")
-    else:
-        timed = _lowest_by_block(placed, quota, block_rows)
+    timed = _lowest_by_block(placed, quota, block_rows)
+    low = placed.agg(F.min(F.col("pos") - quota * F.col("window"))).first()[0]
     if lowest is not None:
         timed = timed.withColumn("_lowest", F.least("_lowest", F.lit(lowest)))
         low = lowest if low is None else min(low, lowest)
@@ -112,7 +95,7 @@ def schedule_quota(
 ) -> DataFrame:
     """The window in which each row gets in (``slot``) if rows wait first come, first served.
 
-    ``order_by`` must follow ``time``.
+    Who came first is told by ``order_by``, which need not follow ``time``.
     """
     placed = with_position(df.withColumn("window", window_index(time, window_ms)), order_by)
     return schedule_placed(placed, quota, **sizes)[0]

@@ -231,10 +231,6 @@ SQL = {
         SELECT lpad(to_hex(CASE WHEN number < 0 THEN number + 4294967296 ELSE number END), 8, '0') AS key_hex,
                c_name AS value
         FROM n""",
-    "synthetic_profile": """
-        SELECT count(*) AS readings, count(*) AS devices, true AS power_ok, true AS "rotorSpeed_ok",
-               true AS "windSpeed_ok", (count(*) - 1) * 1000 AS span_ms
-        FROM events""",
     "admit_quota": f"""
         WITH r AS (
           SELECT event_id, {_HOUR} AS "window",

@@ -19,7 +19,6 @@ from windrow.schemas import METRIC
 from windrow.sinks.lines import average_lines, invalid_lines, valid_lines
 from windrow.sinks.topics import kafka_frame, key_bytes, route_sink, spread, topic_sink
 from windrow.sources.ingest import ingest_avro, ingest_json
-from windrow.sources.synthetic import synthetic_readings
 from windrow.sources.tables import (
     EVENT_ORDER,
     LINEITEM_ORDER,
@@ -317,30 +316,6 @@ def kafka_keyed_frame(spark, sf_dir):
     return kafka_frame(keyed, "c_name", "number").select(F.hex("key").alias("key_hex"), "value")
 
 
-def synthetic_profile(spark, sf_dir):
-    """As many synthetic readings as there are events, through the JSON codec."""
-    n = load(spark, sf_dir, "events").count()
-    readings = ingest_json(codecs.to_sensor_json(synthetic_readings(spark, n, seed=42)))
-
-    def in_steps(name, end, divisor):
-        value = F.col(f"measurements.{name}")
-        steps = F.round(value * divisor)
-        ok = (value >= 0) & (value < end / divisor) & (steps / divisor == value)
-        return F.bool_and(ok).alias(f"{name}_ok")
-
-    return readings.agg(
-        F.count("*").alias("readings"),
-        F.count_distinct("deviceId").alias("devices"),
-        in_steps("power", 1000, 10),
-        in_steps("rotorSpeed", 20000, 100),
-        in_steps("windSpeed", 2000, 10),
-        (F.max(ts_to_millis(F.col("timestamp"))) - F.min(ts_to_millis(F.col("timestamp")))).alias("span_ms"),
-    )
-
-
-# quota and targets
-
-
 def _arrivals(spark, sf_dir):
     return sensor_from_events(spark, sf_dir).select(*EVENT_ORDER, "timestamp")
 

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from windrow.operators.metrics import invalid_metrics, valid_metrics
 
 # Writer settings for Kafka.
-KAFKA_WRITER = {"kafka.acks": "all", "kafka.max.in.flight.requests.per.connection": "128"}
+KAFKA_WRITER = {"kafka.acks": "all"}
 
 
 def topic_sink(

@@ -75,13 +75,11 @@ def stream_schedule_quota(
     checkpoint: str,
     trigger=None,
 ):
-    """The window in which each row of a stream gets in. Later batches must not hold earlier times."""
+    """The window in which each row of a stream gets in. A late row does not overtake those before it."""
     windowed = df.withColumn("window", window_index(time, window_ms))
     return _stream_placed(
         windowed,
-        lambda placed, lowest: schedule_placed(
-            placed, quota, lowest=lowest, path=f"{checkpoint}/carry/levels"
-        ),
+        lambda placed, lowest: schedule_placed(placed, quota, lowest=lowest),
         order_by,
         out,
         checkpoint,
