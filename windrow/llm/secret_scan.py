@@ -55,7 +55,9 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
 
 def common_words(docs: DataFrame) -> list[str]:
     """The most frequent words of 4 to 12 letters in a bounded sample, for the dictionary."""
-    sample = docs.select("doc_id", "text").filter(F.length("text") <= 20_000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    # ids first, so that no texts move
+    picked = docs.filter(F.length("text") <= 20_000).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi")
     words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{4,12}\b"), F.lit(0))).alias("word"))
     top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(COMMON_WORDS)
     return sorted((r.word for r in top.collect()), key=lambda w: (-len(w), w))

@@ -152,8 +152,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     joined = attach(rows, groups, ["digest"], max(slim.count(), 1), "left")
     other = ~F.col("page_id").eqNullSafe(F.col("response_id"))
     ready = joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("response_id")).alias("refers_to"))
-    sample = rows.filter(F.length("payload").between(8, SAMPLE_BYTES)).orderBy(F.xxhash64("digest"), "page_id").select("payload")
-    dictionary = train_dictionary([bytes(r.payload) for r in sample.limit(SAMPLE_PAGES).collect()])
+    # digests first, so that payloads of the sample alone move
+    picked = slim.filter(F.col("size").between(8, SAMPLE_BYTES)).select("digest").distinct()
+    picked = picked.orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE_PAGES)
+    sample = rows.select("digest", "payload").join(F.broadcast(picked), "digest").dropDuplicates(["digest"])
+    dictionary = train_dictionary([bytes(r.payload) for r in sample.orderBy("digest").collect()])
 
     def frames(batches):
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
