@@ -82,6 +82,13 @@ QUERIES = {
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+#: 40 bits (ten hex digits) of a digest make eight characters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(digest, {10 * g + 1}, 10))::BIGINT >> {35 - 5 * k}) & 31) + 1)::BIGINT, 1)"
+    for g in range(4)
+    for k in range(8)
+)
+
 SQL = {
     "op2_exact_dedup": r"""
         WITH n AS (
@@ -92,11 +99,11 @@ SQL = {
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)
     """,
-    "op9_warc": """
+    "op9_warc": f"""
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages
         )
-        SELECT page_id, payload_bytes, to_base32(unhex(digest)) AS payload_digest,
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
                CASE WHEN page_id = max(page_id) OVER g THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
         FROM p WINDOW g AS (PARTITION BY digest)
