@@ -15,7 +15,7 @@ def fold_windows(n, key, order_by, value):
 
     def fold(group, batches, state):
         window, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-        rows = pd.concat(list(batches)).sort_values(order_by, kind="stable")
+        rows = pd.concat(list(batches)).sort_values(order_by, kind="stable", na_position="first")
         values = np.concatenate([np.asarray(held, float), rows[value].to_numpy(float)])
         full = len(values) // n
         mean = np.zeros(full)
