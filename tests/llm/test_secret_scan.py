@@ -65,6 +65,16 @@ def test_without_two_classes_nothing_is_removed(spark, no_docs, clashing_docs):
     assert secret_findings(clashing_docs).count() == 0
 
 
+def test_common_words_are_counted_over_all_whole_texts(spark):
+    rows = [(i, "zulu", "en", "s", 4) for i in range(2500)] + [(9000, "quebec " * 10_000, "en", "s", 70_000), (9001, None, "en", "s", 0)]
+    rows += [(9100 + i, f"{w} {w}", "xx", "rare", 9) for i, w in enumerate(["yankee", "xray"])]
+    counts = {"quebec": 10_000, "zulu": 2500, "xray": 2, "yankee": 2}
+    rows += [(9200, " ".join(c * 4 + d * 4 for c in "abcdefghijklmnop" for d in "abcdefghijklmnop"), "en", "s", 0)]
+    counts |= {c * 4 + d * 4: 1 for c in "abcdefghijklmnop" for d in "abcdefghijklmnop"}
+    top = sorted(counts, key=lambda w: (-counts[w], w))[: secret_scan.COMMON_WORDS]
+    assert secret_scan.common_words(spark.createDataFrame(rows, DOCS)) == sorted(top, key=lambda w: (-len(w), w))
+
+
 def test_no_python_on_the_executors(spark, sf_dir):
     found = secret_findings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     assert not [n for n in plan_nodes(found) if any(k in n for k in ("Python", "Pandas", "Arrow"))]

@@ -7,7 +7,7 @@ that a rule can tell are the labelled ones: key formats and assignments to a sec
 parts of addresses are not. All candidates get a score, labelled or not.
 
 Null texts have no candidates. Findings of rows that repeat come once for each row. Without labelled findings of both
-classes nothing is removed: every candidate scores 1. The common words come from a bounded sample of documents.
+classes nothing is removed: every candidate scores 1. The common words are counted over all texts.
 """
 
 from pyspark.ml import Pipeline
@@ -27,7 +27,7 @@ SECRET_NAME = r"(?i)(password|passwd|secret|token|api[_-]?key|auth|credential)s?
 TEST_PATH = r"(?i)(test|example|sample|mock|fixture)"
 
 BEFORE, AFTER = 48, 24
-SAMPLE_DOCS, COMMON_WORDS = 2000, 200
+COMMON_WORDS = 200
 MAX_FINDINGS = 10_000
 TREES, DEPTH = 24, 6
 
@@ -54,11 +54,8 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
 
 
 def common_words(docs: DataFrame) -> list[str]:
-    """The most frequent words of 4 to 12 letters in a bounded sample, for the dictionary."""
-    # ids first, so that no texts move
-    picked = docs.filter(F.length("text") <= 20_000).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi")
-    words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{4,12}\b"), F.lit(0))).alias("word"))
+    """The most frequent words of 4 to 12 letters in all texts, for the dictionary."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{4,12}\b"), F.lit(0))).alias("word"))
     top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(COMMON_WORDS)
     return sorted((r.word for r in top.collect()), key=lambda w: (-len(w), w))
 
