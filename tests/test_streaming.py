@@ -12,9 +12,10 @@ from windrow.operators.positions import HOT_ROWS
 from windrow.operators.quota import admit_quota, schedule_quota
 from windrow.operators.targets import assign_targets
 from windrow.plans.pipeline import INVALID, METRICS, READINGS, ROTOR, VALID, run_batch
+from windrow.sinks.topics import topic_sink
 from windrow.sources.tables import EVENT_ORDER, sensor_from_events
 from windrow.sources.topics import topic_source
-from windrow.storage import make_dir
+from windrow.storage import make_dir, write_part
 from windrow.streaming import pipeline, windows
 from windrow.streaming.admission import stream_admit_quota
 from windrow.streaming.carry import last_carry, read_carry, write_carry
@@ -339,3 +340,38 @@ def test_limited_ingest(spark, readings, tmp_path):
     got = spark.read.parquet(out)
     assert got.count() == want.count() == 900
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_limited_ingest_keeps_every_payload(spark, readings, tmp_path):
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    body = F.col("payload")
+    broken = F.when(F.col("event_id") % 10 == 0, None).when(F.col("event_id") % 10 == 1, F.concat(body, F.unhex(F.lit("00")))).otherwise(body)
+    payloads = payload_table(readings, "avro").withColumn("payload", broken)
+    start = 0
+    for sizes in (UNEVEN[:3], UNEVEN[3:]):  # stopped and started again
+        start = write_files(payloads, source, sizes, start)
+        ingest_stream(spark, source, payloads.schema, out=out, checkpoint=checkpoint, batch_limit=2).awaitTermination()
+    kept, rejects = decode_avro(payloads)
+    got, thrown = spark.read.parquet(out), spark.read.parquet(pipeline.rejects_of(out)).drop("batch")
+    assert (got.count(), thrown.count()) == (kept.count(), rejects.count())
+    assert got.count() + thrown.count() == payloads.count() and thrown.count() > 100
+    assert kept.select(*got.columns).exceptAll(got).count() == 0
+    assert rejects.select(*thrown.columns).exceptAll(thrown).count() == 0
+
+
+def test_a_part_written_again_replaces_itself(spark, tmp_path):
+    out = str(tmp_path / "out")
+    write_part(spark.range(5).repartition(3), out, "batch-0")
+    write_part(spark.range(5, 9).coalesce(1), out, "batch-1")
+    write_part(spark.range(4).coalesce(1), out, "batch-0")
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 5, 6, 7, 8]
+
+
+def test_ingest_refuses_the_folder_of_a_file_sink(spark, readings, tmp_path):
+    """Its readers follow the sink's log and would miss what is added beside it."""
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    payloads = payload_table(readings, "avro")
+    write_files(payloads, source, [5])
+    topic_sink(topic_source(spark, source, payloads.schema), out, checkpoint).awaitTermination()
+    with pytest.raises(ValueError, match="file sink"):
+        ingest_stream(spark, source, payloads.schema, out=out, checkpoint=checkpoint + "2")

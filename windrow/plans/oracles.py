@@ -261,6 +261,8 @@ SQL = {
     "pipeline_averages": f"{_ROTOR}, {_windows('rotorSpeed_valid')} {_AVERAGES}",
     "topic_roundtrip_stream": f"WITH {_METRICS} SELECT {_FLAT} FROM checked WHERE is_valid",
     "limited_ingest_stream": f"WITH {_AVRO}, {_AVRO_KEPT} SELECT {_READING} FROM kept",
+    "limited_ingest_counts": f"""
+        WITH {_AVRO} SELECT coalesce(fault, 'kept') AS outcome, count(*) AS payloads FROM judged GROUP BY ALL""",
     "fanout_stream": f"""
         WITH {_FLOW}
         SELECT 'valid-metics' AS topic, {_FLAT} FROM checked WHERE is_valid

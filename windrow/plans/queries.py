@@ -411,15 +411,27 @@ def topic_roundtrip_stream(spark, sf_dir):
     return _flat_metrics(topic_table(spark, out, valid.schema))
 
 
-def limited_ingest_stream(spark, sf_dir):
-    """Avro payloads, two files at a time."""
+def _limited_ingest(spark, sf_dir):
+    """The readings and the rejects of Avro payloads, two files at a time."""
     source, out, checkpoint = _folders(spark, "ingest")
     payloads = _avro_payloads(spark, sf_dir)
     topic_sink(spread(payloads, spark.sparkContext.defaultParallelism), source)
     stream_pipeline.ingest_stream(
         spark, source, payloads.schema, out=out, checkpoint=checkpoint, batch_limit=2
     ).awaitTermination()
-    return _flat_readings(spark.read.parquet(out))
+    return spark.read.parquet(out), spark.read.parquet(stream_pipeline.rejects_of(out))
+
+
+def limited_ingest_stream(spark, sf_dir):
+    """Avro payloads, two files at a time."""
+    return _flat_readings(_limited_ingest(spark, sf_dir)[0])
+
+
+def limited_ingest_counts(spark, sf_dir):
+    """Payloads per outcome of the same stream: those kept, and the rejects of each reason."""
+    kept, rejects = _limited_ingest(spark, sf_dir)
+    outcomes = kept.select(F.lit("kept").alias("outcome")).unionByName(rejects.select(F.col("fault").alias("outcome")))
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("payloads"))
 
 
 def _run_in_thirds(spark, sf_dir, label, materialize):

@@ -95,6 +95,32 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in files.listStatus(folder)]
 
 
+def has_child(spark: SparkSession, path: str, name: str) -> bool:
+    files, folder = _file_system(spark, f"{path}/{name}")
+    return files.exists(folder)
+
+
+def write_part(df: DataFrame, path: str, name: str) -> None:
+    """Add ``df`` to the Parquet files in the folder ``path``, in place of what was added under ``name`` before.
+
+    The files are written in a hidden folder and moved when all are whole, under names that do not
+    change if the same rows are added again.
+    """
+    spark = df.sparkSession
+    staged = f"{path}/_staged-{name}"
+    df.write.mode("overwrite").parquet(staged)
+    parts = sorted(n for n in child_names(spark, staged) if n.startswith("part-"))
+    for old in child_names(spark, path):
+        if old.startswith(f"{name}-"):
+            remove_dir(spark, f"{path}/{old}")
+    for i, part in enumerate(parts):
+        files, source = _file_system(spark, f"{staged}/{part}")
+        _, target = _file_system(spark, f"{path}/{name}-{i:05d}.parquet")
+        if not files.rename(source, target):
+            raise OSError(f"{source.toString()} could not be moved to {target.toString()}")
+    remove_dir(spark, staged)
+
+
 def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 

@@ -21,7 +21,7 @@ from windrow.plans.pipeline import (
 from windrow.schemas import SENSOR_DATA
 from windrow.sinks.topics import topic_sink
 from windrow.sources.topics import topic_source
-from windrow.storage import make_dir
+from windrow.storage import has_child, make_dir, write_part
 from windrow.streaming.windows import read_windows, stream_count_windows, window_batch
 
 AVERAGES = "averages"
@@ -40,10 +40,32 @@ def ingest_stream(
     col: str = "payload",
     record: T.StructType = SENSOR_DATA,
 ):
-    """Read a payload topic ``batch_limit`` files at a time, decode, and append to a topic."""
+    """Read a payload topic ``batch_limit`` files at a time, decode, and append to a topic.
+
+    Each micro-batch is decoded once. Readings go to ``out``, rejects (raw payload, reason) to
+    ``rejects_of(out)/batch=<id>``. A batch that is run again replaces its own files in both.
+    """
+    if has_child(spark, out, "_spark_metadata"):
+        raise ValueError(f"{out} was written by a file sink, whose readers would not see new batches: name a new folder")
+    make_dir(spark, out)  # readable also before the first batch
     payloads = topic_source(spark, path, schema, batch_limit=batch_limit)
-    readings, _ = split_decoded(tag_payloads(payloads, ingress, col, record), col)
-    return topic_sink(readings, out, checkpoint)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        tagged = tag_payloads(batch, ingress, col, record).persist()
+        try:
+            readings, rejects = split_decoded(tagged, col)
+            rejects.write.mode("overwrite").parquet(f"{rejects_of(out)}/batch={batch_id}")
+            write_part(readings, out, f"batch-{batch_id:012d}")
+        finally:
+            tagged.unpersist()
+
+    writer = payloads.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def rejects_of(out: str) -> str:
+    """Where ``ingest_stream`` puts what it cannot decode: beside the topic, with a column ``batch``."""
+    return f"{out.rstrip('/')}-{REJECTS}"
 
 
 def _fused(ingress: str, out: str, checkpoint: str, order_by: list[str], n: int, col: str):
