@@ -1,6 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame functions and Spark ML only.
 
-A candidate is a run of 16 or more characters of a key alphabet that has a digit. The forest sees its length, how its
+A candidate is a run of 16 or more characters of a key alphabet, a web token of three or more parts, or whatever is
+assigned to the name of a secret: up to the closing quote, else to the next blank or the next such name. The same
+characters under two forms are one candidate; a value and a run inside it are two. The forest sees its length, how its
 characters follow one another, how much of it common words cover, the path of the document, and the words next to it.
 It is trained on labelled findings, at most ``MAX_FINDINGS`` of each class. Where a table brings none, findings
 that a rule can tell are the labelled ones: key formats and assignments to a secret's name are secrets; bare numbers and
@@ -21,9 +23,16 @@ from windrow.llm.common import text_of
 from windrow.storage import materialize
 
 #: Fixed: what a candidate, a known key and the name of a secret look like.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*){1,3}\.[A-Za-z0-9_-]+|[A-Za-z0-9+/_-]{16,}={0,2})"
 KNOWN_KEY = r"^(AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|xox[abpr]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,})$"
 SECRET_NAME = r"(?i)(password|passwd|secret|token|api[_-]?key|auth|credential)s?[\"']?\s*[=:]\s*[\"']?$"
+_LEAD = r"(?i:password|passwd|secret|token|api[_-]?key|auth|credential)[sS]?[\"']?\s*(?:==+|:=|=>|[=:])\s*"
+#: A name and what assigns to it. The value (group 1, 2 or 3) is only looked at, so that names inside it count too.
+ASSIGNED = (
+    _LEAD
+    + r"""(?:"(?=((?:[^"\\\r\n]++|\\[^\r\n])++)")|'(?=((?:[^'\\\r\n]++|\\[^\r\n])++)')"""
+    + rf"""|(?:"{{3}}|'{{3}}|["']?+)(?!["'])(?=((?:(?!{_LEAD})\S)++)))"""
+)
 TEST_PATH = r"(?i)(test|example|sample|mock|fixture)"
 
 BEFORE, AFTER = 48, 24
@@ -32,25 +41,69 @@ MAX_FINDINGS = 10_000
 TREES, DEPTH = 24, 6
 
 
+def _spans(name: str, lead: Column) -> Column:
+    """Structs of the matches ``name`` from the columns that ``candidates`` makes; ``lead`` stands before what was found."""
+
+    def span(x: Column) -> Column:
+        here, secret = F.concat(x["between"], lead(x)), x["secret"]
+        after = F.substring(x["following"], F.length(secret) + 1, F.lit(AFTER)) if name == "value" else F.substring(x["following"], 1, AFTER)
+        return F.struct(
+            (x["offset"] + F.length(here)).alias("start"),
+            secret.alias("secret"),
+            F.lit(name).alias("form"),
+            F.substring(here, -BEFORE, BEFORE).alias("before"),
+            after.alias("after"),
+        )
+
+    return F.transform(name, span)
+
+
+def _zipped(matches: Column, secrets: Column, between: Column) -> Column:
+    """One struct for each match: the match, its secret, what stands before and after it, the characters before that."""
+    n = F.size(matches)
+    lengths = F.zip_with(F.slice(between, 1, n), matches, lambda b, m: F.length(b) + F.length(m).cast("long"))
+    offsets = F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda ends, x: F.concat(ends, F.array(F.element_at(ends, -1) + x)))
+    parts = {"match": matches, "secret": secrets, "between": F.slice(between, 1, n), "following": F.slice(between, 2, n), "offset": F.slice(offsets, 1, n)}
+    return F.arrays_zip(*[c.alias(k) for k, c in parts.items()])
+
+
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """One row per candidate: doc_id, path, ordinal in the document, start, secret, before, after."""
     rows = docs.select("doc_id", F.col(path).alias("path"), text_of().alias("text"))
-    found = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).filter(F.size("found") > 0)
-    # what stands around the candidates: one piece more than candidates
-    found = found.withColumn("between", F.split("text", CANDIDATE, -1)).drop("text")
-    each = found.select("doc_id", "path", "found", "between", F.posexplode("found").alias("ordinal", "secret"))
-    here = F.col("ordinal") + 1
-    before, after = F.element_at("between", here), F.element_at("between", here + 1)
-    lengths = lambda a: F.aggregate(F.slice(a, 1, F.col("ordinal")), F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    return each.select(
+    rows = rows.filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED))
+    every = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    # what stands around the matches: one piece more than matches
+    matched = rows.select(
+        "doc_id",
+        "path",
+        every(CANDIDATE, 0).alias("runs"),
+        F.split("text", CANDIDATE, -1).alias("between_runs"),
+        every(ASSIGNED, 0).alias("leads"),
+        *[every(ASSIGNED, g).alias(f"value_{g}") for g in (1, 2, 3)],
+        F.split("text", ASSIGNED, -1).alias("between_leads"),
+    )
+    joined = lambda a, b: F.concat(a, b)
+    values = F.zip_with(F.zip_with("value_1", "value_2", joined), F.col("value_3"), joined)
+    zipped = matched.select(
         "doc_id",
         "path",
-        F.col("ordinal").cast("long").alias("ordinal"),
-        (lengths("between") + lengths("found") + F.length(before)).alias("start"),
-        "secret",
-        F.substring(before, -BEFORE, BEFORE).alias("before"),
-        F.substring(after, 1, AFTER).alias("after"),
+        _zipped(F.col("runs"), F.col("runs"), F.col("between_runs")).alias("run"),
+        _zipped(F.col("leads"), values, F.col("between_leads")).alias("value"),
     )
+    spans = F.concat(_spans("run", lambda x: F.lit("")), _spans("value", lambda x: x["match"]))
+    sorted_ = zipped.select("doc_id", "path", F.array_sort(spans).alias("spans"))
+
+    # a run that is a whole value is one candidate, and the name of the secret stands before it
+    def merged(x: Column, i: Column) -> Column:
+        same = lambda y: F.coalesce((y["start"] == x["start"]) & (y["secret"] == x["secret"]), F.lit(False))
+        previous, following = F.get("spans", i - 1), F.get("spans", i + 1)
+        before = F.when(same(following), following["before"]).otherwise(x["before"])
+        return F.struct(x["start"], x["secret"], before.alias("before"), x["after"], same(previous).alias("repeats"))
+
+    once = F.filter(F.transform("spans", merged), lambda x: ~x["repeats"])
+    each = sorted_.select("doc_id", "path", F.posexplode(once).alias("ordinal", "found"))
+    columns = [F.col(f"found.{n}").alias(n) for n in ("start", "secret", "before", "after")]
+    return each.select("doc_id", "path", F.col("ordinal").cast("long").alias("ordinal"), *columns)
 
 
 def common_words(docs: DataFrame) -> list[str]:
