@@ -199,6 +199,13 @@ def test_targets(spark):
     assert hits == {0: 3, 1: 3, 2: 2, 3: 2, 4: 0}
 
 
+def test_hits_add_up_to_the_rows(spark):
+    rows = spark.createDataFrame([(1,), (1,), (9,), (None,)], "target int")
+    want = {1: 2, 2: 0, 9: 1, None: 1}
+    for targets in ([1, 2], spark.createDataFrame([(1,), (2,)], "target int")):
+        assert {r["target"]: r["hits"] for r in hits_per_target(rows, targets).collect()} == want
+
+
 def arrivals(spark, times):
     rows = list(enumerate(times))
     return spark.createDataFrame(rows, "id int, ms bigint").withColumn("timestamp", F.timestamp_millis("ms"))

@@ -20,13 +20,13 @@ def assign_targets(df: DataFrame, targets: list | int, *, order_by: list[str]) -
 
 
 def hits_per_target(df: DataFrame, targets: DataFrame | list, col: str = "target") -> DataFrame:
-    """Rows per target. Every target of ``targets`` (a table or a list) is listed, also with no hits."""
+    """Rows per target. Every target of ``targets`` (a table or a list) is listed, also with no hits.
+
+    Targets that are not among them, and NULL, have lines of their own, so that the hits add up to the rows.
+    """
     if isinstance(targets, list):
         field = T.StructField(col, df.schema[col].dataType)
         targets = df.sparkSession.createDataFrame([(t,) for t in targets], T.StructType([field]))
+    none = targets.select(col, F.lit(0).cast("bigint").alias("hits"))
     hits = df.groupBy(col).agg(F.count("*").alias("hits"))
-    return (
-        targets.select(col)
-        .join(hits, col, "left")
-        .select(col, F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
-    )
+    return none.unionByName(hits).groupBy(col).agg(F.sum("hits").alias("hits"))
