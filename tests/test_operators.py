@@ -199,6 +199,20 @@ def test_targets(spark):
     assert hits == {0: 3, 1: 3, 2: 2, 3: 2, 4: 0}
 
 
+@pytest.mark.parametrize("hot_rows", [10, 10_000])
+def test_ties_within_a_key_go_by_the_stored_order(spark, tmp_path, hot_rows):
+    path = str(tmp_path / "rows")
+    spark.range(600).select("id", (F.col("id") % 2).alias("key"), F.lit(0).alias("t")).coalesce(1).write.parquet(path)
+    stored = spark.read.parquet(path).sort(F.desc("id")).repartition(1).sortWithinPartitions(F.xxhash64("id"))
+    at = {r.id: i for i, r in enumerate(stored.collect())}
+    ranked = rank_within(stored, ["key"], ["t"], hot_rows=hot_rows)
+    if hot_rows > 600:
+        assert "_stored_at" in ranked._jdf.queryExecution().analyzed().toString()
+    for key in (0, 1):
+        got = [r.id for r in ranked.filter(F.col("key") == key).sort("pos").collect()]
+        assert got == sorted(got, key=at.get)
+
+
 def test_hits_add_up_to_the_rows(spark):
     rows = spark.createDataFrame([(1,), (1,), (9,), (None,)], "target int")
     want = {1: 2, 2: 0, 9: 1, None: 1}

@@ -100,10 +100,12 @@ def rank_within(
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     largest, total = counts.agg(F.max("_rows"), F.sum("_rows")).first()
-    window = Window.partitionBy(*keys).orderBy(*order_by)
+    # numbered once, so that ties go by the stored order on both ways
+    df = df.withColumn("_stored_at", F.monotonically_increasing_id())
+    window = Window.partitionBy(*keys).orderBy(*order_by, "_stored_at")
 
     def windowed(rows: DataFrame) -> DataFrame:
-        ranked = rows.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
+        ranked = rows.withColumn(name, (F.row_number().over(window) - 1).cast("bigint")).drop("_stored_at")
         if start is None:
             return ranked
         begun = _look_up(ranked, start, keys, small=False)
@@ -120,7 +122,7 @@ def rank_within(
 
     placed, _ = place(
         df.join(F.broadcast(hot), on_hot, "left_semi"),
-        [*keys, *order_by],
+        [*keys, *order_by, "_stored_at"],
         "_at",
         path=path and f"{path}/hot-ordered",
     )
