@@ -100,6 +100,16 @@ def has_child(spark: SparkSession, path: str, name: str) -> bool:
     return files.exists(folder)
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file from the driver."""
+    files, file = _file_system(spark, path)
+    out = files.create(file, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def write_part(df: DataFrame, path: str, name: str) -> None:
     """Add ``df`` to the Parquet files in the folder ``path``, in place of what was added under ``name`` before.
 
