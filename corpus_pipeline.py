@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm.common import read_table
+from windrow.llm.common import on_workers, read_table
 from windrow.llm.exact_dedup import drop_copies
 from windrow.llm.mixing import mixed
 from windrow.llm.near_dedup import drop_near_copies
@@ -12,26 +12,31 @@ from windrow.llm.toxicity import drop_toxic
 from windrow.storage import materialize
 
 
+@on_workers
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
+@on_workers
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
     return drop_copies(docs)
 
 
+@on_workers
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five words, similarity 0.8."""
     return drop_near_copies(docs)
 
 
+@on_workers
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixed(docs)
 
 
+@on_workers
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
     return pack_documents(docs, *WORD_BPE)

@@ -1,0 +1,115 @@
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from windrow.llm import merkle
+from windrow.llm.queries import op11_merkle_manifest
+
+from .conftest import DOCS, edge_rows
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf(row, add=0):
+    doc_id, text, lang, source, n_chars = row
+    values = [doc_id, source, lang, None if n_chars is None else n_chars + add, text]
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def levels(nodes, f):
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([sha("".join(out[-1][i : i + f])) for i in range(0, len(out[-1]), f)])
+    return out
+
+
+def path(tree, i, f):
+    for nodes in tree[:-1]:
+        first = i // f * f
+        yield nodes[first:i], nodes[i + 1 : first + f]
+        i //= f
+
+
+def is_tampered(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 0
+
+
+def brute(rows, f=2):
+    by = defaultdict(list)
+    for r in rows:
+        by[r[2]].append(r)
+    langs = sorted(by, key=lambda k: (k is not None, (k or "").encode()))
+    for own in by.values():
+        own.sort(key=lambda r: (r[0] is None, r[0] or 0, leaf(r)))
+    trees = {k: levels([leaf(r) for r in by[k]], f) for k in langs}
+    top = levels([trees[k][-1][0] for k in langs], f)
+    out = Counter()
+    for n, k in enumerate(langs):
+        for i, r in enumerate(by[k]):
+            steps = [*path(trees[k], i, f), *path(top, n, f)]
+            h = leaf(r, is_tampered(r[0]))
+            for a, b in steps:
+                h = sha("".join(a) + h + "".join(b))
+            proof = sha("".join("".join(a) + "".join(b) for a, b in steps))
+            out[r[0], leaf(r), trees[k][-1][0], top[-1][0], proof, h, h == top[-1][0]] += 1
+    return out
+
+
+TAMPERED = ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def tampered():
+    return F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf_digest({"n_chars": F.col("n_chars") + 1}))
+
+
+def many_rows():
+    """One language with a third of all rows, some of a few rows, one with null names, and the edge rows."""
+    langs = ["en", "fr", None, "de", "", "é", "en2"]
+    return edge_rows() + [(1000 + i, f"t{i}", langs[i % 7] if i % 3 else "en", "s", i) for i in range(500)]
+
+
+@pytest.mark.parametrize("fanout, block, group", [(2, 1024, 16), (2, 2, 2), (2, 4, 4), (3, 3, 9), (5, 5, 5)])
+def test_against_brute_force(spark, fanout, block, group):
+    """One block, many rounds, groups whose last subtree lacks blocks, and other fanouts."""
+    docs = spark.createDataFrame(many_rows(), DOCS).repartition(5)
+    got = merkle.manifest(docs, fanout, tampered(), True, block, group).select(*TAMPERED).collect()
+    assert Counter(map(tuple, got)) == brute(many_rows(), fanout)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 9, 31, 33, 64, 65])
+def test_sizes_of_a_tree(spark, n):
+    rows = [(i, str(i), "en", None, None) for i in range(n)]
+    got = merkle.manifest(spark.createDataFrame(rows, DOCS), 2, None, True, 2, 4).select(*TAMPERED).collect()
+    want = Counter({(*k[:5], k[3], True): v for k, v in brute(rows).items()})
+    assert Counter(map(tuple, got)) == want
+
+
+def test_many_trees(spark, monkeypatch):
+    """As many languages as rows, but for one; without a broadcast."""
+    monkeypatch.setattr(merkle, "FEW_TREES", 10)
+    rows = [(i, str(i), "hot" if i % 3 == 0 else f"l{i}", "s", 1) for i in range(300)]
+    got = merkle.manifest(spark.createDataFrame(rows, DOCS), 2, tampered(), True, 4, 4).select(*TAMPERED).collect()
+    assert Counter(map(tuple, got)) == brute(rows)
+
+
+def test_proofs_fold(spark, clashing_docs):
+    """The proofs themselves lead from each leaf to the root; names of columns do not matter."""
+    for r in merkle.manifest(clashing_docs, block_leaves=4, group=4).collect():
+        folded, used = merkle.fold(r.leaf, r.proof, r.pos, r.n)
+        assert folded == r.subroot
+        assert merkle.fold(folded, r.proof[used:], r["rank"], r.n_trees) == (r.root, len(r.proof) - used)
+        assert r.verified and r.folded_root == r.root
+
+
+def test_query(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    assert Counter(map(tuple, op11_merkle_manifest(spark, sf_dir).collect())) == brute(rows)
+
+
+def test_empty(no_docs):
+    assert merkle.manifest(no_docs).collect() == []

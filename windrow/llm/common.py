@@ -1,8 +1,15 @@
 """What several operators of this package share."""
 
+import io
+import zipfile
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.storage import shared_dir, write_bytes
+
 #: Fixed: what separates words, and what the exact dedup folds to one space.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +42,36 @@ def attach(rows: DataFrame, groups: DataFrame, on: list[str], total: int, how: s
 def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` are few; else the join shuffles it."""
     return F.broadcast(df) if rows <= most else df
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers of this application the modules of this package, wherever they were started.
+
+    The archive lies in the shared folder as long as the application needs it, for executors that come later too.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    path = f"{shared_dir(spark)}/windrow/{app}/{root.name}-modules.zip"
+    write_bytes(spark, path, packed.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
+def on_workers(query):
+    """A query or stage whose functions run in Python workers too."""
+
+    @wraps(query)
+    def shipped(spark: SparkSession, *args):
+        ship_package(spark)
+        return query(spark, *args)
+
+    return shipped

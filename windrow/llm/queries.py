@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm import chat, warc
-from windrow.llm.common import read_table
+from windrow.llm import bpe, chat, merkle, runs, warc
+from windrow.llm.common import on_workers, read_table
 from windrow.llm.exact_dedup import dedup_groups
 from windrow.llm.fingerprints import fingerprint_chain
 from windrow.llm.mixing import mix_plan
@@ -18,6 +18,7 @@ from windrow.llm.toxicity import toxicity
 #: Tokenizer, and the id that ends a document.
 BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), 0)
 WORD_BPE = (public_tokenizers.path("word_bpe_49k.json"), 1)
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,23 @@ def op10_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.write_and_read(rows.unionByName(extra))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering adds 1 to n_chars where 7 divides the crc32 of the doc_id."""
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = F.when(tampered, merkle.leaf_digest({"n_chars": F.col("n_chars") + 1}))
+    found = merkle.manifest(docs, changed=changed, digests=True)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(read_table(spark, sf_dir, "documents"), runs.repeated)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -78,7 +96,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_chat_trees": op10_chat_trees,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
+QUERIES = {name: on_workers(query) for name, query in QUERIES.items()}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -89,7 +111,75 @@ _BASE32 = " || ".join(
     for k in range(8)
 )
 
+#: CRC-32 of the decimal digits of doc_id, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384::BIGINT)))"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(({f})::VARCHAR)::VARCHAR || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+
 SQL = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+                   CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS now
+            FROM documents
+        ),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos,
+                   count(*) OVER (PARTITION BY lang) AS cnt,
+                   dense_rank() OVER (ORDER BY encode(coalesce('=' || lang, ''))) AS tree
+            FROM leaves
+        ),
+        nodes AS (
+            SELECT tree, 0 AS lvl, pos, cnt, leaf AS h FROM placed
+            UNION ALL
+            SELECT tree, lvl + 1, pos // 2, (cnt + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+            FROM nodes WHERE cnt > 1 GROUP BY tree, lvl, pos // 2, cnt
+        ),
+        subroots AS (SELECT tree, lvl AS height, h AS subroot FROM nodes WHERE cnt = 1),
+        tops AS (
+            SELECT 0 AS lvl, tree - 1 AS pos, (SELECT count(*) FROM subroots) AS cnt, subroot AS h FROM subroots
+            UNION ALL
+            SELECT lvl + 1, pos // 2, (cnt + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+            FROM tops WHERE cnt > 1 GROUP BY lvl, pos // 2, cnt
+        ),
+        steps AS (
+            SELECT p.tree, p.pos AS leaf_pos, s.lvl, s.h, s.pos > p.pos >> s.lvl AS is_right
+            FROM placed p JOIN nodes s ON s.tree = p.tree AND s.cnt > 1 AND s.pos = xor(p.pos >> s.lvl, 1::BIGINT)
+            UNION ALL
+            SELECT p.tree, p.pos, 1000 + s.lvl, s.h, s.pos > (p.tree - 1) >> s.lvl
+            FROM placed p JOIN tops s ON s.cnt > 1 AND s.pos = xor((p.tree - 1) >> s.lvl, 1::BIGINT)
+        ),
+        -- a node without a sibling is hashed alone
+        climbed AS (
+            SELECT p.tree, p.pos AS leaf_pos, n.lvl, coalesce(s.h, '') AS h, coalesce(s.is_right, true) AS is_right
+            FROM placed p JOIN (SELECT DISTINCT tree, lvl FROM nodes WHERE cnt > 1) n ON n.tree = p.tree
+            LEFT JOIN steps s ON s.tree = p.tree AND s.leaf_pos = p.pos AND s.lvl = n.lvl
+            UNION ALL
+            SELECT p.tree, p.pos, 1000 + n.lvl, coalesce(s.h, ''), coalesce(s.is_right, true)
+            FROM placed p CROSS JOIN (SELECT DISTINCT lvl FROM tops WHERE cnt > 1) n
+            LEFT JOIN steps s ON s.tree = p.tree AND s.leaf_pos = p.pos AND s.lvl = 1000 + n.lvl
+        ),
+        proofs AS (
+            SELECT tree, leaf_pos, sha256(string_agg(h, '' ORDER BY lvl)) AS proof_sha256,
+                   list(struct_pack(h := h, is_right := is_right) ORDER BY lvl) AS path
+            FROM climbed GROUP BY tree, leaf_pos
+        ),
+        folded AS (
+            SELECT p.*, coalesce(f.proof_sha256, sha256('')) AS proof_sha256,
+                   list_reduce(list_prepend(struct_pack(h := p.now, is_right := true), coalesce(f.path, [])),
+                               lambda a, s: struct_pack(h := sha256(CASE WHEN s.is_right THEN a.h || s.h ELSE s.h || a.h END), is_right := true)).h AS folded_root
+            FROM placed p LEFT JOIN proofs f ON f.tree = p.tree AND f.leaf_pos = p.pos
+        )
+        SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE cnt = 1) AS root, proof_sha256, folded_root,
+               folded_root = (SELECT h FROM tops WHERE cnt = 1) AS verified
+        FROM folded JOIN subroots USING (tree)
+    """,
     "op2_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
