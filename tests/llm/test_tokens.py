@@ -21,12 +21,21 @@ texts = st.lists(st.sampled_from(_BITS), max_size=60).map("".join)
 def encoders():
     out = []
     for path, _ in TOKENIZERS:
-        plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = True
-        out.append((TextEncoder(path), plain))
+        out.append((TextEncoder(path), Tokenizer.from_file(path)))
     return out
 
 
+def test_fixed_examples(encoders):
+    """Letters that fold to a letter and a mark, before everything; strings of special tokens, in both cases."""
+    batch = [f"{head}{mark}{tail}" for head in ("İ", "xİ", "İİ", "é", "ǰ") for mark in ",.\n!?;:-'" for tail in ("", "y", " y", "\n")]
+    batch += ["x<|endoftext|>y", "<|ENDOFTEXT|>.", "a <|startoftext|>, b", "<|endoftext|>\nİ."]
+    for encoder, plain in encoders:
+        want = [plain.encode(t, add_special_tokens=False).ids for t in batch]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(batch)] == want
+    assert np.frombuffer(encoders[1][0].encode(["İ."])[0], "<u4").tolist() == [328, 136, 229, 269]
+    assert 50256 in np.frombuffer(encoders[0][0].encode(["x<|endoftext|>y"])[0], "<u4").tolist()
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(texts, max_size=6))
 def test_pieces_give_the_ids_of_the_whole_text(encoders, batch):

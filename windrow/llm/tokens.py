@@ -31,9 +31,9 @@ class _Pieces(dict):
             ids = self.older[piece]
         elif (word := self.encoder.word(piece, self.blank)) is not None:
             ids = word
-        elif not piece or piece[0].isspace() or piece[-1].isspace():
+        elif not piece or piece[0].isspace() or piece[-1].isspace() or self.encoder.has_special(piece):
             ids = None
-        elif piece[-1] in self.mark and piece[-2:-1].isalpha() and piece[-2:-1] < _LATIN_END:
+        elif piece[-1] in self.mark and self.encoder.ends_in_letter(piece[:-1]):
             ids = self._joined(self[piece[:-1]], piece[-1], b"")
         elif piece.count("\n") == 1:
             head, tail = piece.split("\n")
@@ -69,8 +69,8 @@ class TextEncoder:
 
         self.max_pieces = max_pieces or self.MAX_PIECES
         self.tokenizer = Tokenizer.from_file(path)
-        # the strings of special tokens inside a text are ordinary text
-        self.tokenizer.encode_special_tokens = True
+        # texts that hold the string of a special token go through the library whole
+        self.specials = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         # one kind keeps case and marks the blank before a word, the other folds case and marks the end of a word
         self.folds = self.tokenizer.normalizer is not None
@@ -97,6 +97,15 @@ class TextEncoder:
             piece = _BLANK + piece
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
+    def ends_in_letter(self, head: str) -> bool:
+        """Whether the last character that the tokenizer sees of ``head`` is a Latin letter; folding may add a mark to it."""
+        last = (head.lower() if self.folds else head)[-1:]
+        return last.isalpha() and last < _LATIN_END
+
+    def has_special(self, piece: str) -> bool:
+        low = piece.lower()
+        return any(s in low for s in self.specials)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
