@@ -73,7 +73,7 @@ def test_simple8b_is_small():
 
 def expected(path, end_id, rows):
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    
     return [(r[0], [*plain.encode(r[1] or "", add_special_tokens=False).ids, end_id]) for r in rows]
 
 

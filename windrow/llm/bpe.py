@@ -33,22 +33,26 @@ from windrow.llm.common import text_of
 #: Texts above so many characters are cut by the pattern step by step.
 LONG_TEXT = 1 << 20
 _STEP = 100_000
-#: Remembered pieces and pairs; beyond that they are forgotten and found anew.
-MAX_PIECES, MAX_PAIRS = 300_000, 1_000_000
+#: Remembered pieces and pairs; beyond that those not asked for lately are forgotten and found anew.
+MAX_PIECES, MAX_PAIRS = 400_000, 400_000
 _NEVER = 1 << 62
 
 
 class _Remembered(dict):
-    """Answers of ``find`` by key, at most ``most`` of them."""
+    """Answers of ``find`` by key: the last ``most`` asked for, and up to as many that were asked for before them."""
 
     def __init__(self, find, most: int):
         super().__init__()
-        self.find, self.most = find, most
+        self.find, self.most, self.older = find, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.find(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        self[key] = value
         return value
 
 
@@ -62,6 +66,7 @@ class RankedBPE:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.digits_of = {i: str(i) for i in self.bytes_of}
+        self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for raw, i in ranks.items():
@@ -91,14 +96,14 @@ class RankedBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return self.ranks[parts[0]], self.ranks[parts[1]]
 
-    def _shorter(self, token: int) -> int | None:
-        """The longest token that is a proper prefix of ``token``."""
+    def _shorter(self, token: int) -> int:
+        """The longest token that is a proper prefix of ``token``; -1 if there is none."""
         raw = self.bytes_of[token]
         for n in range(len(raw) - 1, 0, -1):
             found = self.ranks.get(raw[:n])
             if found is not None:
                 return found
-        return None
+        return -1
 
     def _edges(self, token: int) -> tuple[list, list]:
         """What lies at the left and at the right end of ``token`` while it is made: (bytes, from which turn, to which)."""
@@ -132,39 +137,36 @@ class RankedBPE:
 
     def longest(self, raw: bytes) -> list[int]:
         """The longest token that starts at each place."""
-        out = [0] * len(raw)
-        lengths = self.bytes_of
+        out, size_of = [0] * (len(raw) + 1), self.size_of
         for end, token in self.automaton.iter(raw.decode("latin-1")):
-            # matches come by their ends, so a longer one from the same place comes later; none may be without halves
-            self.halves[token]
-            out[end + 1 - len(lengths[token])] = token
+            # matches come by their ends, so a longer one from the same place comes later
+            out[end + 1 - size_of[token]] = token
         return out
 
     def encode_bytes(self, raw: bytes) -> list[int]:
         """The ids that merging gives, without merging."""
         if not raw:
             return []
-        starts = self.longest(raw)
-        dead = bytearray(len(raw) + 1)
+        starts, size_of, compatible = self.longest(raw), self.size_of, self.compatible
+        dead: set[int] = set()
+        token, last, at, n = starts[0], None, 0, len(raw)
         out: list[int] = []
-        at, token = 0, starts[0]
         while True:
-            while token is not None:
-                end = at + len(self.bytes_of[token])
-                if not dead[end] and (not out or self.compatible[out[-1], token]):
-                    break
-                token = self.shorter[token]
-            if token is None:
-                dead[at] = 1
-                last = out.pop()
-                at -= len(self.bytes_of[last])
-                token = self.shorter[last]
+            end = at + size_of[token]
+            if end not in dead and (last is None or compatible[last, token]):
+                out.append(token)
+                if end == n:
+                    return out
+                at, last, token = end, token, starts[end]
                 continue
-            out.append(token)
-            at = end
-            if at == len(raw):
-                return out
-            token = starts[at]
+            token = self.shorter[token]
+            while token < 0:
+                # nothing goes on from here: one token back, and a shorter one in its place
+                dead.add(at)
+                token = out.pop()
+                at -= size_of[token]
+                token = self.shorter[token]
+                last = out[-1] if out else None
 
     def encode_parts(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, in one list or, of a very long text, in several."""
