@@ -260,9 +260,9 @@ def test_fold_holds_infinity():
             self.value = value
 
     state = State()
-    pdf = pd.DataFrame({"id": [2, 1, 0], "value": [1.0, math.inf, 1.0]})
-    out = list(fold_windows(3, "k", ["id"], "value")(("a",), [pdf], state))[0]
-    assert math.isnan(out["average"][0]) and state.value == (1, [])
+    pdf = pd.DataFrame({"id": [2, 1, 0], "value": [1.0, math.inf, 1.0], "null": [False] * 3})
+    out = list(fold_windows(3, "k", ["id"], "value", "null")(("a",), [pdf], state))[0]
+    assert math.isnan(out["average"][0]) and out["is_nan"][0] and state.value == (1, [])
 
 
 BAD = "zz"

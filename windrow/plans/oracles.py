@@ -281,3 +281,6 @@ SQL["admit_quota_stream"] = SQL["admit_quota"]
 SQL["schedule_quota_stream"] = SQL["schedule_quota"]
 SQL["hits_per_target_stream"] = SQL["hits_per_target"]
 SQL["device_stream_all_windows"] = SQL["device_window_avg"]
+SQL["device_stream_every_window"] = f"""
+    {_WIND}, {_windows('windSpeed_valid', key='deviceId')}
+    SELECT "deviceId", "window", "rows", average, last_pos FROM windows"""

@@ -37,7 +37,7 @@ from windrow.streaming.positions import (
     stream_demand_batches,
     stream_schedule_quota,
 )
-from windrow.streaming.windows import read_windows, stream_count_windows, stream_windows_per_key
+from windrow.streaming.windows import open_windows, read_windows, stream_count_windows, stream_windows_per_key
 
 HOUR_MS = 3_600_000
 HOURLY_QUOTA = 10
@@ -533,12 +533,22 @@ def device_stream_all_windows(spark, sf_dir):
     return read_windows(spark, out, checkpoint).drop("last_pos")
 
 
-def device_stream_window_avg(spark, sf_dir):
-    """Full windows per device; open ones stay in the state."""
-    source, out, checkpoint = _folders(spark, "device-windows")
+def _device_windows_on_store(spark, sf_dir, label):
+    source, out, checkpoint = _folders(spark, label)
     wind = _valid_of(spark, sf_dir, "windSpeed")
     for _ in _in_thirds(wind, source):
         stream = topic_source(spark, source, wind.schema, batch_limit=1_000)
         windows = stream_windows_per_key(stream, key="deviceId", order_by=EVENT_ORDER)
         topic_sink(windows, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).drop("last_pos")
+    return spark.read.parquet(out), checkpoint
+
+
+def device_stream_window_avg(spark, sf_dir):
+    """Full windows per device; open ones stay in the state."""
+    return _device_windows_on_store(spark, sf_dir, "device-windows")[0].drop("last_pos")
+
+
+def device_stream_every_window(spark, sf_dir):
+    """All windows of the same stream, stopped and started twice: the full ones, and the open ones out of the state store."""
+    full, checkpoint = _device_windows_on_store(spark, sf_dir, "device-every-window")
+    return full.unionByName(open_windows(spark, checkpoint, key="deviceId"))

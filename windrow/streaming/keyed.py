@@ -10,29 +10,37 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def fold_windows(n, key, order_by, value):
-    """Function that emits the windows filled by a batch and holds back the rest."""
+def fold_windows(n, key, order_by, value, missing):
+    """Function that emits the windows filled by a batch and holds back the rest.
+
+    ``missing`` is the column that tells a NULL value from NaN. A window with a NULL has a NULL average. As NaN
+    and NULL look alike in a result, ``is_nan`` tells one average from the other.
+    """
 
     def fold(group, batches, state):
         window, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
         rows = pd.concat(list(batches)).sort_values(order_by, kind="stable", na_position="first")
-        values = np.concatenate([np.asarray(held, float), rows[value].to_numpy(float)])
+        null = np.concatenate([np.array([v is None for v in held], bool), rows[missing].to_numpy(bool)])
+        values = np.concatenate([np.array([0.0 if v is None else v for v in held]), rows[value].to_numpy(float)])
         full = len(values) // n
         mean = np.zeros(full)
         with np.errstate(invalid="ignore"):  # an infinity makes the mean NaN
             for i, column in enumerate(values[: full * n].reshape(full, n).T, 1):
                 mean = mean + (column - mean) / i
-        state.update((window + full, [float(v) for v in values[full * n :]]))
+        rest = zip(values[full * n :], null[full * n :])
+        state.update((window + full, [None if z else float(v) for v, z in rest]))
         if not full:
             return
         number = window + np.arange(full)
+        empty = null[: full * n].reshape(full, n).any(axis=1)
         yield pd.DataFrame(
             {
                 key: [group[0]] * full,
                 "window": number,
                 "rows": np.full(full, n),
-                "average": mean,
+                "average": np.where(empty, np.nan, mean),
                 "last_pos": number * n + n - 1,
+                "is_nan": np.isnan(mean) & ~empty,
             }
         )
 

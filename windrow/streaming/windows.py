@@ -146,9 +146,11 @@ def stream_windows_per_key(
 
     For very many keys and batches that the source limits (``batch_limit`` of ``topic_source``): the
     rows of a key in one micro-batch are sorted in one task. Where one key may have very many rows
-    in a batch, use ``stream_count_windows`` with ``key``. The result is a stream of full windows.
+    in a batch, use ``stream_count_windows`` with ``key``. The result is a stream of full windows; those that are
+    still open when the stream has ended are in ``open_windows``.
     """
-    slim = df.select(key, *[c for c in order_by if c != key], value)
+    missing = "_missing"
+    slim = df.select(*dict.fromkeys([key, *order_by, value]), F.col(value).isNull().alias(missing))
     key_field = T.StructField(key, df.schema[key].dataType)
     output = T.StructType(
         [
@@ -157,12 +159,43 @@ def stream_windows_per_key(
             T.StructField("rows", T.LongType()),
             T.StructField("average", T.DoubleType()),
             T.StructField("last_pos", T.LongType()),
+            T.StructField("is_nan", T.BooleanType()),
         ]
     )
-    return slim.groupBy(key).applyInPandasWithState(
-        fold_windows(n, key, list(order_by), value),
+    windows = slim.groupBy(key).applyInPandasWithState(
+        fold_windows(n, key, list(order_by), value, missing),
         output,
         "window bigint, held array<double>",
         "append",
         "NoTimeout",
     )
+    average = F.when(F.col("is_nan"), F.lit(float("nan"))).otherwise(F.col("average"))
+    return windows.withColumn("average", average).drop("is_nan")
+
+
+def open_windows(
+    spark: SparkSession, checkpoint: str, n: int = 5, *, key: str, batch_id: int | None = None
+) -> DataFrame:
+    """The windows per key that ``stream_windows_per_key`` holds back: fewer than ``n`` rows each.
+
+    Read from the state store of the stopped or running query with this checkpoint, as the last batch
+    that was committed left it (or ``batch_id``, for as long as the store keeps it). Together with the full
+    windows of the same batches they are ``count_windows`` with partial groups. No job of the query
+    is run again and its state is not changed, so that it can go on later.
+    """
+    states = spark.read.format("statestore")
+    if batch_id is not None:
+        states = states.option("batchId", batch_id)
+    held = F.col("value.groupState.held")
+    kept = states.load(checkpoint).filter(F.size(held) > 0)
+    rows = F.size(held).cast("bigint")
+    window = F.col("value.groupState.window")
+    return average_of(
+        kept.select(
+            F.col(f"key.{key}").alias(key),
+            window.alias("window"),
+            rows.alias("rows"),
+            held.alias("values"),
+            (window * n + rows - 1).alias("last_pos"),
+        )
+    )
