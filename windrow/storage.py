@@ -5,6 +5,7 @@ import threading
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir = None
@@ -110,6 +111,21 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a file to a name that nobody has taken; False, and nothing is moved, if it is there already."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    paths = [fs.Path(p) for p in (source, target)]
+    context = fs.FileContext.getFileContext(paths[1].toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
+    try:
+        context.rename(*paths, options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def write_part(df: DataFrame, path: str, name: str) -> None:
     """Add ``df`` to the Parquet files in the folder ``path``, in place of what was added under ``name`` before.
 
