@@ -1,0 +1,25 @@
+"""Ingest by records: every payload in a micro-batch of its own number, readings and rejects, over restarts."""
+
+from pyspark.sql import functions as F
+
+from windrow.operators.codecs import encode_avro
+from windrow.sources.tables import EVENT_ORDER, sensor_from_events
+from windrow.streaming.commit_log import publish, published
+from windrow.streaming.pipeline import ingest_records, rejects_of
+
+
+def test_ingest_by_records(spark, sf_dir, tmp_path):
+    topic, out, checkpoint = (str(tmp_path / p) for p in ("topic", "out", "checkpoint"))
+    bad = F.when(F.col("event_id") % 10 == 3, F.lit("zz").cast("binary")).otherwise(F.col("payload"))
+    payloads = encode_avro(sensor_from_events(spark, sf_dir)).withColumn("payload", bad).filter("event_id < 300")
+    total = payloads.count()
+    for k, (low, high) in enumerate([(0, 100), (100, 245), (245, 300)]):
+        publish(payloads.filter(F.col("event_id").between(low, high - 1)).sort(*EVENT_ORDER), topic, k)
+        ingest_records(spark, topic, payloads.schema, out=out, checkpoint=checkpoint, records=37, ended=k == 2)
+    kept, rejects = published(spark, out), published(spark, rejects_of(out))
+    assert kept.count() == payloads.filter("event_id % 10 <> 3").count() and kept.count() + rejects.count() == total
+    assert {r["fault"] for r in rejects.select("fault").distinct().collect()} == {"truncated or malformed body"}
+    places = kept.select("place", "event_id").unionByName(rejects.select("place", "event_id"))
+    assert sorted((r["place"], r["event_id"]) for r in places.collect()) == [(i, i) for i in range(total)]
+    sizes = {r["k"]: r["count"] for r in places.groupBy(F.expr("place div 37").alias("k")).count().collect()}
+    assert sizes == {k: min(37, total - 37 * k) for k in range(-(-total // 37))}

@@ -284,3 +284,8 @@ SQL["device_stream_all_windows"] = SQL["device_window_avg"]
 SQL["device_stream_every_window"] = f"""
     {_WIND}, {_windows('windSpeed_valid', key='deviceId')}
     SELECT "deviceId", "window", "rows", average, last_pos FROM windows"""
+SQL["demand_ingest_stream"] = f"""
+    WITH {_AVRO}
+    SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 999 AS batch, coalesce(fault, 'kept') AS outcome
+    FROM judged"""
+SQL["followed_topic_stream"] = f"WITH {_FLOW} SELECT {_FLAT} FROM checked WHERE is_valid"

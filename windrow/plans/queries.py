@@ -29,6 +29,7 @@ from windrow.sources.tables import (
 )
 from windrow.sources.topics import record_lines, topic_source, topic_table
 from windrow.storage import new_path
+from windrow.streaming import commit_log
 from windrow.streaming import pipeline as stream_pipeline
 from windrow.streaming.admission import stream_admit_quota
 from windrow.streaming.positions import (
@@ -41,6 +42,8 @@ from windrow.streaming.windows import open_windows, read_windows, stream_count_w
 
 HOUR_MS = 3_600_000
 HOURLY_QUOTA = 10
+# Payloads per micro-batch.
+DEMAND = 999
 PORTS = [7000, 7001, 7002]
 
 
@@ -388,13 +391,20 @@ def pipeline_averages(spark, sf_dir):
 
 def _in_thirds(df: DataFrame, path: str):
     """Append ``df`` to a topic in three parts by time, pausing after each."""
+    for part in _thirds(df):
+        part.write.mode("append").parquet(path)
+        yield
+
+
+def _thirds(df: DataFrame):
+    """``df`` in three parts by time; rows without a time are in the last."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     low, high = df.agg(F.min(micros), F.max(micros)).first()
     low, high = low or 0, high or 0
     edges = [low, low + (high - low) // 3, low + 2 * (high - low) // 3, high + 1]
     for start, end in zip(edges, edges[1:]):
-        df.filter((micros >= start) & (micros < end)).write.mode("append").parquet(path)
-        yield
+        part = (micros >= start) & (micros < end)
+        yield df.filter(part if end < edges[-1] else part | micros.isNull())
 
 
 def _folders(spark, label):
@@ -434,6 +444,38 @@ def limited_ingest_counts(spark, sf_dir):
     return outcomes.groupBy("outcome").agg(F.count("*").alias("payloads"))
 
 
+def demand_ingest_stream(spark, sf_dir):
+    """What became of each payload, in micro-batches of exactly so many records while the topic grows."""
+    topic, out, checkpoint = _folders(spark, "demand-ingest")
+    payloads = _avro_payloads(spark, sf_dir)
+    for k, part in enumerate(_thirds(payloads)):
+        # the files of a sorted batch are in its order
+        commit_log.publish(part.sort(*EVENT_ORDER), topic, k)
+        stream_pipeline.ingest_records(
+            spark, topic, payloads.schema, out=out, checkpoint=checkpoint, records=DEMAND, ended=k == 2
+        )
+    kept = commit_log.published(spark, out).select("event_id", "place", F.lit("kept").alias("outcome"))
+    rejects = commit_log.published(spark, stream_pipeline.rejects_of(out))
+    outcomes = kept.unionByName(rejects.select("event_id", "place", F.col("fault").alias("outcome")))
+    return outcomes.select("event_id", F.expr(f"place div {DEMAND}").alias("batch"), "outcome")
+
+
+def followed_topic_stream(spark, sf_dir):
+    """What a second stream read from the valid topic of the dataflow while it was written, and published on."""
+    source, out, checkpoint = _folders(spark, "followed")
+    payloads = _avro_payloads(spark, sf_dir)
+    seen = new_path(spark, "followed-seen")
+    for _ in _in_thirds(payloads, source):
+        stream = topic_source(spark, source, payloads.schema)
+        stream_pipeline.run_stream(stream, out=out, checkpoint=checkpoint, order_by=EVENT_ORDER)
+        topic = f"{out}/{pipeline.VALID}"
+        schema = commit_log.published(spark, topic).schema
+        commit_log.follow(
+            spark, topic, schema, lambda rows, k: commit_log.publish(rows, seen, k), checkpoint=f"{checkpoint}-second", batch_limit=1
+        ).awaitTermination()
+    return _flat_metrics(commit_log.published(spark, seen))
+
+
 def _run_in_thirds(spark, sf_dir, label, materialize):
     source, out, checkpoint = _folders(spark, label)
     payloads = _avro_payloads(spark, sf_dir)
@@ -452,7 +494,7 @@ def fanout_stream(spark, sf_dir):
     """What each consumer of the valid topic saw."""
     out, _ = _run_in_thirds(spark, sf_dir, "fanout", False)
     seen = [
-        _flat_metrics(spark.read.parquet(f"{out}/{topic}")).withColumn("topic", F.lit(topic))
+        _flat_metrics(stream_pipeline.read_topic(spark, out, topic)).withColumn("topic", F.lit(topic))
         for topic in (pipeline.VALID, pipeline.ROTOR)
     ]
     return reduce(DataFrame.unionByName, seen)

@@ -64,14 +64,15 @@ def publish_stream(df: DataFrame, topic: str, *, checkpoint: str, writer: str =
     return sink.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _rows_of(spark: SparkSession, topic: str, schema: T.StructType, attempts: list[str]) -> DataFrame:
+def _rows_of(spark: SparkSession, topic: str, schema: T.StructType | None, attempts: list[str]) -> DataFrame:
     if not attempts:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{topic}/data/{a}" for a in sorted(attempts)])
+        return spark.createDataFrame([], schema or T.StructType([]))
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(*[f"{topic}/data/{a}" for a in sorted(attempts)])
 
 
-def published(spark: SparkSession, topic: str, schema: T.StructType) -> DataFrame:
-    """All rows of a topic. The driver lists one name per batch."""
+def published(spark: SparkSession, topic: str, schema: T.StructType | None = None) -> DataFrame:
+    """All rows of a topic; without ``schema`` its files tell it. The driver lists one name per batch."""
     entries = spark.read.schema(_ENTRY).json(f"{topic}/log")
     return _rows_of(spark, topic, schema, [r["attempt"] for r in entries.select("attempt").collect()])
 

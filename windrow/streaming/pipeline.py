@@ -22,10 +22,13 @@ from windrow.schemas import SENSOR_DATA
 from windrow.sinks.topics import topic_sink
 from windrow.sources.topics import topic_source
 from windrow.storage import has_child, make_dir, write_part
+from windrow.streaming.commit_log import follow_records, last_records, publish, published
 from windrow.streaming.windows import read_windows, stream_count_windows, window_batch
 
 AVERAGES = "averages"
 REJECTS = "rejects"
+# Who writes the topics of a fused run.
+PIPELINE = "pipeline"
 
 
 def ingest_stream(
@@ -63,6 +66,40 @@ def ingest_stream(
     return writer.trigger(availableNow=True).start()
 
 
+def ingest_records(
+    spark: SparkSession,
+    topic: str,
+    schema: T.StructType,
+    *,
+    out: str,
+    checkpoint: str,
+    records: int = 5,
+    ingress: str = "stream",
+    col: str = "payload",
+    record: T.StructType = SENSOR_DATA,
+    ended: bool = False,
+) -> None:
+    """Decode a topic with a commit log, ``records`` payloads at a time, into two such topics.
+
+    Takes what is there now and returns. Micro-batch ``k`` holds payloads ``k * records`` and on, and becomes
+    batch ``k`` of the readings in ``out`` and of the rejects in ``rejects_of(out)``; both keep the payload's ``place``.
+    Payloads that do not fill a micro-batch wait for the next call, unless the topic has ``ended``.
+    """
+
+    def work(payloads: DataFrame, k: int) -> None:
+        tagged = tag_payloads(payloads, ingress, col, record).persist()
+        try:
+            readings, rejects = split_decoded(tagged, col)
+            publish(readings, out, k)
+            publish(rejects, rejects_of(out), k)
+        finally:
+            tagged.unpersist()
+
+    follow_records(spark, topic, schema, work, records, checkpoint=checkpoint).awaitTermination()
+    if ended:
+        last_records(spark, schema, work, records, checkpoint=checkpoint)
+
+
 def rejects_of(out: str) -> str:
     """Where ``ingest_stream`` puts what it cannot decode: beside the topic, with a column ``batch``."""
     return f"{out.rstrip('/')}-{REJECTS}"
@@ -85,7 +122,7 @@ def _fused(ingress: str, out: str, checkpoint: str, order_by: list[str], n: int,
             }
 
             def write(name: str) -> None:
-                topics[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+                publish(topics[name], f"{out}/{name}", batch_id, PIPELINE)
 
             # side by side, so that the tail of one write does not hold up the next
             with ThreadPoolExecutor(len(topics)) as pool:
@@ -118,8 +155,8 @@ def run_stream(
 ) -> list:
     """Run the dataflow on a stream; returns its queries.
 
-    Fused (the default): one query decodes each micro-batch once and writes every topic to
-    ``out/<topic>/batch=<id>``. With ``materialize``, each step is a query of its own that reads the
+    Fused (the default): one query decodes each micro-batch once and publishes it in every topic,
+    ``out/<topic>``, whose commit log others may follow meanwhile; see ``read_topic``. With ``materialize``, each step is a query of its own that reads the
     topic before it, so that steps can be stopped and scaled apart.
 
     With the default trigger (all that is there now) the queries have ended when this returns.
@@ -171,6 +208,12 @@ def run_stream(
     return queries
 
 
+def read_topic(spark: SparkSession, out: str, name: str, *, materialize: bool = False) -> DataFrame:
+    """What a run has written to a topic so far."""
+    path = f"{out}/{name}"
+    return spark.read.parquet(path) if materialize else published(spark, path)
+
+
 def averages(
     spark: SparkSession,
     out: str,
