@@ -1,0 +1,70 @@
+"""Quota by queue depth: the scan in blocks gives what a loop gives."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from windrow.operators.quota import admit_quota
+from windrow.operators.queue_depth import queue_depths
+
+
+def loop(counts, quota, drain):
+    depth, before, out = 0, None, {}
+    for window, arrivals in sorted(counts):
+        for _ in range(0 if before is None else window - before - 1):
+            if not depth:
+                break
+            depth = max(0, depth - drain)
+        out[window] = depth
+        depth = max(0, depth + min(arrivals, max(0, quota - depth)) - drain)
+        before = window
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 3, 50, 100_000])
+@pytest.mark.parametrize("quota, drain", [(50, 50), (50, 7), (10, 4), (5, 0), (3, 9), (0, 1)])
+def test_depths_against_a_loop(spark, block, quota, drain):
+    rng = random.Random(block * 100 + quota + drain)
+    windows = rng.sample(range(-40, 300), 120) + [10**9, 10**12]
+    counts = [(w, rng.choice([1, 2, 5, 20, 400])) for w in windows]
+    table = spark.createDataFrame(counts, "window long, arrivals long").repartition(3)
+    got = {r["window"]: r["depth"] for r in queue_depths(table, quota, drain, block).collect()}
+    assert got == loop(counts, quota, drain)
+
+
+def arrivals(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice([500, 2_500, 2_501, 9_999, 14_000, rng.randrange(60_000)])) for i in range(900)]
+    rows += [(1000 + i, None) for i in range(7)]
+    stamped = spark.createDataFrame(rows, "id long, ms long")
+    return rows, stamped.withColumn("timestamp", F.timestamp_millis("ms"))
+
+
+def test_admitted_against_a_loop(spark):
+    rows, df = arrivals(spark)
+    turns, counts = {}, {}
+    for i, ms in rows:
+        window = None if ms is None else ms // 1000
+        turns[i] = (window, counts.get(window, 0))
+        counts[window] = counts.get(window, 0) + 1
+    depths = loop([(w, n) for w, n in counts.items() if w is not None], 20, 6)
+    want = {i: (depths.get(w, 0), turn < 20 - depths.get(w, 0)) for i, (w, turn) in turns.items()}
+    got = admit_quota(df, 1000, 20, order_by=["id"], drain=6, block_windows=4)
+    assert {r["id"]: (r["depth"], r["admitted"]) for r in got.collect()} == want
+    assert set(got.columns) == {*df.columns, "window", "depth", "admitted"}
+
+
+def test_drain_at_once(spark):
+    """What is done by the next window stands in no queue."""
+    _, df = arrivals(spark)
+    plain = admit_quota(df, 1000, 20, order_by=["id"])
+    queued = admit_quota(df, 1000, 20, order_by=["id"], drain=20)
+    assert queued.agg(F.max("depth")).first()[0] == 0
+    assert sorted(map(tuple, queued.select("id", "admitted").collect())) == sorted(map(tuple, plain.select("id", "admitted").collect()))
+
+
+def test_no_rows(spark):
+    _, df = arrivals(spark)
+    assert admit_quota(df.limit(0), 1000, 20, order_by=["id"], drain=6).count() == 0
+    assert admit_quota(df.filter("ms IS NULL"), 1000, 5, order_by=["id"], drain=1).filter("admitted").count() == 5

@@ -1,6 +1,7 @@
 """At most ``quota`` rows per time window: who gets in at once, and when the others do.
 
-Every window grants the full quota: rows that got in are done by the next window.
+Every window grants the full quota if rows that got in are done by the next window. If only ``drain`` of them are,
+the others stand in a queue, and the window grants what its depth leaves of the quota.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql.window import Window
 
 from windrow.functions.integers import floor_div
 from windrow.operators.positions import HOT_ROWS, rank_within, with_position
+from windrow.operators.queue_depth import BLOCK_WINDOWS, queue_depths
+from windrow.storage import materialize
 
 # Rows granted per window, and the length of a window.
 QUOTA = 50
@@ -17,6 +20,9 @@ WINDOW_MS = 1000
 # Rows are looked at in blocks of this many positions.
 BLOCK_ROWS = 1_000_000
 
+# A table of so many windows (two numbers each) is broadcast to the rows.
+_FEW_WINDOWS = 200_000
+
 
 def window_index(time: str, window_ms: int) -> Column:
     """Number of the window a time falls into, counted from the epoch."""
@@ -30,12 +36,27 @@ def admit_quota(
     *,
     time: str = "timestamp",
     order_by: list[str],
+    drain: int | None = None,
     hot_rows: int = HOT_ROWS,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """Flag the first ``quota`` rows of each window as admitted; the rest is kept, not admitted."""
+    """Flag the first rows of each window as admitted, as many as it grants; the rest is kept, not admitted.
+
+    A window grants ``quota`` rows. With ``drain`` it grants ``quota - depth``, where ``depth`` (a column of its own then)
+    counts the rows admitted before that are not done yet: ``drain`` are done by the end of each window, empty ones too. Rows
+    without a time are a group of their own, with nothing before them.
+    """
     numbered = df.withColumn("window", window_index(time, window_ms))
+    if drain is None:
+        ranked = rank_within(numbered, ["window"], order_by, "_rank", hot_rows)
+        return ranked.withColumn("admitted", F.col("_rank") < quota).drop("_rank")
+    numbered = materialize(numbered, "windowed")
+    depths = queue_depths(numbered.groupBy("window").agg(F.count("*").alias("arrivals")), quota, drain, block_windows)
+    depths = materialize(depths.withColumnRenamed("window", "_window"), "depths")
+    side = F.broadcast(depths) if depths.count() <= _FEW_WINDOWS else depths
     ranked = rank_within(numbered, ["window"], order_by, "_rank", hot_rows)
-    return ranked.withColumn("admitted", F.col("_rank") < quota).drop("_rank")
+    known = ranked.join(side, F.col("window") == F.col("_window"), "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("long")))
+    return known.withColumn("admitted", F.col("_rank") < quota - F.col("depth")).drop("_rank", "_window")
 
 
 def _lowest_by_block(placed: DataFrame, quota: int, block_rows: int) -> DataFrame:

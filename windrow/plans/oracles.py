@@ -289,3 +289,16 @@ SQL["demand_ingest_stream"] = f"""
     SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 999 AS batch, coalesce(fault, 'kept') AS outcome
     FROM judged"""
 SQL["followed_topic_stream"] = f"WITH {_FLOW} SELECT {_FLAT} FROM checked WHERE is_valid"
+SQL["admit_quota_queue"] = f"""
+    WITH RECURSIVE r AS (
+      SELECT event_id, {_HOUR} AS "window",
+             row_number() OVER (PARTITION BY {_HOUR} ORDER BY ts, event_id) - 1 AS turn
+      FROM events),
+    counts AS (SELECT "window", count(*) AS n, row_number() OVER (ORDER BY "window") AS i FROM r GROUP BY "window"),
+    depths AS (
+      SELECT i, "window", n, CAST(0 AS BIGINT) AS depth FROM counts WHERE i = 1
+      UNION ALL
+      SELECT c.i, c."window", c.n,
+             greatest(0, greatest(0, d.depth + least(d.n, greatest(0, 10 - d.depth)) - 4) - 4 * (c."window" - d."window" - 1))
+      FROM depths d JOIN counts c ON c.i = d.i + 1)
+    SELECT event_id, "window", depth, turn < 10 - depth AS admitted FROM r JOIN depths USING ("window")"""

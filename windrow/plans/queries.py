@@ -42,6 +42,7 @@ from windrow.streaming.windows import open_windows, read_windows, stream_count_w
 
 HOUR_MS = 3_600_000
 HOURLY_QUOTA = 10
+HOURLY_DRAIN = 4
 # Payloads per micro-batch.
 DEMAND = 999
 PORTS = [7000, 7001, 7002]
@@ -328,6 +329,12 @@ def quota_admitted(spark, sf_dir):
     return flagged.select("event_id", "window", "admitted")
 
 
+def quota_with_queue(spark, sf_dir):
+    """Each hour grants what the queue leaves of its quota; so many rows of the queue are done in an hour."""
+    flagged = admit_quota(_arrivals(spark, sf_dir), HOUR_MS, HOURLY_QUOTA, order_by=EVENT_ORDER, drain=HOURLY_DRAIN)
+    return flagged.select("event_id", "window", "depth", "admitted")
+
+
 def quota_schedule(spark, sf_dir):
     timed = schedule_quota(_arrivals(spark, sf_dir), HOUR_MS, HOURLY_QUOTA, order_by=EVENT_ORDER)
     return timed.select("event_id", "window", "slot")
