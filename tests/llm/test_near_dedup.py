@@ -76,17 +76,79 @@ def test_edge_rows(clashing_docs, k):
     assert result(near_groups(clashing_docs, words=k)) == brute(edge_rows(), k)
 
 
-@pytest.mark.parametrize("rounds, block, chunk, few", [(3, 256, 256, 12), (1, 5, 3, 12), (0, 7, 4, 1)])
-def test_families(spark, monkeypatch, rounds, block, chunk, few):
-    """Hubs alone, blocks alone and both find the same groups."""
-    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", rounds)
+@pytest.mark.parametrize("few, chunk, block", [(8, 256, 256), (0, 3, 5), (1000, 4, 256)])
+def test_families(spark, monkeypatch, few, chunk, block):
+    """Pairs of what adds the same shingle, blocks of it, and both find the same groups."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     rows = family_rows()
     assert result(near_groups(spark.createDataFrame(rows, DOCS).repartition(5), words=4)) == brute(rows, 4)
 
 
+def star_rows(n, share):
+    """A text and copies of it with words changed in places of their own."""
+    rng = random.Random(n)
+    base = words(rng, 160)
+    return [(0, base, "en", "s", 0)] + [(i, edited(rng, base, rng.choice(share)), "en", "s", 0) for i in range(1, n)]
+
+
+@pytest.mark.parametrize("n, share", [(200, [3, 4]), (300, [3, 4, 8, 9, 10])])
+def test_star(spark, monkeypatch, n, share):
+    """Copies near one text, most of them not near each other, cost a few comparisons each."""
+    compared = []
+    real = near_dedup._compared
+
+    def counted(pairs, *rest):
+        pairs = near_dedup.materialize(pairs, "counted")
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_compared", counted)
+    rows = star_rows(n, share)
+    assert result(near_groups(spark.createDataFrame(rows, DOCS), words=4)) == brute(rows, 4)
+    assert sum(compared) <= 8 * n, compared
+
+
+def truncated_rows():
+    """Chains of texts that only lose words, where the link is by what both lack; and two that add the same."""
+    rng = random.Random(11)
+    base = words(rng, 200).split(" ")
+    texts = [base, base[20:], base[20:] + words(rng, 26).split(" "), base[40:], base[60:], base[:170], base[:140], base[15:185]]
+    more = words(rng, 60).split(" ")
+    texts += [base + more, base + more[:55], base[30:] + more, base[5:] + words(rng, 60).split(" ")]
+    return [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+
+
+def test_truncated(spark):
+    rows = truncated_rows()
+    assert result(near_groups(spark.createDataFrame(rows, DOCS), words=4)) == brute(rows, 4)
+
+
+def test_what_a_hub_rules_out():
+    """The two ways to be linked past a hub are all there are: sets of numbers at random, all triples."""
+    rng, percent = random.Random(5), 80
+    linked = lambda x, y: 100 * len(x & y) >= percent * len(x | y)
+    past = 0
+    for _ in range(20_000):
+        hub = set(range(rng.randint(8, 30)))
+        x, y = ({e for e in hub if rng.random() < keep} | {100 + rng.randrange(12) for _ in range(rng.choice([0, 0, 1, 3, 6]))} for keep in (rng.random(), rng.random() ** 0.3))
+        if rng.random() < 0.6:
+            y = {e for e in x if rng.random() < 0.93} | {100 + rng.randrange(12) for _ in range(rng.choice([0, 0, 1, 2]))}
+        if not x or not y or not linked(x, y) or (linked(x, hub) and linked(y, hub)):
+            continue
+        least = lambda s: set(sorted(s - hub)[: len(s) * (100 - percent) // 100 + 1])
+        added = bool(least(x) & least(y))
+        smaller = any(
+            not linked(v, hub) and len(u) < len(hub)
+            and (100 + percent) * (len(hub) - max(len(hub - u), len(hub - v))) >= percent * (len(u) + len(v))
+            for u, v in ((x, y), (y, x))
+        )
+        past += smaller and not added
+        assert added or smaller
+    assert past > 20
+
+
 def test_rows_that_stay(spark, clashing_docs):
     stay = drop_near_copies(clashing_docs)
     assert stay.columns == clashing_docs.columns

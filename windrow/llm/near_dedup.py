@@ -2,16 +2,24 @@
 
 Two permutations make a whole signature: the first scatters the shingles over a circle of 2^32 places, the second
 orders the places, and coordinate i is the least under the second after turning the circle by i. Bands of ``ROWS`` coordinates
-make candidate buckets; a link at similarity 0.8 shares no bucket with a chance of 3 in a million, one at 0.9 of 10^-11.
+make candidate buckets; a link at similarity 0.8 shares no bucket with a chance of 5 in a million, one at 0.9 of 10^-13.
 
-Documents of equal shingle sets are one class from the start. In a bucket of classes not all pairs are compared:
+Documents of equal shingle sets are one class from the start. The classes of a bucket are not compared in pairs. Each is compared
+with a hub, the class that shares most bucket places with others: among the copies of one text this is the text itself. That
+links what is near the hub. For the rest, let C be the hub's set, and let each class be told by what it lacks of C and what
+it adds to C. Two classes of which one is not linked to the hub can only be linked if
 
-1. every class with one hub of its buckets, for a few rounds with other hubs, as long as they are apart;
-2. then, in buckets whose classes are still apart, all pairs across different components, in blocks of ``BLOCK``.
+* they share an added shingle; and then one of the least 20 % of each set, in the order of the hashes, among what they add, because
+  the other set must hold 80 % of each; or
+* one is smaller than C, and its size and what both lack leave room for the link: |x| + |y| <= 9/4 (|C| - what either lacks).
 
-A pair that is already in one component needs no comparison, so a bucket of thousands of near copies costs little more
-than its hubs, and no link between components is lost. Before texts are read, pairs are sorted out by the sizes of their
-sets and by the signature, at 4.5 standard errors below the threshold. Links are confirmed on the full sets.
+So only classes that add the same shingle meet again: few of them are paired, and of more the signatures are compared, block by
+block in the tasks, which hand on likely pairs only. As long as they are in one component nothing is compared at all. Copies that
+differ from a text in places of their own share nothing but the text, so a bucket of thousands of them costs a few comparisons
+each, linked or not. What stays quadratic is the comparison of signatures among copies of a text that is not there itself.
+
+A pair is sorted out by the sizes of the sets and by the signature, at 4.5 standard errors below the threshold, before
+texts are read. Links are confirmed on the full sets.
 
 Rows without words, or without a doc_id, are linked with nothing; the former have n_shingles 0, the latter component_id
 null, and both are kept. Rows that share a doc_id are one document: linked, and kept or dropped together.
@@ -24,22 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import attach, small, text_of
-from windrow.llm.shingles import by_bytes, common, mix64, shingle_sets
+from windrow.llm.shingles import by_bytes, mix64, shingle_sets
 from windrow.storage import intermediates, materialize
 
 #: Words in a shingle where nothing else is asked for, and percent of similarity.
 WORDS, PERCENT = 5, 80
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 40, 6
 #: Coordinates of a signature; the first ones make the bands, the low bytes of all tell pairs that can't be links.
 COORDINATES = 384
 #: Standard errors below the threshold where a link lies three times in a million.
 _SLACK = 4.5
-HUB_ROUNDS = 3
+#: Up to so many classes that add the same shingle are paired, more are compared in blocks.
+FEW = 8
 BLOCK = 256
-#: Buckets of up to so many classes are joined with themselves, larger ones are compared in blocks.
-FEW = 12
-#: Texts compared with one hub in one task.
-CHUNK = 256
+#: Texts, and shingles in them, compared with one hub in one task.
+CHUNK, CHUNK_SHINGLES = 256, 200_000
 
 U32 = np.uint32
 _SCATTER = np.uint64(0x5851F42D4C957F2D)
@@ -128,17 +135,23 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that are links, by the full sets of their texts. ``a`` is the side that many pairs may share."""
     with intermediates(docs.sparkSession) as scope:
-        return scope.keep(_compared(pairs, classes, docs, words, percent), "near-links")
+        found = _compared(pairs, classes, docs, words, percent, False)
+        return scope.keep(found.filter("linked").select("a", "b"), "near-links")
+
+
+_COMPARED = "a binary, b binary, linked boolean, n_a long, n_b long, lacks long, adds array<long>"
 
 
-def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    pairs = materialize(pairs, "near-pairs")
-    per_hub = pairs.groupBy("a").agg(F.count("*").alias("n_rows"))
-    chunks = per_hub.select("a", F.ceil(F.col("n_rows") / CHUNK).cast("int").alias("chunks"))
-    chunks = materialize(chunks, "near-chunks")
+def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, with_rest: bool) -> DataFrame:
+    """Each pair, whether it is a link, how much of ``a`` is not in ``b``, and (``with_rest``) the least of what ``b`` adds."""
+    sizes = classes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("size"))
+    pairs = materialize(pairs.join(sizes, "b"), "near-pairs")
+    per_hub = pairs.groupBy("a").agg(F.count("*").alias("n_rows"), F.sum("size").alias("size"))
+    chunks = F.ceil(F.greatest(F.col("n_rows") / CHUNK, F.col("size") / CHUNK_SHINGLES)).cast("int")
+    chunks = materialize(per_hub.select("a", chunks.alias("chunks")), "near-chunks")
     wide = chunks.filter("chunks > 1")
     dealt = (
-        pairs.join(small(wide, wide.count()), "a", "left")
+        pairs.drop("size").join(small(wide, wide.count()), "a", "left")
         .withColumn("chunk", F.pmod(F.hash("b"), F.coalesce("chunks", F.lit(1))))
         .drop("chunks")
     )
@@ -159,15 +172,19 @@ def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
             # of rows that share a doc_id only the one with the wanted set counts
             filled = [(c, s) for c, s in zip(group["cls"][i:j], found) if len(s)]
             sets |= {bytes(c): s for (c, s), key in zip(filled, set_keys([s for _, s in filled])) if bytes(c) == key}
-        hub = sets[bytes(a)]
-        links = []
+        hub = sets.pop(bytes(a))
+        out = []
         for c, s in sets.items():
-            both = common(hub, s)
-            if c != bytes(a) and 100 * both >= percent * (len(hub) + len(s) - both):
-                links.append(c)
-        return pd.DataFrame({"a": [bytes(a)] * len(links), "b": links}, dtype=object)
+            at = np.minimum(np.searchsorted(hub, s), len(hub) - 1)
+            new = hub[at] != s
+            both = len(s) - int(new.sum())
+            linked = 100 * both >= percent * (len(hub) + len(s) - both)
+            # the sets are sorted by hash, so these are the least
+            adds = s[new][: len(s) * (100 - percent) // 100 + 1].view(np.int64) if with_rest else []
+            out.append((bytes(a), c, linked, len(hub), len(s), len(hub) - both, adds))
+        return pd.DataFrame(out, columns=["a", "b", "linked", "n_a", "n_b", "lacks", "adds"]).astype({"a": object, "b": object, "adds": object})
 
-    return rows.groupBy("a", "chunk").applyInPandas(compare, "a binary, b binary")
+    return rows.groupBy("a", "chunk").applyInPandas(compare, _COMPARED)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,89 +207,127 @@ def components(links: DataFrame) -> DataFrame:
                 return scope.keep(labels, "near-components")
 
 
-def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Bucket rows with the component of their class."""
-    if links is None:
-        return rows.withColumn("label", F.col("cls"))
-    labels = components(links).withColumnRenamed("node", "cls")
-    return rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+def _labelled(rows: DataFrame, links: DataFrame, cls: str = "cls") -> DataFrame:
+    """Rows with the component of their class."""
+    labels = components(links).withColumnRenamed("node", cls)
+    return rows.join(small(labels, labels.count()), cls, "left").withColumn("label", F.coalesce("label", cls))
 
 
-def _class_links(classes: DataFrame, buckets: DataFrame, docs: DataFrame, given: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between classes, enough to connect what is connected; ``given`` are links known before."""
-    links = given
-    rows = buckets
-    for round_ in range(HUB_ROUNDS):
-        spread = _labelled(rows, links if round_ else None)
-        # the hub: the least class by an order that changes with the round
-        order = F.struct(F.xxhash64("cls", F.lit(round_)), "cls", "label")
-        hubs = spread.groupBy("bucket").agg(
-            F.min(order).alias("hub"), F.count("*").alias("n_rows"), F.min("label").alias("low"), F.max("label").alias("high")
-        )
-        hubs = hubs.filter("low <> high").select("bucket", F.col("hub.cls").alias("a"), F.col("hub.label").alias("hub_label"), "n_rows")
-        hubs = materialize(hubs, "near-hubs")
-        total = hubs.agg(F.sum("n_rows")).first()[0]
-        if total is None:
-            return links
-        rows = materialize(rows.join(small(hubs.select("bucket"), hubs.count()), "bucket", "left_semi"), "near-rows")
-        pairs = attach(_labelled(rows, links if round_ else None), hubs, ["bucket"], total, "inner")
-        # one hub for each class and round, the same in as many of its buckets as can be
-        first = F.min(F.struct(F.xxhash64("a", F.lit(round_)), "a")).alias("hub")
-        pairs = pairs.filter("label <> hub_label").groupBy("cls").agg(first).select("hub.a", F.col("cls").alias("b"))
-        links = materialize(links.unionByName(_confirmed(_likely(pairs, classes, percent), classes, docs, words, percent)), "near-links")
-    return links.unionByName(_across(classes, rows, links, docs, words, percent))
-
-
-def _across(classes: DataFrame, rows: DataFrame, links: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links across components of one bucket, from all pairs of its classes, block by block."""
-    spread = materialize(_labelled(rows, links), "near-labelled")
-    apart = spread.groupBy("bucket").agg(F.count("*").alias("n_rows"), F.min("label").alias("low"), F.max("label").alias("high"))
-    apart = apart.filter("low <> high")
-    apart = materialize(apart.select("bucket", "n_rows"), "near-apart")
-    few = F.col("n_rows") <= FEW
-    one = spread.join(apart.filter(few), "bucket").select("bucket", F.col("cls").alias("a"), "label")
-    two = one.select("bucket", F.col("a").alias("b"), F.col("label").alias("label_b"))
-    in_few = one.join(two, "bucket").filter("a < b AND label <> label_b").select("a", "b").distinct()
-    in_few = _likely(in_few, classes, percent)
-    apart = apart.filter(~few)
-    total = apart.agg(F.sum("n_rows")).first()[0] or 0
-    members = attach(spread, apart, ["bucket"], max(total, 1), "inner")
+def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Labelled rows of the buckets that hold more than one component, with the number of rows of each."""
+    rows = materialize(_labelled(rows, links), "near-labelled")
+    bounds = rows.groupBy("bucket").agg(F.count("*").alias("n_rows"), F.min("label").alias("low"), F.max("label").alias("high"))
+    apart = materialize(bounds.filter("low <> high").select("bucket", "n_rows"), "near-apart")
+    return materialize(attach(rows, apart, ["bucket"], max(rows.count(), 1), "inner"), "near-rows")
+
+
+def _with_hubs(rows: DataFrame) -> DataFrame:
+    """Rows of buckets with the hub of each, ``a``: the class with the most places in all buckets together."""
+    known = materialize(rows.groupBy("cls").agg(F.sum("n_rows").alias("places")), "near-places")
+    ranked = rows.join(small(known, known.count()), "cls")
+    hub = F.max_by("cls", F.struct("places", F.xxhash64("cls"), "cls"))
+    hubs = ranked.groupBy("bucket").agg(hub.alias("a"), F.first("n_rows").alias("n_rows"))
+    hubs = materialize(hubs, "near-hubs")
+    total = hubs.agg(F.sum("n_rows")).first()[0] or 1
+    return materialize(attach(rows.drop("n_rows", "label"), hubs, ["bucket"], total, "inner"), "near-hub-rows")
+
+
+def _meetings(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What may still be linked among the classes compared with one hub: pairs (a, b), and the classes that are too many for pairs.
+
+    ``members`` is a written table of the comparisons, with the label of each class.
+    """
+    add = members.select("a", "b", "label", "linked", "n_b", F.explode("adds").alias("shingle"))
+    code = F.xxhash64("b")
+    sets = add.groupBy("a", "shingle").agg(
+        F.count("*").alias("n"), F.sum(F.shiftright(code, 8)).alias("s1"), F.bit_xor(code).alias("s2"),
+        F.min("label").alias("low"), F.max("label").alias("high"), F.bool_and("linked").alias("all_linked"),
+    )
+    # of shingles that the same classes add one is enough
+    sets = sets.filter("n > 1 AND low <> high AND NOT all_linked").groupBy("a", "n", "s1", "s2").agg(F.min("shingle").alias("shingle"))
+    sets = materialize(sets.select("a", "shingle", "n"), "near-sets")
+    met = materialize(add.join(small(sets, sets.count()), ["a", "shingle"]), "near-met")
+    few = met.filter(F.col("n") <= FEW).select("a", "shingle", "b", "label", "linked", "n_b")
+    other = few.select("a", "shingle", *[F.col(c).alias(f"{c}_2") for c in ("b", "label", "linked", "n_b")])
+    fits = F.least("n_b", "n_b_2") * 100 >= F.greatest("n_b", "n_b_2") * percent
+    apart = (F.col("label") != F.col("label_2")) & ~(F.col("linked") & F.col("linked_2")) & fits
+    pairs = few.join(other, ["a", "shingle"]).filter("b < b_2").filter(apart).select(F.col("b").alias("a"), F.col("b_2").alias("b"))
+
+    # one lacks so much that a smaller one may be nearer to it than the hub
+    room = F.expr(f"({100 + percent} * (n_a - lacks)) div {percent} - n_b")
+    least = F.ceil(F.col("n_b") * percent / 100).cast("long")
+    far = members.filter("NOT linked").withColumn("room", room).filter(F.col("room") >= least)
+    far = far.select("a", F.col("b").alias("b_2"), F.col("label").alias("label_2"), F.col("n_b").alias("n_b_2"), F.explode(F.sequence(least, F.least("room", "n_a"))).alias("n_b"))
+    near = members.select("a", "b", "label", "n_a", "n_b", "lacks").filter("n_b < n_a")
+    fits = F.expr(f"{100 + percent} * (n_a - lacks) >= {percent} * (n_b + n_b_2)")
+    smaller = far.join(near, ["a", "n_b"]).filter(fits & (F.col("label") != F.col("label_2")) & (F.col("b") != F.col("b_2")))
+    pairs = pairs.unionByName(smaller.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b")))
+    return pairs.distinct(), met.filter(F.col("n") > FEW).select("a", "b", "label", "linked").distinct()
+
+
+def _in_blocks(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) among the classes that share a hub, in different components, from their signatures."""
+    sized = classes.select(F.col("cls").alias("b"), "n_shingles", "low")
+    rest = materialize(rest.join(sized, "b"), "near-rest")
+    groups = materialize(rest.groupBy("a").agg(F.count("*").alias("n_rows")), "near-rest-groups")
+    rows = attach(rest, groups, ["a"], max(rest.count(), 1), "inner")
     blocks = F.ceil(F.col("n_rows") / BLOCK).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("cls"), F.col("blocks")))
-    members = members.join(classes.select("cls", "n_shingles", "low", "bands"), "cls")
-    # a block meets every block of its bucket once: the pair of blocks is the group
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("b"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = members.select("bucket", "block", other, "cls", "label", "n_shingles", "low", "bands").select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "label", "n_shingles", "low", "bands"
+    # a block meets every block of its group once: the pair of blocks is what a task gets
+    met = rows.select("a", "block", other, "b", "label", "linked", "n_shingles", "low").select(
+        "a", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "b", "label", "linked", "n_shingles", "low"
     )
     p = percent / 100
     least = p - _SLACK * (p * (1 - p) / COORDINATES) ** 0.5
 
-    def pairs_of(group: pd.DataFrame) -> pd.DataFrame:
+    def likely(group: pd.DataFrame) -> pd.DataFrame:
         i, j = group["i"].iloc[0], group["j"].iloc[0]
-        x = group[group["block"] == i]
-        y = group[group["block"] == j]
-        low = [np.frombuffer(b"".join(s["low"]), np.uint8).reshape(len(s), COORDINATES) for s in (x, y)]
+        low = np.frombuffer(b"".join(group["low"]), np.uint8).reshape(len(group), COORDINATES)
+        label = pd.factorize(group["label"].map(bytes))[0]
+        linked, size = group["linked"].to_numpy(bool), group["n_shingles"].to_numpy()
+        x, y = (np.flatnonzero(group["block"].to_numpy() == k) for k in (i, j))
         out = []
-        codes = pd.Series(pd.factorize(group["label"].map(bytes))[0], group.index)
-        sizes = [s["n_shingles"].to_numpy() for s in (x, y)]
-        bands = [np.stack(s["bands"].to_list()) if len(s) else np.zeros((0, BANDS), np.int64) for s in (x, y)]
-        bucket = group["bucket"].iloc[0]
-        for r in range(len(x)):
-            fits = (codes[y.index] != codes[x.index[r]]).to_numpy()
-            fits &= 100 * np.minimum(sizes[0][r], sizes[1]) >= percent * np.maximum(sizes[0][r], sizes[1])
-            if i == j:
-                fits[: r + 1] = False
-            at = np.flatnonzero(fits)
-            at = at[(low[1][at] == low[0][r]).mean(axis=1) >= least]
-            # a pair that shares several buckets is taken in the first of them
-            at = at[bands[0][r][(bands[1][at] == bands[0][r]).argmax(axis=1)] == bucket]
-            a = bytes(x["cls"].iloc[r])
-            out += [(min(a, b), max(a, b)) for b in map(bytes, y["cls"].iloc[at])]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
-
-    pairs = met.groupBy("bucket", "i", "j").applyInPandas(pairs_of, "a binary, b binary")
-    return _confirmed(pairs.unionByName(in_few).distinct(), classes, docs, words, percent)
+        for at, r in enumerate(x):
+            other = y[at + 1 :] if i == j else y
+            fits = (label[other] != label[r]) & ~(linked[other] & linked[r])
+            fits &= 100 * np.minimum(size[other], size[r]) >= percent * np.maximum(size[other], size[r])
+            other = other[fits]
+            out += [(r, s) for s in other[(low[other] == low[r]).mean(axis=1) >= least]]
+        names = [bytes(b) for b in group["b"]]
+        pairs = [(min(names[r], names[s]), max(names[r], names[s])) for r, s in out]
+        return pd.DataFrame(pairs, columns=["a", "b"], dtype=object)
+
+    return met.groupBy("a", "i", "j").applyInPandas(likely, "a binary, b binary")
+
+
+def _class_links(classes: DataFrame, buckets: DataFrame, docs: DataFrame, given: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between classes, enough to connect what is connected; ``given`` are links known before."""
+    links, rows = given, buckets
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        nonlocal links
+        found = materialize(_compared(pairs, classes, docs, words, percent, True), "near-compared")
+        links = materialize(links.unionByName(found.filter("linked").select("a", "b")), "near-links")
+        return found
+
+    rows = _apart(rows, links)
+    if rows.isEmpty():
+        return links
+    # each class with the hub of its largest bucket, and with the others where that did not do
+    rows = _with_hubs(rows)
+    first = rows.filter("cls <> a").groupBy(F.col("cls").alias("b")).agg(F.max_by("a", F.struct("n_rows", "a")).alias("a"))
+    near = compared(first.select("a", "b"))
+    rows = _apart(rows.select("bucket", "cls", "a"), links)
+    if rows.isEmpty():
+        return links
+    pairs = materialize(rows.filter("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "near-hub-pairs")
+    others = compared(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"))
+    members = _labelled(near.join(pairs, ["a", "b"], "left_semi").unionByName(others), links, "b")
+    pairs, rest = _meetings(materialize(members, "near-members"), percent)
+    pairs = _likely(materialize(pairs, "near-meetings"), classes, percent)
+    pairs = pairs.unionByName(_in_blocks(rest, classes, percent)).distinct()
+    return links.unionByName(_confirmed(pairs, classes, docs, words, percent))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
