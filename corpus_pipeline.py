@@ -11,6 +11,9 @@ from windrow.llm.queries import WORD_BPE
 from windrow.llm.toxicity import drop_toxic
 from windrow.storage import materialize
 
+#: Pieces of words that the encoder of a worker remembers: few, as workers also hold what earlier stages left.
+REMEMBERED = 60_000
+
 
 @on_workers
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @on_workers
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    return pack_documents(docs, *WORD_BPE)
+    return pack_documents(docs, *WORD_BPE, max_pieces=REMEMBERED)
 
 
 STAGES = [

@@ -76,13 +76,16 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
     return number, offset
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, with_ids: bool = False, max_pieces: int | None = None
+) -> DataFrame:
     """Documents cut at every ``window`` ids: doc_id, start, length, ids_crc32, doc_tokens (and ids). No shuffle."""
     end = np.asarray([end_id], ID).tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def cut(batches):
-        encoder = text_encoder(tokenizer)
+        pa.default_memory_pool().release_unused()  # of the tasks before in this worker
+        encoder = text_encoder(tokenizer, max_pieces)
         for batch in batches:
             for doc_ids, texts in text_slices(batch):
                 rows = []
@@ -119,13 +122,21 @@ def pack_pieces(cut: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, shard_pieces: int = SHARD_PIECES, with_ids: bool = False
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    window: int = WINDOW,
+    shard_pieces: int = SHARD_PIECES,
+    with_ids: bool = False,
+    max_pieces: int | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
+    ``max_pieces`` bounds what the encoder of each worker remembers; it changes memory and speed only.
+
     Runs jobs when called; its tables are removed by the surrounding ``intermediates`` block.
     """
-    return pack_pieces(materialize(pieces(docs, tokenizer, end_id, window, with_ids), "pieces"), window, shard_pieces)
+    return pack_pieces(materialize(pieces(docs, tokenizer, end_id, window, with_ids, max_pieces), "pieces"), window, shard_pieces)
 
 
 def padded_length(used: int, window: int = WINDOW) -> int:
