@@ -42,6 +42,14 @@ KEPT = {
     "upper case": (GOOD.replace(ID, ID.upper()), (ID, MS, 1.7, 3.9, 105.0)),
     "short groups": (GOOD.replace(ID, "1-1-1-1-1"), ("00000001-0001-0001-0001-000000000001", MS, 1.7, 3.9, 105.0)),
     "fractional time": (GOOD.replace(str(MS), f"{MS}.9"), (ID, MS, 1.7, 3.9, 105.0)),
+    "time just below the next": (GOOD.replace(str(MS), f"{MS}.9999996"), (ID, MS, 1.7, 3.9, 105.0)),
+    "time with 40 digits after the point": (GOOD.replace(str(MS), f"{MS}." + "9" * 17 + "4" * 23), (ID, MS, 1.7, 3.9, 105.0)),
+    "time just above -1": (GOOD.replace(str(MS), "-0.9999999"), (ID, 0, 1.7, 3.9, 105.0)),
+    "time with fraction and exponent": (GOOD.replace(str(MS), "1.4955456462799999999996e12"), (ID, 1495545646279, 1.7, 3.9, 105.0)),
+    "time with negative exponent": (GOOD.replace(str(MS), "-59999E-4"), (ID, -5, 1.7, 3.9, 105.0)),
+    "time with far exponent": (GOOD.replace(str(MS), "9e-999999999"), (ID, 0, 1.7, 3.9, 105.0)),
+    "zero with far exponent": (GOOD.replace(str(MS), "0.000e999999999"), (ID, 0, 1.7, 3.9, 105.0)),
+    "time with zeros after the point": (GOOD.replace(str(MS), "0.00012e6"), (ID, 120, 1.7, 3.9, 105.0)),
     "negative fractional time": (GOOD.replace(str(MS), "-5.9"), (ID, -5, 1.7, 3.9, 105.0)),
     "time with exponent": (GOOD.replace(str(MS), "1e3"), (ID, 1000, 1.7, 3.9, 105.0)),
     "null power": (GOOD.replace("1.7", "null"), (ID, MS, math.nan, 3.9, 105.0)),
@@ -64,6 +72,9 @@ REJECTED = {
     "time null": (GOOD.replace(str(MS), "null"), "bad timestamp"),
     "time true": (GOOD.replace(str(MS), "true"), "bad timestamp"),
     "time beyond range": (GOOD.replace(str(MS), "9223372036854776"), "bad timestamp"),
+    "time 1e999999999": (GOOD.replace(str(MS), "1e999999999"), "bad timestamp"),
+    "time 1e400": (GOOD.replace(str(MS), "1e400"), "bad timestamp"),
+    "time as text with fraction": (GOOD.replace(str(MS), f'"{MS}.5"'), "bad timestamp"),
     "time far beyond range": (GOOD.replace(str(MS), "1e40"), "bad timestamp"),
     "power as text": (GOOD.replace("1.7", '"1.7"'), "bad measurements"),
     "power as NaN text": (GOOD.replace("1.7", '"NaN"'), "bad measurements"),

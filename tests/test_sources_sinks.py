@@ -73,6 +73,11 @@ def test_lines(spark):
     assert invalid_lines(bad).first()["line"] == (
         'Invalid metric detected! {"metric":{"deviceId":"d","timestamp":5,"name":"power","value":1.5},"error":"no"}'
     )
+    infinite = m.limit(1).withColumn("value", F.explode(F.array(F.lit(float("inf")), F.lit(float("-inf")))))
+    text = '{"deviceId":"d","timestamp":5,"name":"power","value":null}'
+    assert [r["line"] for r in valid_lines(infinite).collect()] == [f"Current metric is {text}"] * 2
+    bad = infinite.select(F.struct("*").alias("metric"), F.lit("no").alias("error"))
+    assert [r["line"] for r in invalid_lines(bad).collect()] == [f'Invalid metric detected! {{"metric":{text},"error":"no"}}'] * 2
     assert average_lines(spark.sql("select 2.5d average")).first()["line"] == "Average rotorspeed is: 2.5"
 
 

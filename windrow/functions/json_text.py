@@ -17,6 +17,7 @@ def _schema(id_type: str, time_type: str, number_type: str) -> str:
 
 _PLAIN = _schema("string", "bigint", "double")
 _TYPED = _schema("variant", "variant", "variant")
+_EXACT_TIME = "struct<timestamp:decimal(38,18)>"
 
 
 def _wrapped(text: Column, schema: str) -> Column:
@@ -54,6 +55,24 @@ def _number(value: Column) -> Column:
     )
 
 
+def _in_digits(time: Column) -> Column:
+    """Whether the digits of a JSON number must be looked at; else it is 0 or beyond any time.
+
+    Numbers of very large exponents must not become decimals, which would write all their digits out.
+    """
+    size = F.abs(time.try_cast("double"))
+    return _is_number(time) & (size >= 0.5) & (size < 1e19)
+
+
+def _cut(time: Column, digits: Column) -> Column:
+    """The whole part of a JSON number, cut toward zero; NULL beyond a bigint.
+
+    A double would round the fraction up; ``digits`` has 18 of them after the point, the last one rounded.
+    """
+    small = _is_number(time) & (F.abs(time.try_cast("double")) < 0.5)
+    return F.when(small, F.lit(0).cast("bigint")).when(_in_digits(time), digits.try_cast("bigint"))
+
+
 def _parts(device: Column, millis: Column, numbers: list[Column]) -> Column:
     measured = [n.alias(name) for n, name in zip(numbers, MEASUREMENT_NAMES)]
     return F.struct(
@@ -68,20 +87,17 @@ def with_parsed_reading(df: DataFrame, col: str, name: str) -> DataFrame:
 
     Well-formed readings take the plain parse. Only when a part of it is missing is the text
     parsed again with the JSON type of each part, to tell an explicit null (NaN) from a missing or
-    wrongly typed value, and to cut a fractional time. Each step is a column of its own, so that
+    wrongly typed value, and once more for the digits of a fractional time. Each step is a column of its own, so that
     no text is parsed twice by the same rule.
     """
     text = F.col(col)
-    plain, typed = F.col("_plain"), F.col("_typed")
+    plain, typed, exact = F.col("_plain"), F.col("_typed"), F.col("_exact")
     plain_numbers = [plain["measurements"][part] for part in MEASUREMENT_NAMES]
     complete = plain["deviceId"].isNotNull() & plain["timestamp"].isNotNull()
     for number in plain_numbers:
         complete = complete & number.isNotNull()
     device = F.when(_kind(typed["deviceId"]) == "STRING", typed["deviceId"].try_cast("string"))
-    millis = F.when(
-        _is_number(typed["timestamp"]),
-        typed["timestamp"].try_cast("decimal(38,6)").try_cast("bigint"),
-    )
+    millis = _cut(typed["timestamp"], exact["timestamp"])
     numbers = [_number(typed["measurements"][part]) for part in MEASUREMENT_NAMES]
 
     def only(listed: Column) -> Column:
@@ -93,13 +109,15 @@ def with_parsed_reading(df: DataFrame, col: str, name: str) -> DataFrame:
         .withColumn("_complete", F.coalesce(complete, F.lit(False)))
         .withColumn("_listed", F.when(~F.col("_complete"), _wrapped(text, _TYPED)))
         .withColumn("_typed", only(F.col("_listed")))
+        .withColumn("_listed", F.when(_in_digits(typed["timestamp"]), _wrapped(text, _EXACT_TIME)))
+        .withColumn("_exact", only(F.col("_listed")))
         .withColumn(
             name,
             F.when(_closes_early(text), F.lit(None))
             .when(F.col("_complete"), _parts(plain["deviceId"], plain["timestamp"], plain_numbers))
             .when(typed.isNotNull(), _parts(device, millis, numbers)),
         )
-        .drop("_listed", "_plain", "_complete", "_typed")
+        .drop("_listed", "_plain", "_complete", "_typed", "_exact")
     )
 
 
@@ -125,8 +143,9 @@ def reading_of(parsed: Column) -> Column:
     )
 
 
-def _json_number(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
+def json_number(value: Column) -> Column:
+    """NULL for what JSON cannot write: NaN and both infinities."""
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def reading_json(device: Column, timestamp: Column, measurements: Column) -> Column:
@@ -140,7 +159,7 @@ def reading_json(device: Column, timestamp: Column, measurements: Column) -> Col
             device.alias("deviceId"),
             ts_to_millis(timestamp).alias("timestamp"),
             F.struct(
-                *[_json_number(v).alias(n) for v, n in zip(values, MEASUREMENT_NAMES)]
+                *[json_number(v).alias(n) for v, n in zip(values, MEASUREMENT_NAMES)]
             ).alias("measurements"),
         ),
         {"ignoreNullFields": "false"},
@@ -149,13 +168,13 @@ def reading_json(device: Column, timestamp: Column, measurements: Column) -> Col
 
 
 def metric_json(device: Column, timestamp: Column, name: Column, value: Column) -> Column:
-    """JSON text of a metric, in the same style."""
+    """JSON text of a metric, in the same style; an infinite value is null, as NaN is."""
     return F.to_json(
         F.struct(
             device.alias("deviceId"),
             ts_to_millis(timestamp).alias("timestamp"),
             name.alias("name"),
-            _json_number(value).alias("value"),
+            json_number(value).alias("value"),
         ),
         {"ignoreNullFields": "false"},
     )

@@ -198,6 +198,11 @@ SQL = {
                CAST(doc ->> '$.measurements.windSpeed' AS DOUBLE) AS "windSpeed"
         FROM judged WHERE fault IS NULL""",
     "json_rejects": f"WITH {_JSON} SELECT event_id, fault FROM judged WHERE fault IS NOT NULL",
+    "json_number_times": f"""
+        WITH {_SENSOR}
+        SELECT event_id, CASE event_id % 6 WHEN 3 THEN 0 WHEN 4 THEN NULL ELSE timestamp_ms END AS timestamp_ms,
+               CASE event_id % 6 WHEN 4 THEN 'bad timestamp' END AS fault
+        FROM sensor""",
     "avro_roundtrip": f"WITH {_SENSOR} SELECT {_READING} FROM sensor",
     "avro_ingest": f"WITH {_AVRO}, {_AVRO_KEPT} SELECT {_READING} FROM kept",
     "avro_rejects": f"WITH {_AVRO} SELECT event_id, fault FROM judged WHERE fault IS NOT NULL",

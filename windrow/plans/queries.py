@@ -229,6 +229,26 @@ def json_rejects(spark, sf_dir):
     return codecs.decode_json(_json_payloads(spark, sf_dir))[1].select("event_id", "fault")
 
 
+def json_number_times(spark, sf_dir):
+    """Times written with fractions and exponents: cut by their digits, rejected beyond range."""
+    readings = sensor_from_events(spark, sf_dir)
+    time = r'"timestamp":(-?[0-9])([0-9]*)'
+    power = F.length(F.regexp_extract("payload", time, 2)).cast("string")
+    text, form = F.col("payload"), F.col("event_id") % 6
+    payloads = codecs.to_sensor_json(readings).withColumn(
+        "payload",
+        F.when(form == 1, F.regexp_replace(text, time, r'"timestamp":$1$2.9999999996'))
+        .when(form == 2, F.regexp_replace(text, F.lit(time), F.concat(F.lit(r'"timestamp":$1.$2\9999999996e'), power)))
+        .when(form == 3, F.regexp_replace(text, time, '"timestamp":-0.9999999'))
+        .when(form == 4, F.regexp_replace(text, time, '"timestamp":1e400'))
+        .when(form == 5, F.regexp_replace(text, time, r'"timestamp":$1$2\0E-1'))
+        .otherwise(text),
+    )
+    kept, rejects = codecs.decode_json(payloads)
+    times = kept.select("event_id", ts_to_millis(F.col("timestamp")).alias("timestamp_ms"), F.lit(None).cast("string").alias("fault"))
+    return times.unionByName(rejects.select("event_id", F.lit(None).cast("long").alias("timestamp_ms"), "fault"))
+
+
 def _avro_payloads(spark, sf_dir):
     readings = sensor_from_events(spark, sf_dir).withColumn("k", F.col("measurements.rotorSpeed"))
     readings = readings.withColumn(

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.functions.json_text import metric_json
+from windrow.functions.json_text import json_number, metric_json
 
 # The text before each record.
 VALID_TEXT = "Current metric is "
@@ -21,7 +21,7 @@ def invalid_lines(df: DataFrame) -> DataFrame:
         F.col("metric.deviceId").alias("deviceId"),
         F.unix_millis("metric.timestamp").alias("timestamp"),
         F.col("metric.name").alias("name"),
-        F.when(~F.isnan("metric.value"), F.col("metric.value")).alias("value"),
+        json_number(F.col("metric.value")).alias("value"),
     )
     text = F.to_json(
         F.struct(metric.alias("metric"), F.col("error")), {"ignoreNullFields": "false"}
