@@ -82,5 +82,34 @@ def test_shared_turns_are_written_once_depth_first(spark):
         assert covered == {k for m in [n, *above] for k in range(m.start, m.start + m.length)}
 
 
+def test_a_conversation_with_most_rows_is_divided(spark):
+    """Also the one of all rows without conv_id; the pieces go on where the one before ends."""
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant"]), words(rng, rng.randint(0, 8)), "", 0) for c in (None, 5) for t in range(3000)]
+    rows += [(c, t, "user", "short", "", 0) for c in (1, 9) for t in range(3)] + [(5, 7, "r" * 200, t, "", 0) for t in ("b", "a", "")]
+    df = spark.createDataFrame(rows, ROWS).repartition(5)
+    trees = chat.materialize(chat.prefix_trees(df, max_chars=5000), "test-trees")
+    assert Counter(tuple(r) for r in chat.read_trees(trees).collect()) == brute(rows)
+    pieces = defaultdict(dict)
+    for tree in trees.collect():
+        assert len(tree.text) < 3 * 5000
+        for leaf in tree.leaves:
+            node = tree.nodes[leaf.node]
+            first = node
+            while first.parent >= 0:
+                first = tree.nodes[first.parent]
+            pieces[leaf.conv_id, leaf.of][leaf.piece] = first.position, node.position + node.length
+    for (conv_id, of), found in pieces.items():
+        assert sorted(found) == list(range(of)) and (of > 10) == (conv_id in (None, 5))
+        spans = [found[i] for i in range(of)]
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_clashing_names(spark):
+    names = "path roles texts part piece edge chars of base number leaves nodes".split()
+    df = spark.createDataFrame([r[:4] for r in conversation_rows()], "conv_id long, turn long, role string, text string").withColumns({n: chat.F.lit("x") for n in names})
+    assert Counter(tuple(r) for r in chat.write_and_read(df).collect()) == brute(conversation_rows())
+
+
 def test_empty(spark):
     assert chat.write_and_read(spark.createDataFrame([], ROWS)).count() == 0
