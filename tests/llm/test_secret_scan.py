@@ -75,6 +75,42 @@ def test_forest_removes_numbers_and_keeps_keys(spark):
     assert sum(r.is_secret for r in numbers) <= 0.05 * len(numbers)
 
 
+def test_starts_in_a_text_of_very_many_candidates(spark):
+    for n in (1, 2, 27, 3000):
+        text = "".join(f"é{'x' * (i % 7)} {i:016d} token='v{i}' " for i in range(n))
+        found = candidates(spark.createDataFrame([(1, text, "en", "src/a", 0)], DOCS)).collect()
+        assert len(found) == 2 * n and all(text[r.start :].startswith(r.secret) for r in found)
+        assert len({r.start for r in found}) == 2 * n
+
+
+def test_transitions_and_whole_words(spark):
+    words = [("find", 3), ("über", 2)]
+    table = secret_scan.transition_table(words)
+    secrets = ["findFindXüber0000000000", "q", "0123456789abcdef"]
+    df = spark.createDataFrame([(i, s, "", "", "a") for i, s in enumerate(secrets)], "doc_id long, secret string, before string, after string, path string")
+    for r in secret_scan.features(df, ["find"], words).collect():
+        classes = secret_scan._classes(r.secret.lower())
+        want = sum(table[28 * a + b] for a, b in zip(classes, classes[1:])) / max(len(classes) - 1, 1)
+        assert r.f_transitions == pytest.approx(want)
+        # "X" and what follows it are one word that is not known
+        assert r.f_words == pytest.approx({0: 8 / 23}.get(r.doc_id, 0))
+
+
+def test_a_family_that_was_never_labelled_is_found(spark):
+    """Trained without any bare hexadecimal digest as an example of a secret."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = candidates(docs)
+    words = secret_scan.vocabulary(docs)
+    described = secret_scan.features(found, [w for w, _ in words[:200]], words).withColumn("label", secret_scan.rule_label()).cache()
+    held_out = F.col("secret").rlike("^[0-9a-f]{40}$")
+    scored = secret_scan.train_forest(described.filter(~held_out)).transform(described)
+    rows = scored.filter(held_out | F.col("label").isNull()).select(held_out.alias("held_out"), "prediction").collect()
+    right = [r.prediction == 1 for r in rows if r.held_out]
+    wrong = [r.prediction == 1 for r in rows if not r.held_out]
+    assert sum(right) >= 0.95 * len(right) > 100 and sum(wrong) <= 0.02 * len(wrong)
+    described.unpersist()
+
+
 def test_forest_learns_labels_that_are_given(spark):
     """Held out: random keys against camel-case names, which no rule tells apart."""
     import random
