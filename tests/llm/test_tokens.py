@@ -93,6 +93,30 @@ def test_files_against_plain_encoding(spark, clashing_docs, monkeypatch, segment
     assert ids == sorted(ids) and [r.doc_id for r in got][len(ids) :] == [None] * 3
 
 
+def test_files_of_few_segments(spark, edge_docs, monkeypatch, tmp_path):
+    """Several files for one task; ``start`` goes on from file to file."""
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 50)
+    monkeypatch.setattr(token_files, "FILE_SEGMENTS", 1)
+    token_files.write_token_files(edge_docs, f"{tmp_path}/t", *BYTE_BPE, partitions=2)
+    files = [f.name for f in (tmp_path / "t").iterdir() if f.name.startswith("part-")]
+    assert len(files) > 12
+    rows = token_files.token_index(spark, f"{tmp_path}/t").collect()
+    want = {}
+    for i, ids in expected(*BYTE_BPE, edge_rows()):
+        want.setdefault(i, []).append((len(ids), crc(ids)))
+    assert {i: sorted(v) for i, v in want.items()} == {i: sorted((r.n_tokens, r.ids_crc32) for r in rows if r.doc_id == i) for i in want}
+    rows.sort(key=lambda r: r.start)
+    assert [r.doc_id is None for r in rows] == sorted(r.doc_id is None for r in rows)
+    numbered = [r.doc_id for r in rows if r.doc_id is not None]
+    assert numbered == sorted(numbered) and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+
+
+def test_files_go_by_number(spark):
+    names = [f"part-{t:05d}-a1-2b-c{f:03d}.txt" for t in (7, 9999, 99_999, 100_000, 100_010) for f in (0, 2, 999, 1000)]
+    shuffled = spark.createDataFrame([(n,) for n in sorted(names)], "file string")
+    assert [r.file for r in shuffled.orderBy(*token_files.file_order()).collect()] == names
+
+
 def test_broken_segment_is_noticed():
     good = token_files.segment_bytes([1], [np.arange(9, dtype="<u4").tobytes()]) + b"\n"
     assert [d for d, _, _ in token_files.read_segments(good)] == [[1]]

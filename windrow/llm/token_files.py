@@ -6,8 +6,9 @@ A file is a run of segments, each of about ``SEGMENT_IDS`` ids of whole document
     i64 doc_id of each document, u8 1 where the doc_id is null, u64 ids of each document,
     u32 word offset of each block, u64 words, u64 escaped values
 
-Spark writes them as rows of raw bytes through its own committer, one file for each range of doc_ids, in the order
-of the file names; so a lost executor leaves no half a file. The order among rows of one doc_id is by text;
+Spark writes them as rows of raw bytes through its own committer, for each range of doc_ids one file after another of at
+most ``FILE_SEGMENTS`` segments, in the order of the two numbers in their names; so a lost executor leaves no half a file, and
+no file grows with the data (a document is never divided: it must fit into memory). The order among rows of one doc_id is by text;
 null doc_ids come last. A null text is an empty one: it has the end id alone.
 """
 
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import text_of
@@ -28,6 +29,10 @@ from windrow.storage import materialize, new_path
 MAGIC = b"S8B1"
 HEADER = struct.Struct("<4sIIQQQ")
 SEGMENT_IDS = 200_000
+#: About 25 million ids, which take 50 to 100 MB.
+FILE_SEGMENTS = 128
+#: Fixed: the numbers of the task and of the file within the task in the names that Spark gives.
+NAME = r"^part-(\d+)-.*-c(\d+)[^-]*$"
 SEPARATOR = "\n"
 #: Pieces the encoder remembers here, where the library takes most of the time.
 MAX_PIECES = 450_000
@@ -84,7 +89,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, p
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     spread = rows.repartitionByRange(*[x for x in (partitions,) if x], *order[:2]).sortWithinPartitions(*order)
     segments = spread.mapInArrow(encoded, "segment binary")
-    segments.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    segments.select(F.col("segment").cast("string").alias("value")).write.options(
+        lineSep=SEPARATOR, maxRecordsPerFile=FILE_SEGMENTS
+    ).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -117,12 +124,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def file_order() -> list[Column]:
+    """The files in the order of their doc_ids: numbers of five digits and of more are compared as numbers."""
+    return [F.regexp_extract("file", NAME, i).cast("bigint") for i in (1, 2)]
+
+
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """What the files hold: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     rows = materialize(read_token_files(spark, path), "token-rows")
-    # one row per file, numbered by Spark in the order of the ranges
+    # one row per file
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n").over(Window.orderBy(*file_order()).rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select("file", F.coalesce(before, F.lit(0)).alias("base"))
     placed = rows.join(F.broadcast(bases), "file")
     return placed.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
