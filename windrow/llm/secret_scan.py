@@ -5,8 +5,9 @@ assigned to the name of a secret: up to the closing quote, else to the next blan
 characters under two forms are one candidate; a value and a run inside it are two. The forest sees its length, how its
 characters follow one another, how much of it common words cover, the path of the document, and the words next to it.
 Its transitions are the likelihood of each character after the one before it, as in the words of the corpus; its dictionary
-is the common words, looked for anywhere (the first ``COMMON_WORDS``) and as whole words (``VOCABULARY``). What stands directly
-before a finding, from which the rule below takes its labels, is no feature.
+is the common words, looked for anywhere (the first ``COMMON_WORDS``) and as whole words (``VOCABULARY``). The name
+of a secret before a finding, and that it is assigned, by which the rule below labels secrets, are no features; an "@" beside it,
+the path of a test and the share of digits, which the rule looks at too, still are.
 
 It is trained on labelled findings, at most ``MAX_FINDINGS`` of each class. Where a table brings none, findings
 that a rule can tell are the labelled ones: key formats and assignments to a secret's name are secrets; bare numbers and
