@@ -8,6 +8,9 @@ from windrow.storage import child_names, remove_dir
 
 _BATCH = "batch="
 
+#: Folder beside the batches for state of which a batch writes only what it changed, see ``change_log``.
+CHANGES = "changes"
+
 
 def read_carry(spark: SparkSession, carry: str, batch_id: int, schema: T.StructType) -> DataFrame:
     """The rows left by ``batch_id``, none by the batch before the first."""

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from windrow.operators.count_windows import average_of, group_rows
 from windrow.operators.positions import HOT_ROWS, place, rank_within
-from windrow.storage import make_dir, materialize
-from windrow.streaming.carry import last_carry, read_carry, write_carry
+from windrow.storage import has_child, make_dir, materialize
+from windrow.streaming.carry import CHANGES, last_carry, read_carry, write_carry
+from windrow.streaming.change_log import read_changes, write_changes
 from windrow.streaming.keyed import fold_windows
 
 
@@ -51,14 +52,17 @@ def window_batch(
     """One micro-batch of a count window over all rows of a stream or per key; for ``foreachBatch``.
 
     Windows that are full are written to ``out/batch=<id>``; the values of the open windows and the
-    next positions are kept in ``carry``. A batch that is run again reads the same state and
-    replaces its own output.
+    next positions are kept in ``carry``, per key as a log of which a batch reads and writes its own keys. A
+    batch that is run again reads the same state and replaces its own output.
     """
     keys = [key] if key else []
-    scratch = f"{carry}/scratch"
+    scratch, log = f"{carry}/scratch", f"{carry}/{CHANGES}"
     slim = batch.select(*dict.fromkeys([*keys, *order_by, value]))
     schema = _state_schema([slim.schema[k] for k in keys])
-    state = read_carry(batch.sparkSession, carry, batch_id - 1, schema)
+    if keys:
+        state = read_changes(batch.sparkSession, log, batch_id - 1, schema, keys, slim)
+    else:
+        state = read_carry(batch.sparkSession, carry, batch_id - 1, schema)
 
     placed = _place_batch(slim, state, keys, order_by, scratch, hot_rows)
     held = state.select(
@@ -81,7 +85,10 @@ def window_batch(
         F.coalesce(F.max("next_pos"), F.lit(0)).cast("bigint").alias("next_pos"),
         F.coalesce(F.max_by("held", "next_pos"), nothing).alias("held"),
     )
-    write_carry(latest, carry, batch_id)
+    if keys:
+        write_changes(latest, log, batch_id, keys)
+    else:
+        write_carry(latest, carry, batch_id)
 
 
 def stream_count_windows(
@@ -98,8 +105,8 @@ def stream_count_windows(
 ):
     """Average of every ``n`` consecutive rows of a stream, over all rows or per ``key``.
 
-    The state is kept beside the checkpoint and written anew by each batch: one row in all, or one
-    per key. Keys with very many rows in a batch are divided over tasks.
+    The state is kept beside the checkpoint: one row in all, or one per key, of which a batch writes those
+    of its own keys. Keys with very many rows in a batch are divided over tasks.
     """
     work = partial(
         window_batch,
@@ -124,8 +131,14 @@ def read_windows(
     if not emit_partial:
         return windows
     held = F.size("held").cast("bigint")
-    open_windows = last_carry(spark, f"{checkpoint}/carry").filter(held > 0)
-    keys = [c for c in open_windows.columns if c not in ("next_pos", "held")]
+    carry = f"{checkpoint}/carry"
+    if has_child(spark, carry, CHANGES):
+        key_fields = [f for f in windows.schema.fields if f.name not in ("window", "rows", "average", "last_pos")]
+        keys = [f.name for f in key_fields]
+        state = read_changes(spark, f"{carry}/{CHANGES}", None, _state_schema(key_fields), keys)
+    else:
+        keys, state = [], last_carry(spark, carry)
+    open_windows = state.filter(held > 0)
     return windows.unionByName(
         average_of(
             open_windows.select(
