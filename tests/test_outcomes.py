@@ -1,0 +1,162 @@
+"""Payloads per outcome, counted in the pass that writes them; dataflow over metrics; log lines and any source on streams."""
+
+import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from windrow.operators.codecs import encode_avro, observe_outcomes, observed_outcomes, reject_summary, tag_json, to_sensor_json
+from windrow.operators.metrics import metrics_of, to_metrics
+from windrow.plans.pipeline import INVALID, READINGS, ROTOR, VALID, faults_of, run_batch
+from windrow.schemas import METRIC, SENSOR_DATA
+from windrow.sinks.topics import kafka_sink, kafka_writer_options
+from windrow.sources.tables import EVENT_ORDER, sensor_from_events
+from windrow.sources.topics import KAFKA_RECORD, topic_source
+from windrow.streaming import pipeline
+from windrow.streaming.commit_log import publish, published_counts
+from windrow.streaming.pipeline import ingest_payloads, payload_outcomes, read_topic, rejects_of, run_stream
+
+
+def counts(df):
+    return {r["outcome"]: r["payloads"] for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def readings(spark, sf_dir):
+    return sensor_from_events(spark, sf_dir).filter("event_id < 200")
+
+
+@pytest.fixture(scope="module")
+def payloads(spark, readings):
+    """JSON of which some lack a brace, name no device or are NULL."""
+    text, by = F.col("payload"), F.col("event_id") % 10
+    broken = F.when(by == 3, F.expr("left(payload, 9)")).when(by == 4, F.lit(None)).when(by == 5, F.replace(text, F.lit("deviceId"), F.lit("id")))
+    return to_sensor_json(readings).withColumn("payload", broken.otherwise(text))
+
+
+def test_outcomes_of_a_table(spark, payloads):
+    want = counts(reject_summary(tag_json(payloads)))
+    assert len(want) == 3 and sum(want.values()) == 200
+    for materialize in (True, False):
+        assert counts(run_batch(payloads, "json", order_by=EVENT_ORDER, materialize=materialize)["outcomes"]) == want
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_outcomes_of_few_rows(spark, payloads, rows):
+    """Nothing to count is no outcome, not a missing one."""
+    few = payloads.filter("event_id = 1") if rows else spark.createDataFrame([], payloads.schema)
+    out = run_batch(few, "json", order_by=EVENT_ORDER)
+    assert counts(out["outcomes"]) == ({"kept": 1} if rows else {})
+
+
+def test_unknown_reasons_are_counted(spark, payloads, tmp_path):
+    seen, tagged = Observation(), tag_json(payloads)
+    observe_outcomes(tagged, ["not a JSON object"], seen).write.parquet(str(tmp_path / "t"))
+    want = counts(reject_summary(tagged))
+    got = observed_outcomes(seen)
+    assert got["other"] == want["bad deviceId"] and got["not a JSON object"] == want["not a JSON object"]
+    assert sum(got.values()) == 200
+
+
+def test_counting_takes_no_job(spark, payloads, tmp_path):
+    tagged = tag_json(payloads).persist()
+    tagged.count()
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(name, work):
+        spark.sparkContext.setJobGroup(name, name)
+        work()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(name))
+
+    def observed():
+        seen = Observation()
+        rows = observe_outcomes(tagged, faults_of("json"), seen)
+        publish(rows, str(tmp_path / "b"), 0, counted=lambda: observed_outcomes(seen))
+
+    try:
+        plain = jobs("outcomes-plain", lambda: publish(tagged, str(tmp_path / "a"), 0))
+        assert jobs("outcomes-observed", observed) == plain > 0
+    finally:
+        tagged.unpersist()
+    assert counts(published_counts(spark, str(tmp_path / "b"))) == counts(reject_summary(tag_json(payloads)))
+    assert counts(published_counts(spark, str(tmp_path / "a"))) == {}
+
+
+def test_outcomes_and_lines_of_a_stream(spark, payloads, tmp_path, monkeypatch):
+    """A batch dies after its rejects are published, and an empty file makes an empty batch: each payload counts once."""
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    for low in (0, 100, 900):
+        payloads.filter(F.col("event_id").between(low, low + 99)).coalesce(1).write.mode("append").parquet(source)
+    real = pipeline.window_batch
+
+    def dies(rotor, batch_id, **options):
+        if batch_id == 1:
+            raise RuntimeError("lost")
+        real(rotor, batch_id, **options)
+
+    def run():
+        stream = topic_source(spark, source, payloads.schema, batch_limit=1)
+        run_stream(stream, out=out, checkpoint=checkpoint, order_by=EVENT_ORDER, ingress="json", lines=True)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(pipeline, "window_batch", dies)
+        with pytest.raises(Exception, match="lost"):
+            run()
+    run()
+    want = run_batch(payloads, "json", order_by=EVENT_ORDER)
+    assert counts(payload_outcomes(spark, out)) == counts(want["outcomes"])
+    for topic in (pipeline.VALID_LINES, pipeline.INVALID_LINES):
+        assert sorted(read_topic(spark, out, topic).collect()) == sorted(want[topic].collect())
+
+
+def test_metrics_as_payloads(spark, readings, tmp_path):
+    """The dataflow over metrics gives the topics of the dataflow over the readings they were made of."""
+    sent = encode_avro(to_metrics(readings, keep=EVENT_ORDER), schema=METRIC)
+    want = run_batch(encode_avro(readings), "avro", order_by=EVENT_ORDER)
+    got = run_batch(sent, "generic", order_by=EVENT_ORDER, record=METRIC)
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    sent.write.parquet(source)
+    stream = topic_source(spark, source, sent.schema)
+    run_stream(stream, out=out, checkpoint=checkpoint, order_by=EVENT_ORDER, ingress="generic", record=METRIC)
+    for topic in (VALID, INVALID, ROTOR):
+        rows = sorted(map(str, want[topic].collect()))
+        assert sorted(map(str, got[topic].select(*want[topic].columns).collect())) == rows
+        assert sorted(map(str, read_topic(spark, out, topic).select(*want[topic].columns).collect())) == rows
+    assert sorted(got["averages"].collect()) == sorted(want["averages"].collect())
+    assert got[READINGS].count() == 3 * readings.count()
+    assert counts(got["outcomes"]) == counts(payload_outcomes(spark, out)) == {"kept": 600}
+
+
+def test_metrics_keep_the_order_by_their_own_time(spark, readings):
+    rows = to_metrics(readings, keep=EVENT_ORDER)
+    assert metrics_of(rows, METRIC, keep=["timestamp", "event_id"]).columns == ["deviceId", "timestamp", "event_id", "name", "value"]
+    assert metrics_of(rows, METRIC, ["power"]).count() == readings.count() == metrics_of(readings, SENSOR_DATA, ["power"]).count()
+
+
+def test_ingest_of_any_stream(spark, payloads, tmp_path):
+    """Records in the shape of a message log, whose own time stands beside that of the reading."""
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    records = payloads.select(
+        F.lit(None).cast("binary").alias("key"),
+        F.col("payload").cast("binary").alias("value"),
+        F.lit("t").alias("topic"),
+        F.lit(0).alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.timestamp_millis(F.col("event_id")).alias("timestamp"),
+    )
+    records.write.parquet(source)
+    stream = topic_source(spark, source, T.StructType(KAFKA_RECORD.fields)).filter("offset >= 0")
+    ingest_payloads(stream, out=out, checkpoint=checkpoint, ingress="json", col="value").awaitTermination()
+    kept, rejects = spark.read.parquet(out), spark.read.parquet(rejects_of(out))
+    assert {"record_timestamp", "timestamp", "offset"} <= set(kept.columns)
+    assert (kept.count(), rejects.count()) == (140, 60)
+
+
+def test_kafka_writer(spark, payloads, tmp_path):
+    assert kafka_writer_options("t", "h:1") == {"kafka.acks": "all", "kafka.bootstrap.servers": "h:1", "topic": "t"}
+    stream = spark.readStream.schema("key binary, value binary").parquet(str(tmp_path))
+    with pytest.raises(ValueError, match="checkpoint"):
+        kafka_sink(stream, "t", "h:1")
+    with pytest.raises(Exception, match="(?i)kafka"):  # its package is not there
+        kafka_sink(stream, "t", "h:1", str(tmp_path / "checkpoint"))

@@ -4,7 +4,9 @@
 ``fault`` (why). ``decode_*`` routes the tagged rows into readings and rejects.
 """
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +21,18 @@ from windrow.functions.json_text import (
 )
 from windrow.schemas import SENSOR_DATA, leaves
 
+_ALL = "payloads"
+
+
+# Why a payload is a reject, in the words of the two decoders; "bad <field>" of the fields checked comes to the second.
+JSON_FAULTS = ("not a JSON object", "bad deviceId", "bad timestamp", "bad measurements")
+AVRO_FAULTS = ("null payload", "truncated or malformed body", "trailing bytes")
+
+
+def avro_faults(schema: T.StructType = SENSOR_DATA) -> tuple[str, ...]:
+    checked = [f.name for _, f in leaves(schema) if isinstance(f.dataType, T.TimestampType) or _is_uuid(f)]
+    return (*AVRO_FAULTS, *dict.fromkeys(f"bad {name}" for name in checked))
+
 
 def _nested(schema: T.StructType, parts: dict[str, Column], prefix: str = "") -> Column:
     """A struct in the shape of ``schema`` from its leaf columns."""
@@ -123,6 +137,25 @@ def decode_avro(
     return split_decoded(tag_avro(df, col, schema), col)
 
 
+def observe_outcomes(tagged: DataFrame, faults: Iterable[str], seen: Observation) -> DataFrame:
+    """The same rows; when they are written, ``seen`` counts the payloads per outcome on the way, without a job of its own.
+
+    Write them (or what is selected of them, row by row) exactly once: the counts are those of that write. A task that is run
+    again after a loss counts once as long as no shuffle lies between.
+    """
+    counts = [F.count(F.when(F.col("fault") == fault, 1)).alias(fault) for fault in dict.fromkeys(faults)]
+    kept = F.count(F.when(F.col("fault").isNull(), 1)).alias("kept")
+    return tagged.observe(seen, F.count("*").alias(_ALL), kept, *counts)
+
+
+def observed_outcomes(seen: Observation) -> dict[str, int]:
+    """What ``observe_outcomes`` has counted, outcomes with payloads only; unknown reasons are "other"."""
+    counts = dict(seen.get)
+    total = counts.pop(_ALL, 0)
+    counts["other"] = total - sum(counts.values())
+    return {outcome: n for outcome, n in counts.items() if n}
+
+
 def reject_summary(tagged: DataFrame) -> DataFrame:
     """Payloads per outcome: kept, or the reason of the reject."""
     outcome = F.coalesce(F.col("fault"), F.lit("kept"))

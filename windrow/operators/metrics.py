@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrow.functions.validity import is_valid_value
 from windrow.schemas import INVALID_MESSAGE, MEASUREMENT_NAMES, METRIC
@@ -31,6 +32,16 @@ def to_metrics(df: DataFrame, names=None, keep=()) -> DataFrame:
     return flat.unpivot(kept, wanted, "name", "value")
 
 
+def metrics_of(df: DataFrame, record: T.StructType, names=None, keep=()) -> DataFrame:
+    """Metrics of decoded records: readings are flattened, and records that are metrics already stay as they are."""
+    fields = METRIC.fieldNames()
+    if record.fieldNames() != fields:
+        return to_metrics(df, names, keep)
+    kept = [c for c in dict.fromkeys(keep) if c not in fields]
+    flat = df.select("deviceId", "timestamp", *kept, "name", "value")
+    return flat if names is None else flat.filter(F.col("name").isin(*names))
+
+
 def validate(df: DataFrame, rule: Column | None = None, message: str = INVALID_MESSAGE) -> DataFrame:
     """Tag each metric with ``is_valid`` and, where it is not, the ``error`` text."""
     if rule is None:

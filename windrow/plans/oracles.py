@@ -294,6 +294,30 @@ SQL["demand_ingest_stream"] = f"""
     SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 999 AS batch, coalesce(fault, 'kept') AS outcome
     FROM judged"""
 SQL["followed_topic_stream"] = f"WITH {_FLOW} SELECT {_FLAT} FROM checked WHERE is_valid"
+SQL["outcome_counts_stream"] = SQL["limited_ingest_counts"]
+SQL["line_topics_stream"] = f"""
+    WITH {_FLOW}
+    SELECT 'Current metric is ' || {_METRIC_TEXT} AS line FROM checked WHERE is_valid
+    UNION ALL
+    SELECT 'Invalid metric detected! {{"metric":' || {_METRIC_TEXT}
+           || ',"error":"All measurements must be positive numbers!"}}'
+    FROM checked WHERE NOT is_valid"""
+# Metrics of events by 11 have no number, bodies of events by 13 are cut short.
+_GENERIC = f"""
+WITH {_METRICS},
+sent AS (SELECT * REPLACE (value >= 0 AND event_id % 11 <> 0 AS is_valid) FROM checked),
+kept AS (SELECT * FROM sent WHERE event_id % 13 <> 0),
+rotor AS (SELECT * FROM kept WHERE is_valid AND name = 'rotorSpeed')"""
+SQL["generic_pipeline_counts"] = f"""
+    {_GENERIC}
+    SELECT 'kept' AS topic, count(*) AS "rows" FROM kept
+    UNION ALL SELECT 'truncated or malformed body', count(*) FROM sent WHERE event_id % 13 = 0
+    UNION ALL SELECT 'metics', count(*) FROM kept
+    UNION ALL SELECT 'valid-metics', count(*) FROM kept WHERE is_valid
+    UNION ALL SELECT 'invalid-metics', count(*) FROM kept WHERE NOT is_valid
+    UNION ALL SELECT 'rotor-data', count(*) FROM rotor
+    UNION ALL SELECT 'averages', CAST(ceil(count(*) / 5.0) AS BIGINT) FROM rotor"""
+SQL["generic_pipeline_averages"] = f"{_GENERIC}, {_windows('rotor')} {_AVERAGES}"
 SQL["admit_quota_queue"] = f"""
     WITH RECURSIVE r AS (
       SELECT event_id, {_HOUR} AS "window",

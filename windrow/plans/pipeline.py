@@ -1,15 +1,25 @@
 """The whole dataflow on a table of payloads."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.operators.codecs import carried_names, split_decoded, tag_avro, tag_json
+from windrow.operators.codecs import (
+    JSON_FAULTS,
+    avro_faults,
+    carried_names,
+    observe_outcomes,
+    observed_outcomes,
+    reject_summary,
+    split_decoded,
+    tag_avro,
+    tag_json,
+)
 from windrow.operators.count_windows import count_windows
 from windrow.operators.metrics import (
     invalid_metrics,
     keep_metric,
-    to_metrics,
+    metrics_of,
     valid_metrics,
     validate,
 )
@@ -38,6 +48,11 @@ def tag_payloads(
     return tag_json(payloads, col) if ingress == "json" else tag_avro(payloads, col, schema)
 
 
+def faults_of(ingress: str, schema: T.StructType = SENSOR_DATA) -> tuple[str, ...]:
+    """The reasons that ``tag_payloads`` gives."""
+    return JSON_FAULTS if ingress == "json" else avro_faults(schema)
+
+
 def run_batch(
     payloads: DataFrame,
     ingress: str = "avro",
@@ -47,25 +62,34 @@ def run_batch(
     n: int = 5,
     materialize: bool = True,
     with_averages: bool = True,
+    record: T.StructType = SENSOR_DATA,
 ) -> dict[str, DataFrame]:
     """All topics and outputs by name. ``order_by`` names columns of the payload table.
 
+    ``record`` is the schema of Avro payloads: readings, or metrics, which then need no flattening. "outcomes" counts
+    the payloads kept and the rejects of each reason; if ``materialize``, in the pass that writes them.
+
     All outputs hang on the decoded payloads. These are written once if ``materialize``, with the
     raw payload of rejects only; otherwise each output that is used decodes anew, all in one stage
     with what follows. The averages need the order of all rows, so their rows are sorted at once, by
     this call; leave them out with ``with_averages=False``.
     """
-    tagged = tag_payloads(payloads.select(*order_by, col), ingress, col)
+    tagged = tag_payloads(payloads.select(*order_by, col), ingress, col, record)
     if materialize:
-        rejected = F.when(F.col("fault").isNotNull(), F.col(col))
-        tagged = write_once(tagged.withColumn(col, rejected), "decoded")
+        rejected, seen = F.when(F.col("fault").isNotNull(), F.col(col)), Observation()
+        tagged = observe_outcomes(tagged.withColumn(col, rejected), faults_of(ingress, record), seen)
+        tagged = write_once(tagged, "decoded")
+        counts = list(observed_outcomes(seen).items())
+        outcomes = payloads.sparkSession.createDataFrame(counts, "outcome string, payloads bigint")
+    else:
+        outcomes = reject_summary(tagged)
     readings, rejects = split_decoded(tagged, col)
-    order = carried_names(order_by)
-    metrics = to_metrics(readings, keep=order)
+    order = carried_names(order_by, record)
+    metrics = metrics_of(readings, record, keep=order)
     checked = validate(metrics)
     valid, invalid = valid_metrics(checked), invalid_metrics(checked)
     # same rows as keep_metric(valid, ...), without building the other metrics first
-    rotor = valid_metrics(validate(to_metrics(readings, [ROTOR_METRIC], keep=order)))
+    rotor = valid_metrics(validate(metrics_of(readings, record, [ROTOR_METRIC], keep=order)))
     outputs = {
         READINGS: readings,
         METRICS: metrics,
@@ -73,6 +97,7 @@ def run_batch(
         INVALID: invalid,
         ROTOR: rotor,
         "rejects": rejects,
+        "outcomes": outcomes,
         "valid-log": valid_lines(valid),
         "invalid-log": invalid_lines(invalid),
     }

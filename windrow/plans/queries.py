@@ -413,6 +413,31 @@ def pipeline_averages(spark, sf_dir):
     return outputs["averages"].select("window", "rows", "average")
 
 
+def _metric_payloads(spark, sf_dir):
+    """Metrics, not readings, as Avro bodies: every eleventh event has no number, and some are cut short."""
+    flat = metrics.to_metrics(sensor_from_events(spark, sf_dir), keep=EVENT_ORDER)
+    value = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    encoded = codecs.encode_avro(flat.withColumn("value", value), schema=METRIC)
+    cut = F.expr("substring(payload, 1, 7)")
+    return encoded.withColumn("payload", F.when(F.col("event_id") % 13 == 0, cut).otherwise(F.col("payload")))
+
+
+def _generic_pipeline(spark, sf_dir):
+    return pipeline.run_batch(_metric_payloads(spark, sf_dir), "generic", order_by=EVENT_ORDER, record=METRIC)
+
+
+def generic_pipeline_counts(spark, sf_dir):
+    """Rows per topic, and payloads per outcome, of the dataflow over metrics; NaN is not valid."""
+    outputs = _generic_pipeline(spark, sf_dir)
+    names = [pipeline.METRICS, pipeline.VALID, pipeline.INVALID, pipeline.ROTOR, "averages"]
+    counts = [outputs[name].agg(F.count("*").alias("rows")).select(F.lit(name).alias("topic"), "rows") for name in names]
+    return reduce(DataFrame.unionByName, counts, outputs["outcomes"].toDF("topic", "rows"))
+
+
+def generic_pipeline_averages(spark, sf_dir):
+    return _generic_pipeline(spark, sf_dir)["averages"].select("window", "rows", "average")
+
+
 # streams: every run starts a topic, and most stop and go on while it grows
 
 
@@ -503,7 +528,7 @@ def followed_topic_stream(spark, sf_dir):
     return _flat_metrics(commit_log.published(spark, seen))
 
 
-def _run_in_thirds(spark, sf_dir, label, materialize):
+def _run_in_thirds(spark, sf_dir, label, materialize, **options):
     source, out, checkpoint = _folders(spark, label)
     payloads = _avro_payloads(spark, sf_dir)
     for _ in _in_thirds(payloads, source):
@@ -513,6 +538,7 @@ def _run_in_thirds(spark, sf_dir, label, materialize):
             checkpoint=checkpoint,
             order_by=EVENT_ORDER,
             materialize=materialize,
+            **options,
         )
     return out, checkpoint
 
@@ -533,6 +559,19 @@ def resume_stream(spark, sf_dir):
     return stream_pipeline.averages(spark, out, checkpoint).select("window", "rows", "average")
 
 
+def outcome_counts_stream(spark, sf_dir):
+    """Payloads per outcome of the dataflow, counted in the pass that writes the rejects."""
+    out, _ = _run_in_thirds(spark, sf_dir, "outcomes", False)
+    return stream_pipeline.payload_outcomes(spark, out)
+
+
+def line_topics_stream(spark, sf_dir):
+    """The log lines of the dataflow on a stream."""
+    out, _ = _run_in_thirds(spark, sf_dir, "lines", False, lines=True)
+    topics = (stream_pipeline.VALID_LINES, stream_pipeline.INVALID_LINES)
+    return reduce(DataFrame.unionByName, [stream_pipeline.read_topic(spark, out, topic) for topic in topics])
+
+
 def chained_stream_counts(spark, sf_dir):
     """Rows per topic when each step is a query of its own."""
     out, checkpoint = _run_in_thirds(spark, sf_dir, "chained", True)

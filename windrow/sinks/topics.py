@@ -65,12 +65,23 @@ def kafka_frame(df: DataFrame, value: str = "payload", key: str | None = None) -
     )
 
 
-def kafka_sink(df: DataFrame, topic: str, servers: str, checkpoint: str | None = None):
-    """Write key/value rows to Kafka. Needs the spark-sql-kafka package on the cluster."""
-    options = {**KAFKA_WRITER, "kafka.bootstrap.servers": servers, "topic": topic}
+def kafka_writer_options(topic: str, servers: str) -> dict[str, str]:
+    """Writer options: one topic, and a record counts when all replicas have it."""
+    return {**KAFKA_WRITER, "kafka.bootstrap.servers": servers, "topic": topic}
+
+
+def kafka_sink(
+    df: DataFrame, topic: str, servers: str, checkpoint: str | None = None, trigger: dict | None = None
+) -> StreamingQuery | None:
+    """Write key/value rows to Kafka. Needs the spark-sql-kafka package on the cluster.
+
+    A batch that is run again is written again: readers may see its records twice.
+    """
+    options = kafka_writer_options(topic, servers)
     if not df.isStreaming:
         df.write.format("kafka").options(**options).save()
         return None
-    return (
-        df.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).start()
-    )
+    if not checkpoint:
+        raise ValueError("a stream needs a checkpoint folder")
+    writer = df.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

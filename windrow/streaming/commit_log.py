@@ -24,6 +24,7 @@ from windrow.storage import child_names, has_child, make_dir, materialize, remov
 from windrow.streaming.carry import last_carry, read_carry, write_carry
 
 _ENTRY = T.StructType([T.StructField("attempt", T.StringType()), T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())])
+_COUNTED = T.StructType([*_ENTRY.fields, T.StructField("counts", T.MapType(T.StringType(), T.LongType()))])
 # A stretch of rows of one file: its first record's place in the topic, its first row in the file, and how many.
 _SPAN = T.StructType([T.StructField("path", T.StringType()), T.StructField("first", T.LongType()), T.StructField("row", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -40,10 +41,13 @@ def make_topic(spark: SparkSession, topic: str) -> None:
     make_dir(spark, f"{topic}/data")
 
 
-def publish(rows: DataFrame, topic: str, batch_id: int, writer: str = "batch") -> bool:
+def publish(
+    rows: DataFrame, topic: str, batch_id: int, writer: str = "batch", counted: Callable[[], dict[str, int]] | None = None
+) -> bool:
     """Add a batch; False if it is there already, and then ``rows`` are not even computed.
 
-    ``batch_id`` tells the batches of one ``writer`` apart. Several writers may add to one topic.
+    ``batch_id`` tells the batches of one ``writer`` apart. Several writers may add to one topic. ``counted`` is called
+    when the rows are written, and what it returns goes into the entry: see ``published_counts``.
     """
     spark = rows.sparkSession
     make_topic(spark, topic)
@@ -53,7 +57,10 @@ def publish(rows: DataFrame, topic: str, batch_id: int, writer: str = "batch") -
     attempt = f"{writer}-{batch_id:012d}-{uuid.uuid4().hex}"
     rows.write.parquet(f"{topic}/data/{attempt}")
     staged = f"{topic}/data/{attempt}/_entry"
-    write_bytes(spark, staged, json.dumps({"attempt": attempt, "writer": writer, "batch": batch_id}).encode() + b"\n")
+    entry = {"attempt": attempt, "writer": writer, "batch": batch_id}
+    if counted:
+        entry["counts"] = counted()
+    write_bytes(spark, staged, json.dumps(entry).encode() + b"\n")
     return rename_new(spark, staged, f"{topic}/log/{name}")
 
 
@@ -77,6 +84,16 @@ def published(spark: SparkSession, topic: str, schema: T.StructType | None = Non
     return _rows_of(spark, topic, schema, [r["attempt"] for r in entries.select("attempt").collect()])
 
 
+def published_counts(spark: SparkSession, topic: str) -> DataFrame:
+    """Sums of what was counted when the batches were written: ``outcome`` and ``payloads``.
+
+    The entries of the log hold them, so that each batch counts once, and no row of the topic is read.
+    """
+    entries = spark.read.schema(_COUNTED).json(f"{topic}/log")
+    counts = entries.select(F.explode("counts").alias("outcome", "n"))
+    return counts.groupBy("outcome").agg(F.sum("n").alias("payloads"))
+
+
 def remove_leftovers(spark: SparkSession, topic: str, writer: str) -> int:
     """Remove the files of attempts that were never published, of a writer that is not running; returns how many."""
     entries = spark.read.schema(_ENTRY).json(f"{topic}/log").select("attempt")

@@ -3,11 +3,11 @@
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
-from windrow.operators.codecs import carried_names, split_decoded
-from windrow.operators.metrics import invalid_metrics, to_metrics, valid_metrics, validate
+from windrow.operators.codecs import carried_names, observe_outcomes, observed_outcomes, split_decoded
+from windrow.operators.metrics import invalid_metrics, metrics_of, valid_metrics, validate
 from windrow.plans.pipeline import (
     INVALID,
     METRICS,
@@ -15,18 +15,22 @@ from windrow.plans.pipeline import (
     ROTOR,
     ROTOR_METRIC,
     VALID,
+    faults_of,
     rotor_topic,
     tag_payloads,
 )
 from windrow.schemas import SENSOR_DATA
+from windrow.sinks.lines import invalid_lines, valid_lines
 from windrow.sinks.topics import topic_sink
 from windrow.sources.topics import topic_source
 from windrow.storage import has_child, make_dir, write_part
-from windrow.streaming.commit_log import follow_records, last_records, publish, published
+from windrow.streaming.commit_log import follow_records, last_records, publish, published, published_counts
 from windrow.streaming.windows import read_windows, stream_count_windows, window_batch
 
 AVERAGES = "averages"
 REJECTS = "rejects"
+VALID_LINES = "valid-log"
+INVALID_LINES = "invalid-log"
 # Who writes the topics of a fused run.
 PIPELINE = "pipeline"
 
@@ -43,15 +47,30 @@ def ingest_stream(
     col: str = "payload",
     record: T.StructType = SENSOR_DATA,
 ):
-    """Read a payload topic ``batch_limit`` files at a time, decode, and append to a topic.
+    """``ingest_payloads`` of a payload topic in ``path``, ``batch_limit`` files at a time, until all of it is done."""
+    payloads = topic_source(spark, path, schema, batch_limit=batch_limit)
+    return ingest_payloads(payloads, out=out, checkpoint=checkpoint, ingress=ingress, col=col, record=record)
+
+
+def ingest_payloads(
+    payloads: DataFrame,
+    *,
+    out: str,
+    checkpoint: str,
+    ingress: str = "stream",
+    col: str = "payload",
+    record: T.StructType = SENSOR_DATA,
+    trigger: dict | None = None,
+):
+    """Decode any stream of payloads, such as ``kafka_source``, and append to a topic.
 
     Each micro-batch is decoded once. Readings go to ``out``, rejects (raw payload, reason) to
     ``rejects_of(out)/batch=<id>``. A batch that is run again replaces its own files in both.
     """
+    spark = payloads.sparkSession
     if has_child(spark, out, "_spark_metadata"):
         raise ValueError(f"{out} was written by a file sink, whose readers would not see new batches: name a new folder")
     make_dir(spark, out)  # readable also before the first batch
-    payloads = topic_source(spark, path, schema, batch_limit=batch_limit)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         tagged = tag_payloads(batch, ingress, col, record).persist()
@@ -63,7 +82,7 @@ def ingest_stream(
             tagged.unpersist()
 
     writer = payloads.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def ingest_records(
@@ -89,9 +108,9 @@ def ingest_records(
     def work(payloads: DataFrame, k: int) -> None:
         tagged = tag_payloads(payloads, ingress, col, record).persist()
         try:
-            readings, rejects = split_decoded(tagged, col)
+            readings = split_decoded(tagged, col)[0]
             publish(readings, out, k)
-            publish(rejects, rejects_of(out), k)
+            _publish_rejects(tagged, rejects_of(out), k, ingress, col, record)
         finally:
             tagged.unpersist()
 
@@ -100,33 +119,47 @@ def ingest_records(
         last_records(spark, schema, work, records, checkpoint=checkpoint)
 
 
+def _publish_rejects(tagged, topic, batch_id, ingress, col, record, writer="batch") -> None:
+    """Publish the rejects of decoded payloads; the pass that writes them counts the payloads per outcome."""
+    seen = Observation()
+    rejects = split_decoded(observe_outcomes(tagged, faults_of(ingress, record), seen), col)[1]
+    publish(rejects, topic, batch_id, writer, lambda: observed_outcomes(seen))
+
+
 def rejects_of(out: str) -> str:
     """Where ``ingest_stream`` puts what it cannot decode: beside the topic, with a column ``batch``."""
     return f"{out.rstrip('/')}-{REJECTS}"
 
 
-def _fused(ingress: str, out: str, checkpoint: str, order_by: list[str], n: int, col: str):
-    order = carried_names(order_by)
+def _fused(
+    ingress: str, out: str, checkpoint: str, order_by: list[str], n: int, col: str, record: T.StructType, lines: bool
+):
+    order = carried_names(order_by, record)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        tagged = tag_payloads(batch.select(*order_by, col), ingress, col).persist()
+        tagged = tag_payloads(batch.select(*order_by, col), ingress, col, record).persist()
         try:
-            readings, rejects = split_decoded(tagged, col)
-            checked = validate(to_metrics(readings, keep=order))
+            readings = split_decoded(tagged, col)[0]
+            checked = validate(metrics_of(readings, record, keep=order))
             topics = {
                 READINGS: readings,
-                REJECTS: rejects,
                 VALID: valid_metrics(checked),
                 INVALID: invalid_metrics(checked),
-                ROTOR: valid_metrics(validate(to_metrics(readings, [ROTOR_METRIC], keep=order))),
+                ROTOR: valid_metrics(validate(metrics_of(readings, record, [ROTOR_METRIC], keep=order))),
             }
+            if lines:
+                topics[VALID_LINES] = valid_lines(topics[VALID])
+                topics[INVALID_LINES] = invalid_lines(topics[INVALID])
 
             def write(name: str) -> None:
-                publish(topics[name], f"{out}/{name}", batch_id, PIPELINE)
+                if name == REJECTS:
+                    _publish_rejects(tagged, f"{out}/{REJECTS}", batch_id, ingress, col, record, PIPELINE)
+                else:
+                    publish(topics[name], f"{out}/{name}", batch_id, PIPELINE)
 
             # side by side, so that the tail of one write does not hold up the next
-            with ThreadPoolExecutor(len(topics)) as pool:
-                list(pool.map(inheritable_thread_target(batch.sparkSession)(write), topics))
+            with ThreadPoolExecutor(len(topics) + 1) as pool:
+                list(pool.map(inheritable_thread_target(batch.sparkSession)(write), [*topics, REJECTS]))
             window_batch(
                 topics[ROTOR],
                 batch_id,
@@ -152,6 +185,8 @@ def run_stream(
     col: str = "payload",
     materialize: bool = False,
     trigger: dict | None = None,
+    record: T.StructType = SENSOR_DATA,
+    lines: bool = False,
 ) -> list:
     """Run the dataflow on a stream; returns its queries.
 
@@ -159,6 +194,9 @@ def run_stream(
     ``out/<topic>``, whose commit log others may follow meanwhile; see ``read_topic``. With ``materialize``, each step is a query of its own that reads the
     topic before it, so that steps can be stopped and scaled apart.
 
+    ``record`` is the schema of Avro payloads, readings or metrics. ``lines`` adds the topics of log lines.
+    ``payload_outcomes`` has the count of payloads kept and rejected by a fused run.
+
     With the default trigger (all that is there now) the queries have ended when this returns.
     A later call with the same folders goes on where this one stopped, with no gap and no repeat.
     """
@@ -172,12 +210,12 @@ def run_stream(
             query.awaitTermination()
 
     if not materialize:
-        work = _fused(ingress, out, checkpoint, order_by, n, col)
+        work = _fused(ingress, out, checkpoint, order_by, n, col, record, lines)
         writer = payloads.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
         started(writer.trigger(**trigger).start())
         return queries
 
-    schemas, order = {}, carried_names(order_by)
+    schemas, order = {}, carried_names(order_by, record)
 
     def hop(name: str, rows: DataFrame) -> None:
         schemas[name] = rows.schema
@@ -187,14 +225,17 @@ def run_stream(
         make_dir(spark, f"{out}/{name}")  # the step before may not have written yet
         return topic_source(spark, f"{out}/{name}", schemas[name])
 
-    readings, rejects = split_decoded(tag_payloads(payloads.select(*order_by, col), ingress, col), col)
+    readings, rejects = split_decoded(tag_payloads(payloads.select(*order_by, col), ingress, col, record), col)
     hop(READINGS, readings)
     hop(REJECTS, rejects)
-    hop(METRICS, to_metrics(topic(READINGS), keep=order))
+    hop(METRICS, metrics_of(topic(READINGS), record, keep=order))
     checked = validate(topic(METRICS))
     hop(VALID, valid_metrics(checked))
     hop(INVALID, invalid_metrics(checked))
     hop(ROTOR, rotor_topic(topic(VALID)))
+    if lines:
+        hop(VALID_LINES, valid_lines(topic(VALID)))
+        hop(INVALID_LINES, invalid_lines(topic(INVALID)))
     started(
         stream_count_windows(
             topic(ROTOR),
@@ -214,6 +255,11 @@ def read_topic(spark: SparkSession, out: str, name: str, *, materialize: bool =
     return spark.read.parquet(path) if materialize else published(spark, path)
 
 
+def payload_outcomes(spark: SparkSession, out: str) -> DataFrame:
+    """Payloads per outcome of a fused run so far: those kept, and the rejects of each reason."""
+    return published_counts(spark, f"{out}/{REJECTS}")
+
+
 def averages(
     spark: SparkSession,
     out: str,
