@@ -1,9 +1,13 @@
 """Ingest by records: every payload in a micro-batch of its own number, readings and rejects, over restarts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from windrow.operators.codecs import encode_avro
+from windrow.sources.synthetic import synthetic_readings
 from windrow.sources.tables import EVENT_ORDER, sensor_from_events
+from windrow.storage import child_names
+from windrow.streaming import commit_log
 from windrow.streaming.commit_log import publish, published
 from windrow.streaming.pipeline import ingest_records, rejects_of
 
@@ -23,3 +27,45 @@ def test_ingest_by_records(spark, sf_dir, tmp_path):
     assert sorted((r["place"], r["event_id"]) for r in places.collect()) == [(i, i) for i in range(total)]
     sizes = {r["k"]: r["count"] for r in places.groupBy(F.expr("place div 37").alias("k")).count().collect()}
     assert sizes == {k: min(37, total - 37 * k) for k in range(-(-total // 37))}
+
+
+def _numbered(spark, low, high):
+    return encode_avro(synthetic_readings(spark, high, partitions=3).filter(F.col("id") >= low))
+
+
+def test_micro_batches_decoded_together(spark, tmp_path):
+    """Batches of the topics do not grow with the number of micro-batches, but for a bound on payloads."""
+    topic, checkpoint = str(tmp_path / "topic"), str(tmp_path / "checkpoint")
+    publish(_numbered(spark, 0, 103), topic, 0)
+    schema = _numbered(spark, 0, 1).schema
+    for name, at_once, batches in (("all", 1_000, [19, 20]), ("some", 34, [5, 11, 17, 19, 20])):
+        out = str(tmp_path / name)
+        ingest_records(spark, topic, schema, out=out, checkpoint=f"{checkpoint}-{name}", ended=True, at_once=at_once)
+        for written in (out, rejects_of(out)):
+            assert sorted(child_names(spark, f"{written}/log")) == [f"batch-{k:012d}.json" for k in batches]
+        places = published(spark, out).select("place", "id").collect()
+        assert sorted(r["place"] for r in places) == sorted(r["id"] for r in places) == list(range(103))
+
+
+def test_goes_on_after_single_micro_batches(spark, tmp_path):
+    """A run that took one micro-batch at a time failed, with one more in the readings than in the rejects."""
+    topic, out, checkpoint = (str(tmp_path / p) for p in ("topic", "out", "checkpoint"))
+    cut = F.when(F.col("id") % 2 == 1, F.expr("substring(payload, 1, 7)")).otherwise(F.col("payload"))
+    payloads = _numbered(spark, 0, 60).withColumn("payload", cut)
+    publish(payloads, topic, 0)
+    real = commit_log.rename_new
+
+    def lost(spark_, staged, target):
+        if "out-rejects" in target and target.endswith("000000000003.json"):
+            raise OSError("before the entry")
+        return real(spark_, staged, target)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(commit_log, "rename_new", lost)
+        with pytest.raises(Exception, match="before the entry"):
+            ingest_records(spark, topic, payloads.schema, out=out, checkpoint=checkpoint, at_once=1)
+    ingest_records(spark, topic, payloads.schema, out=out, checkpoint=checkpoint)
+    assert sorted(r["id"] for r in published(spark, out).select("id").collect()) == list(range(0, 60, 2))
+    assert sorted(r["id"] for r in published(spark, rejects_of(out)).select("id").collect()) == list(range(1, 60, 2))
+    counts = {r["outcome"]: r["payloads"] for r in commit_log.published_counts(spark, rejects_of(out)).collect()}
+    assert counts == {"kept": 30, "truncated or malformed body": 30}

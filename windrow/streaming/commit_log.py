@@ -7,7 +7,8 @@ failed attempt are never read, and a published file never changes. Readers, batc
 
 ``follow_records`` hands over a topic by demand: micro-batches of exactly ``n`` records. The files of new entries are laid
 end to end by record count; a micro-batch is a few ranges of rows in files, which Spark's reader cuts out by the row index it
-has anyway. Records do not leave the JVM for it.
+has anyway. Records do not leave the JVM for it. Whole micro-batches that are there may be handed over many at once, so that the
+number of Spark jobs does not grow with the number of micro-batches.
 """
 
 import json
@@ -94,6 +95,13 @@ def published_counts(spark: SparkSession, topic: str) -> DataFrame:
     return counts.groupBy("outcome").agg(F.sum("n").alias("payloads"))
 
 
+def last_published(spark: SparkSession, topic: str, up_to: int, writer: str = "batch") -> int:
+    """The greatest number, ``up_to`` at most, of the batches of a writer that are in the topic; -1 if there is none."""
+    make_topic(spark, topic)
+    names = [n.removeprefix(f"{writer}-").removesuffix(".json") for n in child_names(spark, f"{topic}/log") if n.startswith(f"{writer}-")]
+    return max((int(n) for n in names if n.isdecimal() and int(n) <= up_to), default=-1)
+
+
 def remove_leftovers(spark: SparkSession, topic: str, writer: str) -> int:
     """Remove the files of attempts that were never published, of a writer that is not running; returns how many."""
     entries = spark.read.schema(_ENTRY).json(f"{topic}/log").select("attempt")
@@ -175,7 +183,7 @@ def _records(spark: SparkSession, spans: DataFrame, schema: T.StructType, place:
     return found.select(*[files[c] for c in schema.fieldNames()], F.col("_at").alias(place))
 
 
-def _demand(entries: DataFrame, batch_id: int, *, topic: str, schema: T.StructType, work: Work, n: int, carry: str, place: str) -> None:
+def _demand(entries: DataFrame, batch_id: int, *, topic: str, schema: T.StructType, work: Work, n: int, carry: str, place: str, together: int) -> None:
     spark = entries.sparkSession
     open_ = read_carry(spark, carry, batch_id - 1, _SPAN)
     start, end = open_.agg(F.min("first"), F.max(F.col("first") + F.col("n"))).first()
@@ -185,8 +193,9 @@ def _demand(entries: DataFrame, batch_id: int, *, topic: str, schema: T.StructTy
     spans = open_.unionByName(_new_spans(spark, topic, entries, end))
     spans = materialize(spans, "spans", f"{carry}/scratch/spans")
     end = spans.agg(F.max(F.col("first") + F.col("n"))).first()[0] or end
-    for k in range(start // n, end // n):
-        work(_records(spark, _cut(spans, k * n, (k + 1) * n), schema, place), k)
+    for k in range(start // n, end // n, together):
+        after = min(k + together, end // n)
+        work(_records(spark, _cut(spans, k * n, after * n), schema, place), after - 1)
     whole = end // n * n
     write_carry(_cut(spans, whole, end), carry, batch_id)
     write_carry(spark.createDataFrame([(whole,)], "handed long"), f"{carry}/handed", batch_id)
@@ -208,15 +217,17 @@ def follow_records(
     place: str = "place",
     batch_limit: int | None = None,
     trigger: dict | None = None,
+    together: int = 1,
 ):
     """Start a stream that calls ``work(records, k)`` with records ``k * n`` up to ``(k + 1) * n`` of a topic, in turn.
 
     Every call has exactly ``n`` records; what is left over waits for more, or for ``last_records`` once the topic has ended.
+    With ``together``, a call has up to so many of the whole micro-batches that are there, and ``k`` is the number of the last.
     The records have their ``place`` in the topic: batches in the order they were found, then writer, batch, file
     and row. A call that failed is made again with the same records and the same number, and so may some calls
     before it: ``work`` should replace or publish its output by that number.
     """
-    handed = partial(_demand, topic=topic, schema=schema, work=work, n=n, carry=f"{checkpoint}/carry", place=place)
+    handed = partial(_demand, topic=topic, schema=schema, work=work, n=n, carry=f"{checkpoint}/carry", place=place, together=together)
     stream = _entries(spark, topic, batch_limit).writeStream.foreachBatch(handed)
     return stream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

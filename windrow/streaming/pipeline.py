@@ -4,6 +4,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrow.operators.codecs import carried_names, observe_outcomes, observed_outcomes, split_decoded
@@ -24,7 +25,14 @@ from windrow.sinks.lines import invalid_lines, valid_lines
 from windrow.sinks.topics import topic_sink
 from windrow.sources.topics import topic_source
 from windrow.storage import has_child, make_dir, write_part
-from windrow.streaming.commit_log import follow_records, last_records, publish, published, published_counts
+from windrow.streaming.commit_log import (
+    follow_records,
+    last_published,
+    last_records,
+    publish,
+    published,
+    published_counts,
+)
 from windrow.streaming.windows import read_windows, stream_count_windows, window_batch
 
 AVERAGES = "averages"
@@ -33,6 +41,8 @@ VALID_LINES = "valid-log"
 INVALID_LINES = "invalid-log"
 # Who writes the topics of a fused run.
 PIPELINE = "pipeline"
+# Payloads that ingest_records decodes in one go, if their micro-batches are not larger.
+AT_ONCE = 5_000_000
 
 
 def ingest_stream(
@@ -97,24 +107,32 @@ def ingest_records(
     col: str = "payload",
     record: T.StructType = SENSOR_DATA,
     ended: bool = False,
+    at_once: int = AT_ONCE,
 ) -> None:
-    """Decode a topic with a commit log, ``records`` payloads at a time, into two such topics.
+    """Decode a topic with a commit log, in micro-batches of ``records`` payloads, into two such topics.
 
-    Takes what is there now and returns. Micro-batch ``k`` holds payloads ``k * records`` and on, and becomes
-    batch ``k`` of the readings in ``out`` and of the rejects in ``rejects_of(out)``; both keep the payload's ``place``.
+    Takes what is there now and returns. Micro-batch ``k`` holds payloads ``k * records`` and on; the readings in ``out`` and
+    the rejects in ``rejects_of(out)`` keep the payload's ``place``, of which ``place div records`` is the micro-batch.
+    Whole micro-batches are decoded together, up to ``at_once`` payloads (or one micro-batch) in one go, and become one
+    batch of both topics, under the number of the last of them: jobs and files do not grow with the number of micro-batches.
     Payloads that do not fill a micro-batch wait for the next call, unless the topic has ``ended``.
     """
 
+    def unpublished(tagged: DataFrame, target: str, k: int) -> DataFrame:
+        """Without micro-batches that are in ``target``: a run that took fewer at once may have failed after them."""
+        return tagged.filter(F.col("place") >= (last_published(spark, target, k) + 1) * records)
+
     def work(payloads: DataFrame, k: int) -> None:
         tagged = tag_payloads(payloads, ingress, col, record).persist()
         try:
-            readings = split_decoded(tagged, col)[0]
-            publish(readings, out, k)
-            _publish_rejects(tagged, rejects_of(out), k, ingress, col, record)
+            publish(split_decoded(unpublished(tagged, out, k), col)[0], out, k)
+            rejects = rejects_of(out)
+            _publish_rejects(unpublished(tagged, rejects, k), rejects, k, ingress, col, record)
         finally:
             tagged.unpersist()
 
-    follow_records(spark, topic, schema, work, records, checkpoint=checkpoint).awaitTermination()
+    together = max(1, at_once // records)
+    follow_records(spark, topic, schema, work, records, checkpoint=checkpoint, together=together).awaitTermination()
     if ended:
         last_records(spark, schema, work, records, checkpoint=checkpoint)
 
