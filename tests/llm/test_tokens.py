@@ -44,6 +44,19 @@ def test_pieces_give_the_ids_of_the_whole_text(encoders, batch):
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(batch)] == want
 
 
+def test_runs_of_marks_are_taken_off(encoders):
+    """The library's whole pipeline sees each run of marks once, not each word with marks behind it."""
+    marks = ["***", ",***", "###", "$$$", "!!", "&&&,", "...", ")?"]
+    batch = [" ".join(f"xr{a}{b}{m}" for m in marks for a in "abcdeß" for b in "fgh") + m for m in ("", "%%%", "'", "'s.")]
+    for _, plain in encoders:
+        encoder, calls = TextEncoder(BYTE_BPE[0] if plain is encoders[0][1] else WORD_BPE[0]), []
+        whole = encoder.whole
+        encoder.whole = lambda text: calls.append(text) or whole(text)
+        want = [plain.encode(t, add_special_tokens=False).ids for t in batch]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(batch)] == want
+        assert len(calls) <= 2 * len(marks) + 8
+
+
 def test_whole_texts_of_the_table(spark, sf_dir, encoders, monkeypatch):
     monkeypatch.setattr(TextEncoder, "MAX_PIECES", 500)
     batch = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]

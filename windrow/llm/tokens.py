@@ -17,6 +17,28 @@ _BLANK = chr(_BYTE_CHARS[32])
 _LATIN_END = "\u0250"
 
 
+#: ASCII marks of which a run after a letter is cut off and kept whole by every tokenizer in use. The apostrophe is not one: it
+#: begins contractions.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+
+
+class _Marks(dict):
+    """Ids (as bytes) of a run of marks, or of a line feed, after a letter."""
+
+    #: Runs can be of any length; more of them than this are not remembered.
+    MOST = 10_000
+
+    def __init__(self, encoder: "TextEncoder"):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, marks: str) -> bytes:
+        ids = self.encoder.whole("a" + marks)[len(self.encoder.whole("a")) :]
+        if len(self) < self.MOST:
+            self[marks] = ids
+        return ids
+
+
 class _Pieces(dict):
     """Ids (as bytes) of a piece after ``blank``, made when asked for; None if it can't be cut out of its text."""
 
@@ -24,7 +46,7 @@ class _Pieces(dict):
         super().__init__()
         self.encoder, self.blank = encoder, blank
         self.older: dict[str, bytes | None] = {}
-        self.mark = {m: encoder.whole("a" + m)[len(encoder.whole("a")) :] for m in (",", ".", "\n")}
+        self.marks = _Marks(encoder)
 
     def __missing__(self, piece: str) -> bytes | None:
         if piece in self.older:
@@ -33,8 +55,8 @@ class _Pieces(dict):
             ids = word
         elif not piece or piece[0].isspace() or piece[-1].isspace() or self.encoder.has_special(piece):
             ids = None
-        elif piece[-1] in self.mark and self.encoder.ends_in_letter(piece[:-1]):
-            ids = self._joined(self[piece[:-1]], piece[-1], b"")
+        elif piece[-1] in _MARKS and self.encoder.ends_in_letter(head := piece.rstrip(_MARKS)):
+            ids = self._joined(self[head], piece[len(head) :], b"")
         elif piece.count("\n") == 1:
             head, tail = piece.split("\n")
             ids = self._joined(self[head], "\n", self.encoder.starts[tail])
@@ -44,7 +66,7 @@ class _Pieces(dict):
         return ids
 
     def _joined(self, head: bytes | None, mark: str, tail: bytes | None) -> bytes | None:
-        return None if head is None or tail is None else head + self.mark[mark] + tail
+        return None if head is None or tail is None else head + self.marks[mark] + tail
 
     def forget(self) -> None:
         """Drop what has not been asked for since the last time."""
@@ -57,7 +79,7 @@ class TextEncoder:
 
     The tokenizers in use never merge across a blank or a line feed that stands alone between two other characters, nor
     across the end of a run of letters. So a text is split at its blanks, and the ids of a piece are looked up. Of a piece
-    not seen yet, a Latin word goes straight to the library's BPE model, a comma, full stop or line feed is taken off, and
+    not seen yet, a Latin word goes straight to the library's BPE model, marks at its end or a line feed are taken off, and
     anything else goes through the library's whole pipeline. A text with other white space beside a blank does so in one go.
     """
 
@@ -71,7 +93,9 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # texts that hold the string of a special token go through the library whole
         self.specials = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = self.tokenizer.model
+        # a character that is in all of them, and has no case: most pieces are without it
+        self.in_specials = next((c for c in min(self.specials, default="") if not c.isalpha() and all(c in s for s in self.specials)), "")
+        self.tokenize = self.tokenizer.model.tokenize
         # one kind keeps case and marks the blank before a word, the other folds case and marks the end of a word
         self.folds = self.tokenizer.normalizer is not None
         self.pieces = _Pieces(self, " ")
@@ -93,9 +117,7 @@ class TextEncoder:
             if not piece.isalpha() or max(piece) >= _LATIN_END:
                 return None
             piece = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
-        if blank:
-            piece = _BLANK + piece
-        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(_BLANK + piece if blank else piece)]).tobytes()
 
     def ends_in_letter(self, head: str) -> bool:
         """Whether the last character that the tokenizer sees of ``head`` is a Latin letter; folding may add a mark to it."""
@@ -103,6 +125,8 @@ class TextEncoder:
         return last.isalpha() and last < _LATIN_END
 
     def has_special(self, piece: str) -> bool:
+        if self.in_specials not in piece:
+            return False
         low = piece.lower()
         return any(s in low for s in self.specials)
 
