@@ -271,6 +271,35 @@ def test_fold_holds_infinity():
     assert math.isnan(out["average"][0]) and out["is_nan"][0] and state.value == (1, [])
 
 
+def test_windows_per_key_in_the_hour_that_comes_twice(spark, tmp_path):
+    """Times are compared as instants and leave Spark as numbers, not as local times."""
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    at = F.timestamp_seconds(F.lit(1729989000) + F.col("id") * 1200)  # 2024-10-27 00:30 UTC and on, clocks go back at 01:00
+    rows = spark.range(0, 6, 1, 1).select(F.lit("a").alias("k"), at.alias("ts"), F.col("id").cast("double").alias("value"))
+    rows.orderBy(F.desc("ts")).coalesce(1).write.parquet(source)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        keyed = stream_windows_per_key(topic_source(spark, source, rows.schema), 2, key="k", order_by=["ts"])
+        topic_sink(keyed, out, checkpoint).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    found = sorted(tuple(r) for r in spark.read.parquet(out).select("window", "rows", "average", "last_pos").collect())
+    assert found == [(0, 2, 0.5, 1), (1, 2, 2.5, 3), (2, 2, 4.5, 5)]
+
+
+def test_order_of_a_key():
+    """Numbers without gaps take the short way, others the long one; rows that are equal stay as they are."""
+    import pandas as pd
+
+    from windrow.streaming.keyed import _in_order
+
+    for a, want in (([2, 1, 2, 1], [3, 1, 2, 0]), ([2.0, None, 2.0, 1.0], [1, 3, 2, 0]), (["b", "a", "b", None], [3, 1, 2, 0])):
+        rows = pd.DataFrame({"a": a, "b": [1, 1, 0, 0]})
+        assert _in_order(rows, ["a", "b"]).tolist() == want
+    assert _in_order(pd.DataFrame({"a": [1, 0, 1, 0]}, index=[9, 9, 3, 3]), ["a"]).tolist() == [1, 3, 0, 2]
+
+
 BAD = "zz"
 
 

@@ -5,7 +5,7 @@ Rows arrive batch by batch, and within a batch in the order of ``order_by``.
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,27 +163,33 @@ def stream_windows_per_key(
     still open when the stream has ended are in ``open_windows``.
     """
     missing = "_missing"
-    slim = df.select(*dict.fromkeys([key, *order_by, value]), F.col(value).isNull().alias(missing))
+    order = {f"_order_{i}": _order_column(df, name) for i, name in enumerate(order_by)}
+    slim = df.select(*dict.fromkeys([key, value]), F.col(value).isNull().alias(missing), *[c.alias(name) for name, c in order.items()])
     key_field = T.StructField(key, df.schema[key].dataType)
     output = T.StructType(
         [
             key_field,
             T.StructField("window", T.LongType()),
-            T.StructField("rows", T.LongType()),
             T.StructField("average", T.DoubleType()),
-            T.StructField("last_pos", T.LongType()),
             T.StructField("is_nan", T.BooleanType()),
         ]
     )
     windows = slim.groupBy(key).applyInPandasWithState(
-        fold_windows(n, key, list(order_by), value, missing),
+        fold_windows(n, key, list(order), value, missing),
         output,
         "window bigint, held array<double>",
         "append",
         "NoTimeout",
     )
     average = F.when(F.col("is_nan"), F.lit(float("nan"))).otherwise(F.col("average"))
-    return windows.withColumn("average", average).drop("is_nan")
+    last = F.col("window") * n + (n - 1)
+    # columns that follow from the number of the window need not come out of Python
+    return windows.select(key, "window", F.lit(n).cast("bigint").alias("rows"), average.alias("average"), last.alias("last_pos"))
+
+
+def _order_column(df: DataFrame, name: str) -> Column:
+    """A column to sort by in pandas: times as microseconds, whose conversion is costly for each key."""
+    return F.unix_micros(name) if isinstance(df.schema[name].dataType, T.TimestampType) else F.col(name)
 
 
 def open_windows(
