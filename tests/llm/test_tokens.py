@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +9,7 @@ from tokenizers import Tokenizer
 
 from windrow.llm import packing, simple8b, token_files
 from windrow.llm.queries import BYTE_BPE, WORD_BPE
-from windrow.llm.tokens import TextEncoder
+from windrow.llm.tokens import TextEncoder, text_slices
 
 from .conftest import edge_rows
 
@@ -57,6 +58,35 @@ def test_runs_of_marks_are_taken_off(encoders):
         assert len(calls) <= 2 * len(marks) + 8
 
 
+def test_different_words_are_looked_up_once(encoders):
+    """Not once for each place in the texts, nor for each mark behind them."""
+    rows = ["".join(f" w{a}b{m}" for a in "acdeß" for m in (",", ".", "!!", "")) * 20] * 50
+    for _, plain in encoders:
+        encoder, asked = TextEncoder(BYTE_BPE[0] if plain is encoders[0][1] else WORD_BPE[0]), []
+        kind = type(encoder.pieces)
+        counted = type("Counted", (kind,), {"__getitem__": lambda self, p: asked.append(p) or kind.__getitem__(self, p)})
+        encoder.pieces = counted(encoder, " ")
+        encoder.starts = encoder.pieces if encoder.folds else kind(encoder, "")
+        want = plain.encode(rows[0], add_special_tokens=False).ids
+        assert all(np.frombuffer(b, "<u4").tolist() == want for b in encoder.encode(rows))
+        assert len(asked) <= 10
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_slices_of_a_batch(encoders, kind):
+    """Arrays that begin inside others; texts that go through the library whole among others; no text at all."""
+    batch = ["x", "", "two words.", "a  b", "İ. x!", "é, ünd ß", "x<|endoftext|>y", "", "words! words, ", "\u0000 |a|. b|", "long " * 90, "z"]
+    arrays = [pa.array(range(-1, len(batch))).slice(1), pa.array(["cut off", *batch], kind).slice(1)]
+    rows = pa.RecordBatch.from_arrays(arrays, ["doc_id", "text"])
+    for size in (1, 20, 1 << 20):
+        slices = list(text_slices(rows, size))
+        assert [n for numbers, _ in slices for n in numbers] == list(range(len(batch))) and (len(slices) == 1) == (size > 1000)
+        for encoder, plain in encoders:
+            got = [np.frombuffer(b, "<u4").tolist() for _, part in slices for b in encoder.encode(part)]
+            assert got == [plain.encode(t, add_special_tokens=False).ids for t in batch]
+    assert list(text_slices(rows.slice(0, 0))) == [] and encoders[0][0].encode([]) == []
+
+
 def test_whole_texts_of_the_table(spark, sf_dir, encoders, monkeypatch):
     monkeypatch.setattr(TextEncoder, "MAX_PIECES", 500)
     batch = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]

@@ -1,9 +1,12 @@
 """Token ids of whole texts, with the tokenizers library."""
 
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ID = np.dtype("<u4")
 
@@ -20,6 +23,8 @@ _LATIN_END = "\u0250"
 #: ASCII marks of which a run after a letter is cut off and kept whole by every tokenizer in use. The apostrophe is not one: it
 #: begins contractions.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+#: A word of Latin letters; not the one that folds to a letter and a mark.
+_WORD = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 
 
 class _Marks(dict):
@@ -29,7 +34,7 @@ class _Marks(dict):
     MOST = 10_000
 
     def __init__(self, encoder: "TextEncoder"):
-        super().__init__()
+        super().__init__({"": b""})
         self.encoder = encoder
 
     def __missing__(self, marks: str) -> bytes:
@@ -78,9 +83,10 @@ class TextEncoder:
     """Ids of texts under one tokenizer file, as little-endian unsigned 32-bit integers.
 
     The tokenizers in use never merge across a blank or a line feed that stands alone between two other characters, nor
-    across the end of a run of letters. So a text is split at its blanks, and the ids of a piece are looked up. Of a piece
-    not seen yet, a Latin word goes straight to the library's BPE model, marks at its end or a line feed are taken off, and
-    anything else goes through the library's whole pipeline. A text with other white space beside a blank does so in one go.
+    across the end of a run of letters. So texts are split at their blanks, marks behind Latin words are cut off, and the ids
+    of each different piece are looked up, once for all texts of a call. Of a piece not seen yet, a Latin word goes straight to
+    the library's BPE model, other marks at its end or a line feed are taken off, and anything else goes through the library's
+    whole pipeline. A text with other white space beside a blank does so in one go.
     """
 
     #: When so many pieces are remembered, those not asked for since the last time are forgotten.
@@ -130,19 +136,63 @@ class TextEncoder:
         low = piece.lower()
         return any(s in low for s in self.specials)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            try:
-                out.append(b"".join([self.starts[first], *map(self.pieces.__getitem__, rest)]))
-            except TypeError:  # a piece is None
-                out.append(self.whole(text))
-            for pieces in (self.pieces, self.starts):
-                if len(pieces) > self.max_pieces:
-                    pieces.forget()
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Arrow splits the texts and puts the ids of their pieces together; here each different piece is looked up once."""
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy()
+        firsts = lists.flatten().take(pa.array(bounds[:-1]))
+        places = lists.flatten().dictionary_encode()
+        codes, pieces = places.indices.to_numpy(), places.dictionary
+        if self.starts is not self.pieces:
+            # a text's first piece, which has no blank before it, gets a code of its own
+            codes = codes.copy()
+            codes[bounds[:-1]] = len(pieces) + np.arange(len(texts))
+            used = np.zeros(len(pieces) + len(texts), bool)
+            used[codes] = True
+            ids, lost = self._ids(pieces, used)
+            others = [self.starts[p] for p in firsts.to_pylist()]
+            ids = pa.concat_arrays([ids, pa.array([i or b"" for i in others], pa.large_binary())])
+            lost = np.append(lost, [i is None for i in others])
+        else:
+            ids, lost = self._ids(pieces, np.ones(len(pieces), bool))
+        ends, data = _bytes(ids.take(pa.array(codes)))
+        ends = ends[bounds].tolist()
+        out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
+        if lost.any():
+            for i in np.flatnonzero(np.logical_or.reduceat(lost[codes], bounds[:-1])).tolist():
+                out[i] = self.whole(texts[i].as_py())
+        for remembered in (self.pieces, self.starts):
+            if len(remembered) > self.max_pieces:
+                remembered.forget()
         return out
 
+    def _ids(self, pieces: pa.Array, used: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Ids of each of the different ``pieces``, and where there are none. Marks after a word are not remembered with it."""
+        heads = pc.ascii_rtrim(pieces, characters=_MARKS)
+        words = pc.match_substring_regex(heads, _WORD).to_numpy(zero_copy_only=False)
+        if self.in_specials:
+            words &= ~pc.match_substring(pieces, self.in_specials).to_numpy(zero_copy_only=False)
+        # each piece as a head and its marks, side by side over the same bytes
+        ends, data = _bytes(pieces)
+        cuts = np.repeat(ends, 2)[1:]
+        cuts[1::2] = np.where(words, ends[:-1] + pc.binary_length(heads).to_numpy(), ends[1:])
+        parts = pa.StringArray.from_buffers(2 * len(pieces), pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        codes, n = parts.indices.to_numpy().reshape(-1, 2), len(parts.dictionary)
+        asked = np.zeros((2, n), bool)
+        asked[0, codes[used[: len(pieces)], 0]] = True
+        asked[1, codes[:, 1]] = True
+        texts = _strings(parts.dictionary)
+        heads = [self.pieces[p] if a else b"" for p, a in zip(texts, asked[0].tolist())]
+        marks = [self.pieces.marks[texts[i]] for i in np.flatnonzero(asked[1]).tolist()]
+        codes = np.column_stack([codes[:, 0], n + np.cumsum(asked[1])[codes[:, 1]] - 1])
+        table = pa.array(heads + marks, pa.large_binary())
+        ends, data = _bytes(table.take(pa.array(codes.ravel())))
+        joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(ends[::2].copy()), pa.py_buffer(data)])
+        return joined, table.is_null().to_numpy(zero_copy_only=False)[codes[:, 0]]
+
 
 @lru_cache(maxsize=4)
 def text_encoder(path: str, max_pieces: int | None = None) -> TextEncoder:
@@ -150,7 +200,23 @@ def text_encoder(path: str, max_pieces: int | None = None) -> TextEncoder:
     return TextEncoder(path, max_pieces)
 
 
-def text_slices(batch, rows: int = 256):
-    """The columns of an Arrow batch as lists, few rows at a time."""
-    for start in range(0, batch.num_rows, rows):
-        yield [column.slice(start, rows).to_pylist() for column in batch.columns]
+def _bytes(array: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Where the values of an Arrow array of strings or bytes end (and the first begins), and the bytes themselves."""
+    kind = np.int64 if array.type in (pa.large_string(), pa.large_binary()) else np.int32
+    _, ends, data = array.buffers()
+    ends = np.frombuffer(ends, kind)[array.offset : array.offset + len(array) + 1]
+    return ends, memoryview(data or b"")
+
+
+def _strings(pieces: pa.Array) -> list[str]:
+    """``pieces`` as a list. None of them holds a blank; one string cut at its blanks is made faster than they are one by one."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), " ")[0].as_py().split(" ")
+
+
+def text_slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[list, pa.Array]]:
+    """The first column of an Arrow batch as a list, and its second one, texts; about ``size`` bytes of text at a time."""
+    numbers, texts = batch.columns
+    before = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy())[:-1])
+    starts = np.unique(before // size, return_index=True)[1].tolist()
+    for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+        yield numbers.slice(start, end - start).to_pylist(), texts.slice(start, end - start)
