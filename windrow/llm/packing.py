@@ -87,7 +87,7 @@ def pieces(
         pa.default_memory_pool().release_unused()  # of the tasks before in this worker
         encoder = text_encoder(tokenizer, max_pieces)
         for batch in batches:
-            for doc_ids, texts in text_slices(batch):
+            for doc_ids, texts in text_slices(batch, encoder.slice_bytes):
                 rows = []
                 for doc_id, raw in zip(doc_ids, encoder.encode(texts)):
                     raw += end

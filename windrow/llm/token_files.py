@@ -74,7 +74,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, p
         encoder = text_encoder(tokenizer, MAX_PIECES)
         doc_ids, ids, size = [], [], 0
         for batch in batches:
-            for numbers, texts in text_slices(batch):
+            for numbers, texts in text_slices(batch, encoder.slice_bytes):
                 for n, b in zip(numbers, encoder.encode(texts)):
                     doc_ids.append(n)
                     ids.append(b + end)

@@ -96,6 +96,8 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.max_pieces = max_pieces or self.MAX_PIECES
+        # so much text at a time that its different words are not more than may be remembered
+        self.slice_bytes = min(4 << 20, 24 * self.max_pieces)
         self.tokenizer = Tokenizer.from_file(path)
         # texts that hold the string of a special token go through the library whole
         self.specials = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -173,7 +175,7 @@ class TextEncoder:
         """Ids of each of the different ``pieces``, and where there are none. Marks after a word are not remembered with it."""
         heads = pc.ascii_rtrim(pieces, characters=_MARKS)
         words = pc.match_substring_regex(heads, _WORD).to_numpy(zero_copy_only=False)
-        if self.in_specials:
+        if self.specials:
             words &= ~pc.match_substring(pieces, self.in_specials).to_numpy(zero_copy_only=False)
         # each piece as a head and its marks, side by side over the same bytes
         ends, data = _bytes(pieces)
@@ -213,7 +215,7 @@ def _strings(pieces: pa.Array) -> list[str]:
     return pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), " ")[0].as_py().split(" ")
 
 
-def text_slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[list, pa.Array]]:
+def text_slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple[list, pa.Array]]:
     """The first column of an Arrow batch as a list, and its second one, texts; about ``size`` bytes of text at a time."""
     numbers, texts = batch.columns
     before = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy())[:-1])
